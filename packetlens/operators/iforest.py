@@ -94,12 +94,22 @@ class IsolationForestModel:
             "sample_size": self.sample_size,
             "offset": self.offset,
         }
-        nodes = spark.createDataFrame(self.nodes, NODE_SCHEMA)
+        nodes = spark.createDataFrame(_node_rows(self.nodes), NODE_SCHEMA)
         nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
         write_meta(spark, meta, path)
         return path
 
 
+def _node_rows(nodes: pd.DataFrame) -> list[tuple]:
+    whole = {"tree", "node", "left", "right", "n", "depth"}
+    return [
+        tuple(
+            None if pd.isna(v) else int(v) if c in whole else v for c, v in zip(nodes.columns, row)
+        )
+        for row in nodes.itertuples(index=False)
+    ]
+
+
 def write_meta(spark: SparkSession, meta: dict, path: str) -> None:
     row = spark.createDataFrame([(json.dumps(meta),)], "value string")
     row.coalesce(1).write.mode("overwrite").text(f"{path}/meta")

@@ -49,9 +49,9 @@ def generate_report(df: DataFrame, base: str, order: Sequence[str] = ()) -> dict
     names = ["data", "summary", "traffic", "attack_distribution", "attack_share", "preview"]
     paths = {name: f"{run}/{name}" for name in names}
     prepared = report.prepare_report(df)
+    require_rows(prepared, "generate a report")
     prepared.write.parquet(paths["data"])
     data = df.sparkSession.read.schema(prepared.schema).parquet(paths["data"])
-    require_rows(data, "generate a report")
 
     counts = report.outcome_counts(data).persist()
     try:

@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.alerts import ALERT_SCHEMA
 from ..operators.classify import Classifier, load_classifier
 from ..operators.iforest import IsolationForestModel, load_isolation_forest
 from ..operators.report import event_lines
@@ -170,14 +169,8 @@ def start_realtime(
     """Start the whole chain with a processing-time trigger and return its queries."""
     trigger = {"processingTime": interval}
     paths = {n: f"{base}/{n}" for n in ("results", "event_lines", "instants", "alerts", "heartbeats")}
-    for name in ("results", "instants", "heartbeats"):
-        _make_folder(spark, paths[name])
+    send_heartbeat(spark, paths["heartbeats"], 0)
     results = realtime_results(stream_packets(spark, source), detector, classifier, schema)
     first = append_table(with_progress(results), paths["results"], trigger)
     rest = start_followers(spark, results.schema, paths, trigger, limits, delay_seconds, sensor)
     return [first, *rest]
-
-
-def _make_folder(spark: SparkSession, path: str) -> None:
-    """An empty table, so that a query may follow it before its first row."""
-    spark.createDataFrame([], ALERT_SCHEMA).write.mode("ignore").parquet(path)

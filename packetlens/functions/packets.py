@@ -31,11 +31,12 @@ def has_flag(mask: Column, name: str) -> Column:
 
 def hour_of_day(epoch: Column) -> Column:
     """UTC hour of a DOUBLE epoch in seconds, rounded to nanoseconds first; 0 when out of range."""
-    hour = F.pmod(F.floor(F.round(epoch, 9) / 3600), F.lit(24)).cast("int")
+    hour = F.pmod(F.floor((epoch + 5e-10) / 3600), F.lit(24)).cast("int")
     return F.when(F.abs(epoch) <= _LAST_SECOND, hour).otherwise(0)
 
 
 def epoch_micros(epoch: Column) -> Column:
     """DOUBLE epoch seconds to BIGINT microseconds; 0 when out of range."""
-    micros = F.round(epoch * 1000000).try_cast("bigint")
-    return F.when(F.abs(epoch) <= _LAST_SECOND, micros).otherwise(F.lit(0).cast("bigint"))
+    micros = F.when(F.abs(epoch) <= _LAST_SECOND, F.floor(epoch * 1000000 + 0.5))
+    # Never null, so that a join on it adds no null check that would parse the lines once more.
+    return F.coalesce(micros, F.lit(0).cast("bigint"))

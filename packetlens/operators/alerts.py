@@ -40,6 +40,7 @@ MEASURES = {"anomaly": "anomalies", "traffic": "packets"}
 ALERT_SCHEMA = "sensor string, kind string, event_us bigint, rn bigint, count bigint, message string"
 
 _SECOND = 1_000_000
+_BLOCK = 10 * _SECOND
 _CHUNK = 10_000
 
 
@@ -78,7 +79,8 @@ def instants(
 
 
 def _block(window_us: int) -> int:
-    return max(window_us, _SECOND)
+    """Block width: at least the window, so that it reaches back into one other block at most."""
+    return max(window_us, _BLOCK)
 
 
 def _block_of(us: Column, width: int) -> Column:

@@ -90,11 +90,12 @@ class AttackClassifier:
     def classify(self, df: DataFrame, features: Sequence[str]) -> DataFrame:
         if self.node_count > BROADCAST_NODES:
             return self.transform(df, features)
-        shared = df.sparkSession.sparkContext.broadcast(self.forest(df.sparkSession))
+        spark = df.sparkSession
+        shared = spark.sparkContext.broadcast(self.forest(spark).parts)
 
         @F.pandas_udf("class int, confidence double")
         def predict(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
-            forest = shared.value
+            forest = Forest(**shared.value)
             for flag, *columns in batches:
                 chosen = flag.to_numpy(dtype=np.float64) == 1
                 rows = np.column_stack([c.to_numpy(dtype=np.float64)[chosen] for c in columns])
@@ -185,7 +186,7 @@ def fit_classifier(
     )
     model = RandomForestClassifier(
         numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", impurity="gini", seed=seed
-    ).fit(vectors.select("label", "features"))
+    ).fit(vectors.select("label", "features").repartition(spark.sparkContext.defaultParallelism))
     return _saved(
         spark, model, features, list(indexed.labels), path or new_folder(spark, "classifier")
     )

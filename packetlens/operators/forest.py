@@ -13,6 +13,16 @@ class Forest:
     """
 
     def __init__(self, roots, feature, threshold, left, right, value, depth: int):
+        #: Plain arrays, to be broadcast: executors need not know this class to read them.
+        self.parts = {
+            "roots": np.asarray(roots, dtype=np.int32),
+            "feature": np.asarray(feature, dtype=np.int32),
+            "threshold": np.asarray(threshold, dtype=np.float64),
+            "left": np.asarray(left, dtype=np.int32),
+            "right": np.asarray(right, dtype=np.int32),
+            "value": np.asarray(value, dtype=np.float64),
+            "depth": depth,
+        }
         at = np.arange(len(feature), dtype=np.int32)
         leaf = np.asarray(left) < 0
         self.roots = np.asarray(roots, dtype=np.int32)

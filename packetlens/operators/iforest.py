@@ -73,13 +73,13 @@ class IsolationForestModel:
 
     def score(self, spark: SparkSession, features: Sequence[str]) -> Column:
         """Score of each row: near -1 for rows that are easy to isolate, near 0 for the others."""
-        shared = spark.sparkContext.broadcast(self.forest(features))
+        shared = spark.sparkContext.broadcast(self.forest(features).parts)
         trees = int(self.nodes["tree"].nunique())
         norm = float(average_path(self.sample_size)) or 1.0
 
         @F.pandas_udf("double")
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-            forest = shared.value
+            forest = Forest(**shared.value)
             for batch in batches:
                 rows = np.column_stack([c.to_numpy(dtype=np.float64) for c in batch])
                 mean = forest.total(rows)[:, 0] / trees
@@ -207,7 +207,9 @@ def fit_isolation_forest(
     nodes = grown.toPandas().sort_values(["tree", "node"]).reset_index(drop=True)
 
     model = IsolationForestModel(nodes, features, size, 0.0)
-    scores = df.select(model.score(spark, features).alias("score"))
+    inputs = df.select(*[F.col(f"`{c}`") for c in features])
+    spread = inputs.repartition(spark.sparkContext.defaultParallelism)
+    scores = spread.select(model.score(spark, features).alias("score"))
     model.offset = float(scores.agg(F.percentile("score", F.lit(contamination))).first()[0])
     return model
 

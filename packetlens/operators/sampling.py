@@ -1,19 +1,21 @@
-"""Exact-size samples without a global sort and without collecting a class into one task.
+"""Exact-size samples in two passes, without a global sort.
 
-Rows are ranked by a seeded hash. A histogram over hash prefixes, built with map-side partial
-aggregation, tells in which prefix the sample ends. Rows below that prefix are all in, rows above
-are all out; only the rows of that one prefix (about one row in a million) are ordered.
+The first pass counts rows per class, with map-side partial counts. The second keeps, while scanning,
+the rows whose seeded hash lies below a bound that a little more than the wanted number is expected
+to meet. Only those few are written, counted, ordered and cut to size. Should a bound have been too
+tight, that pass is repeated with a wider one, so the size is exact whatever the data.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.labels import NORMAL
 from ..sources.schemas import require_columns
+from ..sources.workspace import materialize
 
 MAX_NORMAL_ROWS = 300_000
 MAX_LABELLED_ROWS = 500_000
@@ -21,54 +23,53 @@ MAX_LABELLED_ROWS = 500_000
 # Class tables are broadcast up to this many classes; beyond it they are joined by shuffle.
 BROADCAST_CLASSES = 10_000
 
-_PREFIX = 5
+_DIGITS = 12
 
 
 def sample_hash(key: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws("|", *key)))
 
 
-def _class_join(df: DataFrame, classes: DataFrame, column: str) -> DataFrame:
-    """Join with one row per class; the class table is computed once when it is small."""
-    few = classes.limit(BROADCAST_CLASSES + 1).collect()
-    if len(few) <= BROADCAST_CLASSES:
-        classes = F.broadcast(df.sparkSession.createDataFrame(few, classes.schema))
-    return df.join(classes, column)
+def _bound(share: Column) -> Column:
+    """Hash text below which ``share`` of all hashes lie; above every hash for a share of one."""
+    digits = F.lower(F.lpad(F.hex(F.floor(share * float(16**_DIGITS))), _DIGITS, "0"))
+    return F.when(share < 1, digits).otherwise("g")
 
 
-def _lowest(df: DataFrame, stratum: str, quota: Column, key: Sequence[str], seed: int) -> DataFrame:
-    """Per stratum the ``quota`` rows of lowest hash; ``quota`` is in terms of ``n`` and ``total``.
+def _lowest(
+    df: DataFrame,
+    stratum: str,
+    quota: Callable[[Column, int], Column],
+    key: Sequence[str],
+    seed: int,
+) -> DataFrame:
+    """Per stratum the rows of lowest hash, as many as ``quota(size, total)``.
 
-    ``key`` must identify a row: rows of equal key hash alike and end up in the same prefix.
+    ``key`` must identify a row: rows of equal key hash alike.
     """
+    sizes = materialize(df.groupBy(stratum).agg(F.count("*").alias("_size")), "class-sizes")
+    total = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
+    classes = sizes.withColumn("_quota", quota(F.col("_size"), total).cast("bigint"))
+    few = classes.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
     hashed = df.withColumn("_hash", sample_hash(key, seed))
-    prefix = F.substring("_hash", 1, _PREFIX)
-    histogram = hashed.groupBy(stratum, prefix.alias("_prefix")).agg(F.count("*").alias("_n"))
-
-    sizes = histogram.groupBy(stratum).agg(F.sum("_n").alias("n"))
-    total = sizes.agg(F.sum("n")).scalar()
-    quotas = sizes.select(stratum, quota(F.col("n"), total).cast("bigint").alias("_quota"))
-
-    upto = Window.partitionBy(stratum).orderBy("_prefix").rowsBetween(Window.unboundedPreceding, 0)
-    running = histogram.withColumn("_upto", F.sum("_n").over(upto))
-    last = (
-        running.join(quotas, stratum)
-        .filter(F.col("_upto") - F.col("_n") < F.col("_quota"))
-        .groupBy(stratum)
-        .agg(
-            F.max("_prefix").alias("_last"),
-            (F.first("_quota") - F.max(F.col("_upto") - F.col("_n"))).alias("_rest"),
+
+    margin = 1.0
+    while True:
+        wanted = F.col("_quota") + margin * (10 * F.sqrt("_quota") + 100)
+        bounds = classes.select(
+            stratum, "_quota", "_size", _bound(wanted / F.col("_size")).alias("_bound")
         )
-    )
-    joined = _class_join(hashed, last, stratum)
-    below = joined.filter(prefix < F.col("_last"))
+        joined = hashed.join(F.broadcast(bounds) if few else bounds, stratum)
+        drawn = materialize(joined.filter(F.col("_hash") < F.col("_bound")), "drawn")
+        got = drawn.groupBy(stratum).agg(F.count("*").alias("_got"))
+        need = F.least("_quota", "_size")
+        short = bounds.join(got, stratum, "left").filter(F.coalesce("_got", F.lit(0)) < need)
+        if short.isEmpty():
+            break
+        margin *= 8
     order = Window.partitionBy(stratum).orderBy("_hash", *key)
-    edge = (
-        joined.filter(prefix == F.col("_last"))
-        .withColumn("_rank", F.row_number().over(order))
-        .filter(F.col("_rank") <= F.col("_rest"))
-    )
-    return below.select(*df.columns).unionAll(edge.select(*df.columns))
+    ranked = drawn.withColumn("_rank", F.row_number().over(order))
+    return ranked.filter(F.col("_rank") <= F.col("_quota")).select(*df.columns)
 
 
 def sample_uniform(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
@@ -91,8 +92,10 @@ def sample_stratified(
 ) -> DataFrame:
     """``max_rows`` rows in proportion to class size, at least one per class; all rows when few."""
 
-    def quota(size: Column, total: Column) -> Column:
-        share = F.floor(size.cast("double") * (F.lit(float(max_rows)) / total.cast("double")))
-        return F.when(total > max_rows, F.greatest(F.lit(1), share)).otherwise(size)
+    def quota(size: Column, total: int) -> Column:
+        if total <= max_rows:
+            return size
+        share = F.floor(size.cast("double") * (float(max_rows) / float(total)))
+        return F.greatest(F.lit(1).cast("bigint"), share)
 
     return _lowest(df, column, quota, key, seed)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.packets import TCP
-from ..functions.text import is_blank, number_or_zero
+from ..functions.text import SPACE, is_blank, number_or_zero
 from .schemas import PACKET_FIELDS, field_column, require_columns
 
 # Ports of the default capture predicate.
@@ -32,6 +32,14 @@ def _split(line: Column) -> Column:
     return F.split(F.rtrim(line, F.lit("\r\n")), "\t", -1)
 
 
+def _line_pattern(width: int) -> str:
+    """Lines of ``width`` fields that are not blank.
+
+    A filter on the size of the split would make Catalyst split every line twice.
+    """
+    return rf"(?s)^(?={SPACE}*+.)[^\t]*+(?:\t[^\t]*+){{{width - 1}}}\z"
+
+
 def parse_packets(
     lines: DataFrame, fields: Sequence[str] | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -41,9 +49,7 @@ def parse_packets(
     expression serves batch and streaming input, and nothing is shuffled.
     """
     fields = list(fields or PACKET_FIELDS)
-    # One pattern tests the width: a filter on the split's size would make Catalyst split twice.
-    width = rf"^[^\t]*+(?:\t[^\t]*+){{{len(fields) - 1}}}\z"
-    parts = lines.filter(~is_blank(F.col("value")) & F.col("value").rlike(width)).select(
+    parts = lines.filter(F.col("value").rlike(_line_pattern(len(fields)))).select(
         *keep, _split(F.col("value")).alias("_parts")
     )
     return parts.select(

@@ -1,0 +1,133 @@
+import math
+
+import pytest
+from pyspark.sql import Observation
+
+from packetlens.operators import flows as O
+from packetlens.plans import training
+from packetlens.sources import flows as S
+
+
+def write(folder, name, text):
+    (folder / name).write_text(text)
+
+
+def test_repeated_headers_are_numbered():
+    assert S.distinct_header(["a", "b", "a", "a"]) == ["a", "b", "a.1", "a.2"]
+    assert S.distinct_header(["a", "a", "a.1"]) == ["a", "a.2", "a.1"]
+
+
+def test_headers_types_and_nulls(spark, tmp_path):
+    write(
+        tmp_path,
+        "one.csv",
+        "Flow ID, Fwd Header Length,Flow Bytes/s,Fwd Header Length,Note, Label\n"
+        "f1,1,2.5,3,x, BENIGN\n"
+        "f2,4,Infinity,6,y,DDoS\n"
+        "f3,7,NaN,9,NA,DDoS \n"
+        'f4,10,,12,"q, ""w""",Web Attack XSS\n',
+    )
+    table = S.read_flows(spark, str(tmp_path))
+    assert table.columns == [
+        "Flow ID", " Fwd Header Length", "Flow Bytes/s", "Fwd Header Length", "Note", " Label",
+    ]
+    assert dict(table.dtypes)["Flow Bytes/s"] == "double"
+    rows = {r["Flow ID"]: r for r in table.collect()}
+    assert rows["f1"][" Label"] == " BENIGN"
+    assert math.isinf(rows["f2"]["Flow Bytes/s"])
+    assert rows["f3"]["Flow Bytes/s"] is None and rows["f3"]["Note"] is None
+    assert rows["f4"]["Flow Bytes/s"] is None and rows["f4"]["Note"] == 'q, "w"'
+    with pytest.raises(ValueError, match="fwd_header_length"):
+        O.normalize_columns(table)
+
+
+def test_exact_repeats_get_a_suffix_and_survive_normalizing(spark, tmp_path):
+    write(tmp_path, "one.csv", "Fwd Header Length,Fwd Header Length,Label\n1,2,BENIGN\n")
+    table = O.normalize_columns(S.read_flows(spark, str(tmp_path)))
+    assert table.columns == ["fwd_header_length", "fwd_header_length.1", "label"]
+    features = O.flow_features(O.clean_flows(table.toDF("a", "b", "label")))
+    assert features.first().attack_type == "normal"
+
+
+def test_a_column_that_one_file_lacks_drops_its_rows(spark, tmp_path):
+    write(tmp_path, "a.csv", "x,y,Label\n1,2,BENIGN\n")
+    write(tmp_path, "b.csv", "x,Label\n3,BENIGN\n")
+    write(tmp_path, "c.txt", "ignored")
+    (tmp_path / "sub").mkdir()
+    write(tmp_path / "sub", "d.csv", "x,y,Label\n9,9,BENIGN\n")
+    assert S.read_flows(spark, str(tmp_path)).count() == 2
+    assert [r.x for r in training.load_flows(spark, str(tmp_path)).collect()] == [1.0]
+
+
+def test_a_column_is_numeric_only_if_it_is_in_all_files(spark, tmp_path):
+    write(tmp_path, "a.csv", "x,flag,Label\n1,True,A\n")
+    write(tmp_path, "b.csv", "x,flag,Label\none,False,B\n")
+    table = S.read_flows(spark, str(tmp_path))
+    assert dict(table.dtypes) == {"x": "string", "flag": "string", "Label": "string"}
+
+
+def test_no_csv_and_bad_folder(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        S.read_flows(spark, str(tmp_path))
+    with pytest.raises(ValueError):
+        S.read_flows(spark, "")
+
+
+def test_clean_counts_and_drops(spark):
+    rows = [
+        ("a", 1.0, "x"), ("b", math.inf, "x"), ("c", -math.inf, "x"), ("d", math.nan, "x"),
+        (None, 1.0, "x"), ("e", 1.0, None), ("f", 2.0, "y"),
+    ]
+    table = spark.createDataFrame(rows, "timestamp string, v double, label string")
+    seen = Observation("kept")
+    assert sorted(r.timestamp for r in O.clean_flows(table, seen).collect()) == ["a", "f"]
+    assert seen.get == {"rows": 7, "kept": 2}
+    with pytest.raises(ValueError, match="label"):
+        O.clean_flows(table.drop("label"))
+
+
+def test_labels(spark):
+    raw = [" BENIGN", "Benign ", "Web Attack XSS", "DDoS\t", "Dos  Hulk"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(raw)], "i int, label string")
+    got = [r.label for r in O.normalize_labels(table).orderBy("i").collect()]
+    assert got == ["normal", "normal", "web_attack_xss", "ddos", "dos__hulk"]
+
+
+def test_features_are_numeric_without_identifiers(spark):
+    table = spark.createDataFrame(
+        [("f", "1.1.1.1", 1.0, 2, True, "s", "BENIGN")],
+        "flow_id string, source_ip string, a double, b bigint, c boolean, d string, label string",
+    )
+    assert O.flow_features(table).columns == ["a", "b", "attack_type"]
+    with pytest.raises(ValueError, match="No numeric"):
+        O.flow_features(table.drop("a", "b"))
+
+
+def test_training_from_a_folder(spark, tmp_path):
+    folder = tmp_path / "flows"
+    folder.mkdir()
+    text = "Flow ID,Dur,Bytes,Label\n" + "".join(
+        f"f{i},{i % 5},{1000 + i if i % 4 else 10 + i % 3},{'DDoS' if i % 4 else 'BENIGN'}\n"
+        for i in range(600)
+    )
+    write(folder, "a.csv", text)
+    paths = training.train_from_flows(
+        spark, str(folder), str(tmp_path / "models"), classifier_trees=10, max_depth=4, detector_trees=20
+    )
+    from packetlens.operators import classify, iforest
+    from packetlens.sources.schemas import read_feature_schema
+
+    schema = read_feature_schema(spark, paths["schema"])
+    assert schema == ["dur", "bytes"]
+    table = training.load_flow_features(spark, str(folder)).drop("attack_type")
+    scored = iforest.detect_anomalies(table, paths["detector"], schema)
+    labelled = classify.classify_attacks(scored, paths["classifier"], schema)
+    flagged = labelled.filter("is_anomaly = 1")
+    assert flagged.filter("attack_type = 'ddos' and bytes >= 1000").count() > 0
+    assert flagged.filter("attack_type = 'ddos' and bytes < 100").count() == 0
+
+
+def test_training_without_normal_rows(spark, tmp_path):
+    table = spark.createDataFrame([(1.0, "ddos")], "a double, attack_type string")
+    with pytest.raises(ValueError, match="normal"):
+        training.train(table, ["a"], str(tmp_path))

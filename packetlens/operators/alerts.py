@@ -78,24 +78,35 @@ def instants(
     )
 
 
-def _block(window_us: int) -> int:
-    """Block width: at least the window, so that it reaches back into one other block at most."""
-    return max(window_us, _BLOCK)
+def _width(window_us: int) -> int:
+    """Block width: several windows, so that few rows are copied to the block after theirs."""
+    return max(4 * window_us, _BLOCK)
 
 
-def _block_of(us: Column, width: int) -> Column:
-    return ((us - F.pmod(us, F.lit(width))) / width).cast("bigint")
+def _within(us: Column, width: int) -> Column:
+    """Microseconds since the block began."""
+    return F.pmod(us, F.lit(width))
+
+
+def _block(us: Column, width: int) -> Column:
+    return ((us - _within(us, width)) / width).cast("bigint")
+
+
+def _is_tail(us: Column, width: int, window_us: int) -> Column:
+    """Whether a window of the next block can reach this instant."""
+    return _within(us, width) >= width - window_us
 
 
 def _positions(points: DataFrame, measure: str, window_us: int) -> DataFrame:
-    """Per instant of ``points``: events up to and with it (``upto``) and before its window starts (``before``).
+    """Per instant of ``points``: events up to and with it (``upto``) and before its window starts
+    (``before``).
 
-    Both count from the start of the previous block, whose rows are copied into each block as
-    context. A running sum replaces a sliding frame, which would read every window anew.
+    Both count from one window before the block, whose rows are copied into the block as context.
+    A running sum replaces a sliding frame, which would read every window anew.
     """
-    width = _block(window_us)
+    width = _width(window_us)
     us, n = F.col("event_us"), F.col(measure)
-    block = _block_of(us, width)
+    block = _block(us, width)
     nobody = F.lit(None).cast("bigint")
 
     def row(block: Column, at: Column, is_event: int, n: Column, owner: Column) -> Column:
@@ -104,14 +115,12 @@ def _positions(points: DataFrame, measure: str, window_us: int) -> DataFrame:
             n.alias("n"), owner.alias("event_us"),
         )
 
+    own = [row(block, us, 1, n, us), row(block, us - window_us, 0, F.lit(0).cast("bigint"), us)]
+    context = row(block + 1, us, 1, n, nobody)
     rows = points.select(
         "sensor",
         F.inline(
-            F.array(
-                row(block, us, 1, n, us),
-                row(block + 1, us, 1, n, nobody),
-                row(block, us - window_us, 0, F.lit(0).cast("bigint"), us),
-            )
+            F.when(_is_tail(us, width, window_us), F.array(*own, context)).otherwise(F.array(*own))
         ),
     )
     order = Window.partitionBy("sensor", "block").orderBy("at", "is_event")
@@ -183,7 +192,7 @@ def _chain_blocks(k: int):
         total, block = blocks["total"].to_numpy(), blocks["block"].to_numpy()
         has_context = np.zeros(len(block), dtype=bool)
         has_context[1:] = block[1:] == block[:-1] + 1
-        context = np.where(has_context, np.concatenate([[0], total[:-1]]), 0)
+        context = np.where(has_context, np.concatenate([[0], blocks["tail"].to_numpy()[:-1]]), 0)
         base = np.cumsum(total) - total - context
         rows, allowed = [], 0
         for at, (first, out) in enumerate(zip(blocks["first"], blocks["out"])):
@@ -255,11 +264,11 @@ def _alerts_of_kind(points: DataFrame, kind: str, window_us: int, k: int) -> Dat
     tables = candidates.groupBy("sensor", "block").applyInPandas(
         _block_table(k), "sensor string, block bigint, first bigint, out array<bigint>"
     )
-    width = _block(window_us)
+    width = _width(window_us)
     us, measure = F.col("event_us"), F.col(MEASURES[kind])
-    totals = (
-        points.groupBy("sensor", _block_of(us, width).alias("block"))
-        .agg(F.sum(measure).alias("total"))
+    in_tail = F.when(_is_tail(us, width, window_us), measure).otherwise(0)
+    totals = points.groupBy("sensor", _block(us, width).alias("block")).agg(
+        F.sum(measure).alias("total"), F.sum(in_tail).alias("tail")
     )
     starts = (
         totals.join(tables, ["sensor", "block"], "left")

@@ -81,7 +81,8 @@ class IsolationForestModel:
         def score(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
             forest = Forest(**shared.value)
             for batch in batches:
-                rows = np.column_stack([c.to_numpy(dtype=np.float64) for c in batch])
+                columns = batch if isinstance(batch, tuple) else (batch,)
+                rows = np.column_stack([c.to_numpy(dtype=np.float64) for c in columns])
                 mean = forest.total(rows)[:, 0] / trees
                 yield pd.Series(-np.power(2.0, -mean / norm))
 

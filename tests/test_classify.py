@@ -1,0 +1,105 @@
+import pytest
+from pyspark.sql import functions as F
+
+from packetlens.operators import classify as C
+from packetlens.operators.iforest import write_meta
+
+FEATURES = ["x", "y"]
+
+
+@pytest.fixture(scope="module")
+def table(spark):
+    noise = F.randn(1) * 0.3
+    label = F.when(F.col("x") < 1, "DoS").when(F.col("y") < 2, "PortScan").otherwise("BruteForce")
+    made = (
+        spark.range(1500)
+        .select(
+            "id", (F.col("id") % 4 + noise).alias("x"), (F.col("id") % 5 + noise).alias("y")
+        )
+        .withColumn("attack_type", label)
+        .persist()
+    )
+    made.count()
+    return made
+
+
+@pytest.fixture(scope="module")
+def model(table, tmp_path_factory):
+    path = str(tmp_path_factory.mktemp("rf") / "m")
+    return C.fit_classifier(table, FEATURES, path=path, trees=15, max_depth=6)
+
+
+def flagged(table):
+    return table.withColumnRenamed("attack_type", "truth").withColumn(
+        "is_anomaly", F.when(F.col("id") % 3 != 0, 1).otherwise(0)
+    )
+
+
+def test_classes_are_in_alphabetical_order(model):
+    assert model.labels == ["BruteForce", "DoS", "PortScan"]
+
+
+def test_flagged_rows_get_labels_and_the_others_are_normal(table, model):
+    rows = C.predict_attack_types(flagged(table), model).collect()
+    assert len(rows) == 1500
+    quiet = [r for r in rows if r.is_anomaly == 0]
+    assert {(r.attack_type, r.attack_confidence) for r in quiet} == {("normal", 1.0)}
+    loud = [r for r in rows if r.is_anomaly == 1]
+    assert sum(r.attack_type == r.truth for r in loud) / len(loud) > 0.97
+    assert all(1 / 3 - 1e-9 <= r.attack_confidence <= 1 + 1e-9 for r in loud)
+
+
+def test_same_as_spark_ml(table, model):
+    columns = ["id", "_label", "_confidence"]
+    ours = model.classify(flagged(table), FEATURES).filter("is_anomaly = 1").select(*columns)
+    theirs = model.transform(flagged(table), FEATURES).filter("is_anomaly = 1").select(*columns)
+    a, b = (sorted(map(tuple, d.collect())) for d in (ours, theirs))
+    assert [r[:2] for r in a] == [r[:2] for r in b]
+    assert all(abs(x[2] - y[2]) < 1e-9 for x, y in zip(a, b))
+
+
+def test_large_models_are_not_broadcast(table, model, monkeypatch):
+    monkeypatch.setattr(C, "BROADCAST_NODES", 1)
+    rows = C.predict_attack_types(flagged(table), model)
+    assert rows.count() == 1500
+    assert rows.filter("is_anomaly = 0 and attack_type = 'normal'").count() == 500
+
+
+def test_nothing_flagged(table, model):
+    none = flagged(table).withColumn("is_anomaly", F.lit(0))
+    assert C.predict_attack_types(none, model).filter("attack_type = 'normal'").count() == 1500
+
+
+def test_null_flag_is_not_flagged(table, model):
+    unknown = flagged(table).withColumn("is_anomaly", F.lit(None).cast("int"))
+    assert C.predict_attack_types(unknown, model).filter("attack_type = 'normal'").count() == 1500
+
+
+def test_missing_features(table, model):
+    row = C.predict_attack_types(flagged(table).drop("y"), model).filter("is_anomaly = 1").first()
+    assert (row.attack_type, row.attack_confidence) == ("anomaly", 0.0)
+    with pytest.raises(ValueError, match="Missing"):
+        C.predict_attack_types(flagged(table).drop("y"), model, strict_schema=True)
+    with pytest.raises(ValueError, match="is_anomaly"):
+        C.predict_attack_types(table, model)
+
+
+def test_save_and_load(spark, table, model, tmp_path):
+    again = C.load_classifier(spark, model.save(spark, str(tmp_path / "copy")).path)
+    assert (again.labels, again.features) == (model.labels, model.features)
+    a = C.predict_attack_types(flagged(table), model).select("id", "attack_type", "attack_confidence")
+    b = C.classify_attacks(flagged(table), again.path).select("id", "attack_type", "attack_confidence")
+    assert a.exceptAll(b).count() == 0
+
+
+def test_load_errors(spark, tmp_path):
+    with pytest.raises(FileNotFoundError):
+        C.load_classifier(spark, str(tmp_path / "nothing"))
+    write_meta(spark, {"kind": "isolation_forest"}, str(tmp_path / "other"))
+    with pytest.raises(ValueError, match="expected"):
+        C.load_classifier(spark, str(tmp_path / "other"))
+
+
+def test_one_scan_without_a_shuffle(table, model):
+    plan = C.predict_attack_types(flagged(table), model)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("InMemoryTableScan [") == 1 and "Union" not in plan

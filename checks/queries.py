@@ -516,14 +516,11 @@ def train_job(spark, sf):
 
 @query
 def train_flow_job(spark, sf):
+    folder = _flow_csv(spark, sf)
     paths = training.train_from_flows(
-        spark,
-        _flow_csv(spark, sf),
-        new_folder(spark, "models"),
-        classifier_trees=10,
-        max_depth=5,
+        spark, folder, new_folder(spark, "models"), classifier_trees=10, max_depth=5
     )
-    table = training.load_flow_features(spark, _flow_csv(spark, sf)).drop("attack_type")
+    table = training.load_flow_features(spark, folder).drop("attack_type")
     scored = iforest.detect_anomalies(table, paths["detector"])
     labelled = classify.classify_attacks(scored, paths["classifier"])
     return labelled.groupBy("is_anomaly", "attack_type").agg(F.count("*").alias("flows"))

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import NORMAL
 from ..sources.schemas import model_columns, require_columns
-from ..sources.workspace import new_folder
+from ..sources.workspace import materialize, new_folder
 from .forest import Forest
 from .iforest import read_meta, write_meta
 
@@ -83,7 +83,7 @@ class AttackClassifier:
                 left=left,
                 right=right,
                 value=stats / np.maximum(stats.sum(axis=1, keepdims=True), 1e-300),
-                depth=int(depth.max()),
+                depth=depth,
             )
         return self._forest
 
@@ -179,6 +179,8 @@ def fit_classifier(
         F.col(label).alias("_label"),
         *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(features, names)],
     )
+    # Training makes several passes: write its input once instead of computing it for each.
+    inputs = materialize(inputs.repartition(spark.sparkContext.defaultParallelism), "labelled")
     indexer = StringIndexer(inputCol="_label", outputCol="label", stringOrderType="alphabetAsc")
     indexed = indexer.fit(inputs)
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(
@@ -186,7 +188,7 @@ def fit_classifier(
     )
     model = RandomForestClassifier(
         numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", impurity="gini", seed=seed
-    ).fit(vectors.select("label", "features").repartition(spark.sparkContext.defaultParallelism))
+    ).fit(vectors.select("label", "features"))
     return _saved(
         spark, model, features, list(indexed.labels), path or new_folder(spark, "classifier")
     )

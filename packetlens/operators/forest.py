@@ -6,50 +6,46 @@ import numpy as np
 
 
 class Forest:
-    """Trees as flat node arrays. A row goes left where ``x[feature] <= threshold``.
+    """Trees as flat node arrays, one tree after the other, roots first.
 
-    Leaves point to themselves, so that all rows walk the same number of levels. ``value`` holds one
-    row of leaf payload per node; ``total`` sums it over the trees.
+    A row goes left where ``x[feature] <= threshold``. Leaves point to themselves, so that all rows
+    of a batch walk a tree's full depth together. ``value`` holds one row of payload per node, and
+    ``total`` sums the payloads of the leaves that a row reaches.
     """
 
-    def __init__(self, roots, feature, threshold, left, right, value, depth: int):
+    def __init__(self, roots, feature, threshold, left, right, value, depth):
         #: Plain arrays, to be broadcast: executors need not know this class to read them.
         self.parts = {
-            "roots": np.asarray(roots, dtype=np.int32),
-            "feature": np.asarray(feature, dtype=np.int32),
+            "roots": np.asarray(roots, dtype=np.int64),
+            "feature": np.asarray(feature, dtype=np.int64),
             "threshold": np.asarray(threshold, dtype=np.float64),
-            "left": np.asarray(left, dtype=np.int32),
-            "right": np.asarray(right, dtype=np.int32),
+            "left": np.asarray(left, dtype=np.int64),
+            "right": np.asarray(right, dtype=np.int64),
             "value": np.asarray(value, dtype=np.float64),
-            "depth": depth,
+            "depth": np.asarray(depth, dtype=np.int64),
         }
-        at = np.arange(len(feature), dtype=np.int32)
-        leaf = np.asarray(left) < 0
-        self.roots = np.asarray(roots, dtype=np.int32)
-        self.feature = np.where(leaf, 0, feature).astype(np.int32)
-        self.threshold = np.where(leaf, np.inf, threshold).astype(np.float64)
-        self.children = np.stack(
-            [np.where(leaf, at, right), np.where(leaf, at, left)], axis=1
-        ).astype(np.int32)
-        self.value = np.asarray(value, dtype=np.float64)
-        self.depth = depth
+        at = np.arange(len(feature))
+        leaf = self.parts["left"] < 0
+        self.roots = self.parts["roots"]
+        self.feature = np.where(leaf, 0, self.parts["feature"])
+        self.threshold = np.where(leaf, np.inf, self.parts["threshold"])
+        children = [np.where(leaf, at, self.parts[side]) for side in ("right", "left")]
+        self.children = np.stack(children, axis=1).ravel()
+        self.value = self.parts["value"]
+        self.levels = np.maximum.reduceat(self.parts["depth"], self.roots)
 
     def total(self, rows: np.ndarray) -> np.ndarray:
         """Sum of leaf payloads per row; equal rows of the batch walk the trees once."""
         if not len(rows):
             return np.zeros((0, self.value.shape[1]))
         rows, back = np.unique(rows + 0.0, axis=0, return_inverse=True)
-        flat, width = np.ascontiguousarray(rows).ravel(), rows.shape[1]
-        offset = np.arange(len(rows)) * width
-        children = self.children.ravel()
+        flat = np.ascontiguousarray(rows).ravel()
+        start = np.arange(len(rows)) * rows.shape[1]
         result = np.zeros((len(rows), self.value.shape[1]))
-        for root in self.roots:
-            node = np.full(len(rows), root, dtype=np.int32)
-            for _ in range(self.depth):
-                goes_left = flat[offset + self.feature[node]] <= self.threshold[node]
-                moved = children[2 * node + goes_left]
-                if np.array_equal(moved, node):
-                    break
-                node = moved
-            result += self.value[node]
+        for root, levels in zip(self.roots, self.levels):
+            node = np.full(len(rows), root)
+            for _ in range(levels):
+                x = flat.take(start + self.feature.take(node))
+                node = self.children.take(2 * node + (x <= self.threshold.take(node)))
+            result += self.value.take(node, axis=0)
         return result[back.reshape(-1)]

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..sources.schemas import model_columns, path_exists, require_columns
+from ..sources.workspace import materialize
 from .forest import Forest
 from .sampling import MAX_NORMAL_ROWS, sample_uniform
 
@@ -68,7 +69,7 @@ class IsolationForestModel:
             left=child("left"),
             right=child("right"),
             value=(nodes["depth"] + average_path(nodes["n"])).to_numpy().reshape(-1, 1),
-            depth=int(nodes["depth"].max()),
+            depth=nodes["depth"],
         )
 
     def score(self, spark: SparkSession, features: Sequence[str]) -> Column:
@@ -185,11 +186,15 @@ def fit_isolation_forest(
     """
     spark, features = df.sparkSession, list(features)
     require_columns(df, [*features, *key])
+    names = [c for c in dict.fromkeys([*key, *features])]
+    df = df.select(*[F.col(f"`{c}`") for c in names])
     n = df.count()
     if n == 0:
         raise ValueError("Input DataFrame is empty; cannot fit an isolation forest.")
     if n > max_rows:
         df, n = sample_uniform(df, max_rows, key, seed), max_rows
+    # At most max_rows rows, read twice below: once for the trees, once for the offset.
+    df = materialize(df.repartition(spark.sparkContext.defaultParallelism), "forest-rows")
     size = min(rows_per_tree, n)
     share = min(1.0, 2 * size / n)
 
@@ -208,9 +213,7 @@ def fit_isolation_forest(
     nodes = grown.toPandas().sort_values(["tree", "node"]).reset_index(drop=True)
 
     model = IsolationForestModel(nodes, features, size, 0.0)
-    inputs = df.select(*[F.col(f"`{c}`") for c in features])
-    spread = inputs.repartition(spark.sparkContext.defaultParallelism)
-    scores = spread.select(model.score(spark, features).alias("score"))
+    scores = df.select(model.score(spark, features).alias("score"))
     model.offset = float(scores.agg(F.percentile("score", F.lit(contamination))).first()[0])
     return model
 

@@ -65,12 +65,17 @@ def alert_limits(
     }
 
 
+def sensor_name(sensor: Column | None) -> Column:
+    """Whose packets are counted together; a packet without a sensor counts under empty text."""
+    return F.lit("all") if sensor is None else F.coalesce(sensor.cast("string"), F.lit(""))
+
+
 def instants(
     packets: DataFrame, sensor: Column | None = None, time: str = "event_us", flag: str = "is_anomaly"
 ) -> DataFrame:
     """Packets and anomalies per sensor and microsecond."""
     return packets.groupBy(
-        (F.lit("all") if sensor is None else sensor.cast("string")).alias("sensor"),
+        sensor_name(sensor).alias("sensor"),
         F.col(time).alias("event_us"),
     ).agg(
         F.count("*").alias("packets"),
@@ -153,7 +158,7 @@ def with_window_counts(
     One instant's packets can be many, but the other side of the join has one row per instant, so
     AQE may split a hot instant over tasks.
     """
-    keyed = packets.withColumn("_sensor", F.lit("all") if sensor is None else sensor.cast("string"))
+    keyed = packets.withColumn("_sensor", sensor_name(sensor))
     counts = window_counts(instants(keyed, F.col("_sensor")), measure, window_us)
     return keyed.join(
         counts.withColumnRenamed("sensor", "_sensor"), ["_sensor", "event_us"]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState
 
-from ..operators.alerts import MEASURES, MESSAGES, _CHUNK, alert_limits, fold_instants
+from ..operators.alerts import MEASURES, MESSAGES, _CHUNK, alert_limits, fold_instants, sensor_name
 
 INSTANT_SCHEMA = "sensor string, event_time timestamp, packets bigint, anomalies bigint"
 HEARTBEAT_SCHEMA = "event_us bigint"
@@ -31,11 +31,15 @@ def stream_instants(
     heartbeats: str | None = None,
     delay: str = "30 seconds",
     sensor: Column | None = None,
+    time: Column | None = None,
 ) -> DataFrame:
-    """Streaming ``instants`` of packets with ``event_us`` and ``is_anomaly``."""
+    """Streaming ``instants`` of packets with ``event_us`` and ``is_anomaly``.
+
+    Packets are taken at their capture time, or at another ``time`` such as that of their arrival.
+    """
     rows = packets.select(
-        (F.lit("all") if sensor is None else sensor.cast("string")).alias("sensor"),
-        F.timestamp_micros("event_us").alias("event_time"),
+        sensor_name(sensor).alias("sensor"),
+        (F.timestamp_micros("event_us") if time is None else time).alias("event_time"),
         F.lit(1).alias("packets"),
         (F.col("is_anomaly") == 1).cast("int").alias("anomalies"),
     )

@@ -131,6 +131,16 @@ def test_window_counts_per_packet(spark):
             assert r.window_count == want
 
 
+def test_packets_without_a_sensor_are_kept(spark):
+    packets = spark.createDataFrame(
+        [(None, 1, 1), (None, 1, 1), ("a", 1, 1)], "sensor string, event_us bigint, is_anomaly int"
+    )
+    counted = A.with_window_counts(packets, 10, "packets", F.col("sensor"))
+    assert sorted(r.window_count for r in counted.collect()) == [1, 2, 2]
+    found = A.find_alerts(A.instants(packets, F.col("sensor")), {"anomaly": (10, 1)})
+    assert [(r.sensor, r.rn) for r in found.collect()] == [("", 2)]
+
+
 def test_limits():
     assert A.alert_limits() == {"anomaly": (10_000_000, 5), "traffic": (1_000_000, 200)}
     assert A.alert_limits(traffic_window=5)["traffic"] == (5_000_000, 1000)

@@ -128,6 +128,18 @@ def test_late_packets_are_dropped(spark, tmp_path):
     assert dropped == 50
 
 
+def test_arrival_time_instead_of_capture_time(spark, source, tmp_path):
+    out = str(tmp_path / "out")
+    beats = str(tmp_path / "beats")
+    SA.send_heartbeat(spark, beats, 4_000_000_000_000_000)
+    points = SA.stream_instants(
+        flagged(spark, source, 10), beats, "1 second", time=F.current_timestamp()
+    )
+    RT.append_table(points, out, NOW).awaitTermination()
+    got = spark.read.schema(SA.INSTANT_SCHEMA).parquet(out).filter("packets > 0").collect()
+    assert [r.packets for r in got] == [1200]
+
+
 def test_endless_job(spark, source, tmp_path):
     base = str(tmp_path / "rt")
     queries = RT.start_realtime(

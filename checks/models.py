@@ -32,7 +32,7 @@ def frozen_forest() -> IsolationForestModel:
 
 
 class FlagClassifier:
-    """Labels by the SYN bit, with a two-digit confidence taken from the row number."""
+    """Labels by the SYN bit, with a two-digit confidence taken from the packet's time."""
 
     features = list(PACKET_FEATURES)
 

@@ -1,4 +1,4 @@
-"""Text clean-up and text-to-number expressions with the reference's coercion rules."""
+"""Text clean-up, and numbers from text by the rules of data frames in memory."""
 
 from __future__ import annotations
 

@@ -29,7 +29,7 @@ SEED = 42
 MAX_DEPTH = 15
 
 # A model of more nodes is not collected and broadcast: Spark ML then transforms the flagged rows.
-BROADCAST_NODES = 4_000_000
+BROADCAST_NODES = 1_000_000
 
 
 class Classifier(Protocol):
@@ -65,7 +65,8 @@ class AttackClassifier:
                     F.get(node["split"]["leftCategoriesOrThreshold"], F.lit(0)).alias("threshold"),
                     node["impurityStats"].alias("stats"),
                 )
-                .toPandas()
+                .toArrow()
+                .to_pandas()
                 .sort_values(["tree", "node"])
                 .reset_index(drop=True)
             )

@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.labels import NORMAL
-from ..sources.schemas import model_columns, require_columns
+from ..sources.schemas import model_columns, require_columns, require_inputs
 from ..sources.workspace import materialize, new_folder
 from .forest import Forest
 from .iforest import read_meta, write_meta
@@ -89,6 +89,8 @@ class AttackClassifier:
         return self._forest
 
     def classify(self, df: DataFrame, features: Sequence[str]) -> DataFrame:
+        require_inputs(features, self.features)
+        features = self.features
         if self.node_count > BROADCAST_NODES:
             return self.transform(df, features)
         spark = df.sparkSession

@@ -18,7 +18,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.schemas import model_columns, path_exists, require_columns
+from ..sources.schemas import model_columns, path_exists, require_columns, require_inputs
 from ..sources.workspace import materialize
 from .forest import Forest
 from .sampling import MAX_NORMAL_ROWS, sample_uniform
@@ -73,7 +73,13 @@ class IsolationForestModel:
         )
 
     def score(self, spark: SparkSession, features: Sequence[str]) -> Column:
-        """Score of each row: near -1 for rows that are easy to isolate, near 0 for the others."""
+        """Score of each row: near -1 for rows that are easy to isolate, near 0 for the others.
+
+        Only columns that some tree splits on are sent to Python.
+        """
+        used = set(self.nodes["feature"].dropna())
+        require_inputs(features, sorted(used))
+        features = [f for f in features if f in used] or list(features)[:1]
         shared = spark.sparkContext.broadcast(self.forest(features).parts)
         trees = int(self.nodes["tree"].nunique())
         norm = float(average_path(self.sample_size)) or 1.0

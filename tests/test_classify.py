@@ -103,3 +103,13 @@ def test_load_errors(spark, tmp_path):
 def test_one_scan_without_a_shuffle(table, model):
     plan = C.predict_attack_types(flagged(table), model)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("InMemoryTableScan [") == 1 and "Union" not in plan
+
+
+def test_other_inputs_than_trained_on(table, model):
+    with pytest.raises(ValueError, match="trained"):
+        C.predict_attack_types(flagged(table), model, ["x"])
+    a, b = (
+        C.predict_attack_types(flagged(table), model, names).select("id", "attack_type")
+        for names in (["x", "y"], ["y", "x"])
+    )
+    assert a.exceptAll(b).count() == 0

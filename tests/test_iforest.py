@@ -144,3 +144,11 @@ def test_infinite_input_goes_to_one_side(spark):
     rows = [packet(math.inf, 12, 1), packet(-math.inf, 12, 1), packet(math.nan, 12, 1)]
     scored = I.score_packets(spark.createDataFrame(rows, SCHEMA), frozen_forest())
     assert scored.filter("isnan(anomaly_score) or anomaly_score is null").count() == 0
+
+
+def test_other_inputs_than_trained_on(spark):
+    table = spark.createDataFrame([packet(1, 2, 1)], SCHEMA)
+    with pytest.raises(ValueError, match="trained"):
+        I.score_packets(table, frozen_forest(), ["frame_len", "hour_of_day"])
+    reordered = I.score_packets(table, frozen_forest(), list(reversed(PACKET_FEATURES))).first()
+    assert reordered.anomaly_score == I.score_packets(table, frozen_forest()).first().anomaly_score

@@ -1,6 +1,41 @@
 """DuckDB SQL for the queries that SQL can express."""
 
 ORACLE = {
+    "op7_decontamination": r"""
+        with words as (
+            select 'd' as kind, doc_id, '' as item_id, text from documents
+            union all select 'b', null, cast(item_id as varchar), text from benchmark
+        ), split as (
+            select kind, doc_id, item_id, row_number() over () as row_id, regexp_extract_all(
+                translate(coalesce(text, ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w
+            from words
+        ), windows as (
+            select distinct item_id, least(len(w), 10) as n, unnest(list_transform(
+                range(1, greatest(len(w) - 9, 1) + 1),
+                lambda i: array_to_string(w[i:i + 9], ' '))) as g
+            from split where kind = 'b' and len(w) > 0
+        ), sizes as (select distinct n from windows),
+        places as (
+            select row_id, n, unnest(range(1, len(w) - n + 2)) as i,
+                unnest(list_transform(range(1, len(w) - n + 2),
+                    lambda i: array_to_string(w[i:i + n - 1], ' '))) as g
+            from split, sizes where kind = 'd' and len(w) >= n
+        ), hits as (select row_id, item_id, i, n from places join windows using (n, g)),
+        hit_words as (
+            select row_id, count(distinct p) as n_hit
+            from (select row_id, unnest(range(i, i + n)) as p from hits) group by 1
+        ), hit_items as (
+            select row_id, count(*) as n_items, string_agg(item_id, ',' order by item_id) as names
+            from (select distinct row_id, item_id from hits) group by 1
+        )
+        select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit,
+            coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256,
+            coalesce(n_hit, 0) > 0 as contaminated
+        from split left join hit_words using (row_id) left join hit_items using (row_id)
+        where kind = 'd'
+    """,
     "op10_near_dedup": r"""
         with recursive words as (
             select doc_id, list_filter(

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import near_dedup, phrase_index
+from . import language_model, near_dedup, phrase_index
+from .frames import crc_of_id
 
 QUERIES = {}
 
@@ -19,6 +20,14 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+@query
+def op2_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    held_out = crc_of_id() % 7 == 2
+    model = language_model.fit(docs.filter(~held_out))
+    return language_model.score(docs, model, keep={"held_out": held_out})
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     items = spark.read.parquet(f"{sf}/benchmark.parquet")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, near_dedup, phrase_index
+from . import language_model, near_dedup, phrase_index, quality
 from .frames import crc_of_id
 
 QUERIES = {}
@@ -28,6 +28,15 @@ def op2_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return language_model.score(docs, model, keep={"held_out": held_out})
 
 
+@query
+def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    labels = spark.read.parquet(f"{sf}/labels.parquet").filter(crc_of_id() % 5 != 0)
+    scored = quality.score(docs, quality.fit(docs, labels), keep={"held_out": crc_of_id() % 5 == 0})
+    predicted = (F.col("score") >= quality.THRESHOLD).cast("int")
+    return scored.withColumn("predicted", predicted)
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     items = spark.read.parquet(f"{sf}/benchmark.parquet")

@@ -84,12 +84,12 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
 
 
 def text_blocks(
-    texts: pa.Array, block_bytes: int = BLOCK_BYTES
+    texts: pa.Array, block_bytes: int = BLOCK_BYTES, lower: bool = True
 ) -> Iterator[tuple[int, int, bytes, np.ndarray]]:
     """Runs of texts of about ``block_bytes``, at least one text each.
 
-    Yields first and last row (exclusive), the texts each followed by a line break, in lower case
-    A-Z, and the offset of each text's first byte with the end of the block last. Null is empty.
+    Yields first and last row (exclusive), the texts each followed by a line break, A-Z in lower
+    case if so wanted, and the offset of each text's first byte with the end of the block last. Null is empty.
     """
     values = [b"" if v is None else v for v in texts.cast(pa.large_binary()).to_pylist()]
     first, size = 0, 0
@@ -99,7 +99,8 @@ def text_blocks(
                 chosen = values[first:at]
                 lengths = np.fromiter((len(v) + 1 for v in chosen), dtype=np.int64, count=at - first)
                 offsets = np.concatenate([[0], np.cumsum(lengths)])
-                yield first, at, b"\n".join([*chosen, b""]).translate(_LOWER), offsets
+                block = b"\n".join([*chosen, b""])
+                yield first, at, block.translate(_LOWER) if lower else block, offsets
             first, size = at, 0
         if at < len(values):
             size += len(values[at]) + 1

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, near_dedup, phrase_index, quality
-from .frames import crc_of_id
+from . import language_model, near_dedup, phrase_index, quality, sharding
+from .frames import crc_of_id, utf8
 
 QUERIES = {}
 
@@ -37,6 +37,19 @@ def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     return scored.withColumn("predicted", predicted)
 
 
+@query
+def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
+    text = utf8("text")
+    rows = _documents(spark, sf).select(
+        "doc_id",
+        (F.length(text) + 1).cast("bigint").alias("size"),
+        F.crc32(text).alias("text_crc32"),
+        F.lit("rows").alias("law"),
+        F.lit(None).cast("int").alias("grown_shard"),
+    )
+    return sharding.shard(rows)
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     items = spark.read.parquet(f"{sf}/benchmark.parquet")

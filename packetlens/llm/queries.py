@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import language_model, near_dedup, phrase_index, quality, sharding
+from . import fingerprints, language_model, mixing, near_dedup, phrase_index, quality, sharding
 from .frames import crc_of_id, utf8
 
 QUERIES = {}
@@ -50,6 +50,12 @@ def op5_sharding(spark: SparkSession, sf: str) -> DataFrame:
     return sharding.shard(rows)
 
 
+@query
+def op6_mixing(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf).select("doc_id", "source", "lang", "text")
+    return mixing.mix_sources(docs).drop("text")
+
+
 @query
 def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
@@ -64,6 +70,20 @@ def op7_decontamination(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
+    found = fingerprints.edited_fingerprints(_documents(spark, sf))
+    return found.select(
+        "doc_id",
+        "n_chars",
+        F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+        fingerprints.as_text(F.col("entries")).alias("fingerprint"),
+        fingerprints.as_text(F.col("edited_entries")).alias("edited_fingerprint"),
+        "near_edited",
+        "near_next",
+    )
+
+
 @query
 def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf))

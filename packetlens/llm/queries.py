@@ -5,7 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, language_model, mixing, near_dedup, phrase_index, quality, sharding
+from . import (
+    fingerprints,
+    language_model,
+    mixing,
+    near_dedup,
+    phrase_index,
+    quality,
+    secret_scan,
+    sharding,
+    token_counts,
+)
 from .frames import crc_of_id, utf8
 
 QUERIES = {}
@@ -28,6 +38,26 @@ def op2_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     return language_model.score(docs, model, keep={"held_out": held_out})
 
 
+@query
+def op3_secrets(spark: SparkSession, sf: str) -> DataFrame:
+    found = secret_scan.find_secrets(_documents(spark, sf))
+
+    def of(kind: str):
+        return F.filter("spans", lambda s: s["kind"] == kind)
+
+    def listed(spans):
+        one = F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["stop"]))
+        return F.array_join(one, ",")
+
+    base = listed(F.filter("spans", lambda s: s["kind"] != "random"))
+    return found.select(
+        "doc_id",
+        *[F.size(of(k)).cast("bigint").alias(f"n_{k}") for k in secret_scan.KINDS],
+        F.sha2(base, 256).alias("base_sha256"),
+        listed(F.col("spans")).alias("spans"),
+    )
+
+
 @query
 def op4_quality(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf)
@@ -84,6 +114,11 @@ def op8_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return token_counts.section_tokens(_documents(spark, sf))
+
+
 @query
 def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf))

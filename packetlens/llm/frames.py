@@ -34,6 +34,11 @@ def unused(names: Sequence[str], wanted: str) -> str:
     return wanted
 
 
+def let(value: Column, run: Callable[[Column], Column]) -> Column:
+    """``run(value)`` with ``value`` computed once for a row, however often ``run`` uses it."""
+    return F.element_at(F.transform(F.array(value), run), 1)
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     """crc32 of an id written as text; null ids count as empty text."""
     return F.crc32(F.coalesce(F.col(column).cast("string"), F.lit("")).cast("binary"))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from . import (
     fingerprints,
     language_model,
+    licences,
     mixing,
     near_dedup,
     phrase_index,
@@ -30,6 +31,12 @@ def _documents(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/documents.parquet")
 
 
+@query
+def op1_licences(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _documents(spark, sf)
+    return licences.scan(docs, licences.fit(docs))
+
+
 @query
 def op2_lm_scoring(spark: SparkSession, sf: str) -> DataFrame:
     docs = _documents(spark, sf)

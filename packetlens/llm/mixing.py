@@ -134,6 +134,11 @@ def rates(cells: DataFrame, tokens: str, weight: str, budget: float, rate: str)
     return cells.withColumn(rate, F.least(F.lit(1.0), F.lit(scale) * need))
 
 
+def added_names(columns: Sequence[str]) -> list[str]:
+    """The names of the columns that ``mix_sources`` adds to a table with ``columns``."""
+    return [unused(columns, n) for n in ("n_tokens", "topic", "rate", "drawn")]
+
+
 def mix_sources(
     docs: DataFrame,
     targets: dict[str, DataFrame] | None = None,
@@ -142,28 +147,26 @@ def mix_sources(
     text_column: str = "text",
     margins: Sequence[str] = ("source", "lang"),
     seed: int = 0,
-    tokens: str = "n_tokens",
-    topic: str = "topic",
 ) -> DataFrame:
     """``docs`` with n_tokens, topic, rate and drawn added; the sample is the rows with ``drawn``.
 
+    A name that ``docs`` already has gets underscores in front (``added_names``).
+
     ``targets`` has shares by margin (``rake``); margins without one get their present shares raised
     to ``POWER`` (``tempered``), so large ones shrink and small ones grow. ``share`` of all tokens is
     the budget. A document is drawn if a hash of seed, id and text is below its cell's rate: the same
     rows give the same sample, and repeated rows are drawn together. Null margins are a value of
     their own. Texts without words have rate 0. An empty table stays empty.
     """
-    rate, drawn = "rate", "drawn"
-    clash = {c.lower() for c in docs.columns} & {tokens.lower(), topic.lower(), rate, drawn}
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    tokens, topic, rate, drawn = added_names(docs.columns)
     measured = measure(docs, text_column, tokens, topic)
     keys = [*margins, topic]
+    targets = {topic if k == "topic" else k: t for k, t in (targets or {}).items()}
     cells = materialize(
         measured.groupBy(*[f"`{k}`" for k in keys]).agg(F.sum(tokens).alias(tokens)), "cell-tokens"
     )
     budget = share * (cells.agg(F.sum(tokens)).first()[0] or 0)
-    wanted = {k: (targets or {}).get(k) for k in keys}
+    wanted = {k: targets.get(k) for k in keys}
     shares = {k: tempered(cells, k, tokens) if t is None else t for k, t in wanted.items()}
     weight = unused(docs.columns, "_weight")
     raked = rates(rake(cells, shares, tokens, weight), tokens, weight, budget, rate)
@@ -175,3 +178,9 @@ def mix_sources(
     return marked.withColumn(drawn, draw < F.col(rate)).select(
         *[f"`{c}`" for c in docs.columns], tokens, topic, rate, drawn
     )
+
+
+def sample(docs: DataFrame, **options) -> DataFrame:
+    """The drawn rows of ``docs``, with its own columns only; ``options`` are those of ``mix_sources``."""
+    drawn = added_names(docs.columns)[-1]
+    return mix_sources(docs, **options).filter(drawn).select(*[f"`{c}`" for c in docs.columns])

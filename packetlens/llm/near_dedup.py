@@ -259,6 +259,28 @@ def near_duplicates(
     )
 
 
+def drop_near_duplicates(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options
+) -> DataFrame:
+    """One row of each component, that of the least id, with all its columns.
+
+    Rows without an id stay. Of rows that share the kept id any one stays.
+    """
+    found = near_duplicates(docs, id_column, text_column, **options)
+    found = materialize(found.select(F.col(f"`{id_column}`").alias("id"), "kept"), "kept")
+    gone = found.filter("not kept").select("id").distinct()
+    again = found.filter("kept and id is not null").groupBy("id").count().filter("count > 1")
+    again = materialize(again.select("id"), "repeated")
+    identity = F.col(f"`{id_column}`")
+    rows = docs.join(gone, identity == gone["id"], "left_anti")
+    if again.isEmpty():
+        return rows
+    once = rows.join(again, identity == again["id"], "left_anti")
+    many = rows.join(again, identity == again["id"], "left_semi")
+    one = many.groupBy(identity.alias("id")).agg(F.first(F.struct("*")).alias("row"))
+    return once.unionByName(one.select("row.*"))
+
+
 def _of_several_texts(named: DataFrame) -> DataFrame:
     """Ids that occur with more than one set."""
     seen = named.groupBy("id").agg(F.min("d1").alias("low"), F.max("d1").alias("high"))

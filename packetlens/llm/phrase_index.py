@@ -327,6 +327,24 @@ def contamination(
     )
 
 
+def drop_contaminated(
+    docs: DataFrame,
+    items: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    **options,
+) -> DataFrame:
+    """The rows of ``docs`` without a window of an item, with all their columns.
+
+    Rows are told apart by a 64-bit hash of id and text, so those without an id are too.
+    """
+    key = F.xxhash64(F.col(f"`{id_column}`"), F.col(f"`{text_column}`"))
+    keyed = docs.select(key.alias("key"), F.col(f"`{text_column}`").alias("text"))
+    found = contamination(keyed, items, "key", "text", **options)
+    hit = found.filter("n_hit > 0").select("key").distinct()
+    return docs.join(hit, key == hit["key"], "left_anti")
+
+
 def proximity(
     index: DataFrame, items: DataFrame, within: int, item_id: str = "item_id", item_text: str = "text"
 ) -> DataFrame:

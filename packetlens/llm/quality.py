@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .frames import map_arrow, utf8
+from .frames import map_arrow, unused, utf8
 from .words import SPACED, byte_set, span_hashes, text_blocks, word_spans
 
 SAMPLE = 6000  # labelled documents that the model is fitted on, at most
@@ -248,7 +249,21 @@ def score(
         F.col(f"`{id_column}`").alias(id_column),
         *[c.alias(n) for n, c in keep.items()],
     )
-    kinds = ", ".join(f"`{n}` {t}" for n, t in inputs.dtypes[1:])
+    return _scored(inputs, model, ["score", "passages", "attention"])
+
+
+def keep_good(
+    docs: DataFrame, model: AttentionModel, text_column: str = "text", least: float = THRESHOLD
+) -> DataFrame:
+    """The rows of ``docs`` whose texts score at least ``least``, with all their columns."""
+    added = [unused(docs.columns, n) for n in ("score", "passages", "attention")]
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    scored = _scored(docs.select(utf8(text_column).alias("_utf8"), *columns), model, added)
+    return scored.filter(F.col(added[0]) >= least).select(*columns)
+
+
+def _scored(inputs: DataFrame, model: AttentionModel, added: list[str]) -> DataFrame:
+    """The columns of ``inputs`` after the first, a text's bytes, and the three of its score."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -262,7 +277,8 @@ def score(
                         pa.array(np.diff(bags)),
                         pa.array(np.maximum.reduceat(found["attention"], bags[:-1])),
                     ],
-                    names=[*batch.schema.names[1:], "score", "passages", "attention"],
+                    names=[*batch.schema.names[1:], *added],
                 )
 
-    return map_arrow(inputs, run, f"{kinds}, score double, passages bigint, attention double")
+    fields = [T.StructField(n, t) for n, t in zip(added, (T.DoubleType(), T.LongType(), T.DoubleType()))]
+    return map_arrow(inputs, run, T.StructType([*inputs.schema.fields[1:], *fields]))

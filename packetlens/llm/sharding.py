@@ -1,6 +1,7 @@
 """Shards of equal size in uniformly random order, by a hypergeometric communication matrix.
 
-1. Rows are dealt to ``partitions`` source partitions by a hash of their content and counted.
+1. Rows are numbered and written once, dealt to ``partitions`` source partitions by a hash of their
+   number, and counted.
 2. A matrix says how many rows each partition sends to each shard. Its row sums are the partitions'
    counts, its column sums the shards' exact sizes, and it is drawn as a uniformly random
    permutation of all rows would make it: the counts of one half of the partitions are multivariate
@@ -20,10 +21,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.workspace import materialize
-from .frames import unused
+from .frames import let, unused
 
 SHARDS = 16
-PARTITIONS = 256
+PARTITIONS = 128
 ROWS_PER_BUCKET = 100_000
 
 _HALF_LOG_TAU = 0.9189385332046727
@@ -57,22 +58,27 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
     low = F.greatest(F.lit(0).cast("bigint"), drawn - unmarked)
     high = F.least(drawn, marked)
     share = (drawn + 1).cast("double") * (marked + 1).cast("double") / (total + 2).cast("double")
-    mode = F.least(F.greatest(F.floor(share).cast("bigint"), low), high)
-    log_chance = (
-        _log_factorial(marked) - _log_factorial(mode) - _log_factorial(marked - mode)
-        + _log_factorial(unmarked) - _log_factorial(drawn - mode)
-        - _log_factorial(unmarked - drawn + mode)
-        - _log_factorial(total) + _log_factorial(drawn) + _log_factorial(total - drawn)
-    )
+    top = F.least(F.greatest(F.floor(share).cast("bigint"), low), high)
     n, k, d = total.cast("double"), marked.cast("double"), drawn.cast("double")
-    spread = F.sqrt(d * (k / F.greatest(n, F.lit(1.0))) * (1 - d / F.greatest(n, F.lit(1.0))))
+    some = F.greatest(n, F.lit(1.0))
+    spread = F.sqrt(d * (k / some) * (1 - d / some))
     steps = F.least(F.ceil(spread * 14 + 60), high - low).cast("int")
 
-    def start():
+    def chance(mode: Column) -> Column:
+        logs = [(marked, 1), (mode, -1), (marked - mode, -1)]
+        logs += [(unmarked, 1), (drawn - mode, -1), (unmarked - drawn + mode, -1)]
+        logs += [(total, -1), (drawn, 1), (total - drawn, 1)]
+        terms = F.array(*[F.struct(n.cast("bigint").alias("n"), F.lit(sign).alias("sign")) for n, sign in logs])
+        added = F.aggregate(
+            terms, F.lit(0.0), lambda a, t: a + t["sign"] * _log_factorial(t["n"])
+        )
+        return F.exp(added)
+
+    def start(mode: Column, p: Column) -> Column:
         return F.struct(
-            (u - F.exp(log_chance)).alias("left"),
-            F.exp(log_chance).alias("up"),
-            F.exp(log_chance).alias("down"),
+            (u - p).alias("left"),
+            p.alias("up"),
+            p.alias("down"),
             mode.alias("above"),
             mode.alias("below"),
             mode.alias("value"),
@@ -100,7 +106,8 @@ def hypergeometric(total: Column, marked: Column, drawn: Column, u: Column) -> C
         )
 
     walk = F.when(steps > 0, F.sequence(F.lit(1), steps)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(walk, start(), step, lambda s: s["value"])
+    begin = let(top, lambda mode: let(chance(mode), lambda p: start(mode, p)))
+    return F.aggregate(walk, begin, step, lambda s: s["value"])
 
 
 def _shares(needs: Column, drawn: Column, seed: Column) -> Column:
@@ -115,19 +122,15 @@ def _shares(needs: Column, drawn: Column, seed: Column) -> Column:
 
     def step(s: Column, need: Column) -> Column:
         u = _draw(seed, s["at"])
-        got = F.transform(F.array(u), lambda v: hypergeometric(s["total"], need, s["drawn"], v))
-        # The draw is bound to a name, so that it is computed once and used three times.
-        return F.element_at(
-            F.transform(
-                got,
-                lambda x: F.struct(
-                    (s["total"] - need).alias("total"),
-                    (s["drawn"] - x).alias("drawn"),
-                    (s["at"] + 1).alias("at"),
-                    F.concat(s["out"], F.array(x)).alias("out"),
-                ),
+        got = hypergeometric(s["total"], need, s["drawn"], u)
+        return let(
+            got,
+            lambda x: F.struct(
+                (s["total"] - need).alias("total"),
+                (s["drawn"] - x).alias("drawn"),
+                (s["at"] + 1).alias("at"),
+                F.concat(s["out"], F.array(x)).alias("out"),
             ),
-            1,
         )
 
     return F.aggregate(needs, begin, step, lambda s: s["out"])
@@ -188,12 +191,10 @@ def shard(
     Shards are 0 to ``shards`` - 1 and their sizes differ by one at most; slots count from 0 within a
     shard without gaps. Every assignment of rows to places is equally likely over seeds. Rows that
     are equal in all columns, nulls included, get places of their own. An empty table stays empty.
-    ``df``'s columns may have any names but the two added ones; columns that can't be hashed (maps)
-    are not supported.
+    If ``df`` already has a column of an added name, the added one gets underscores in front.
     """
-    clash = {c.lower() for c in df.columns} & {shard_column.lower(), slot_column.lower()}
-    if clash:
-        raise ValueError(f"columns already there: {sorted(clash)}")
+    shard_column = unused(df.columns, shard_column)
+    slot_column = unused(df.columns, slot_column)
     name = {k: unused(df.columns, f"_{k}") for k in ("row", "part", "order", "needs", "to", "bucket", "base")}
     columns = [F.col(f"`{c}`") for c in df.columns]
     # Rows are numbered once and written, so that equal rows differ and every pass sees the same.

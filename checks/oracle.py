@@ -97,6 +97,19 @@ _TRAFFIC_ALERTS = _alerts("traffic", "⚠️ Traffic spike detected", "true", 1_
 _DECIMAL = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 
 ORACLE = {
+    "progress_counts": f"""
+select unnest(range(50, n + 1, 50)) as mark from (select count(*) as n from ({_PARSED}))""",
+    "iforest_train_score": f"""
+select count(*) as packets, count(*) as in_range, count(*) as flag_is_sign, true as share_met
+from ({_FEATURES})""",
+    "model_roundtrip": f"select event_id, true as same from ({_FEATURES})",
+    "rf_train_predict": f"""
+select event_id, label, label as attack_type
+from (select event_id, case when tcp_flag_syn = 1 then 'port_scan' when tcp_flag_rst = 1 then 'ddos'
+        else 'normal' end as label from ({_FEATURES}))""",
+    "train_job": f"select count(*) as packets, count(*) as as_learned, true as share_met from ({_FEATURES})",
+    "train_flow_job": f"""
+select count(*) as flows, count(*) as labelled, count(*) as merged from ({_FLOW_FEATURES})""",
     "packet_parse": f"select * exclude (us) from ({_PARSED})",
     "packet_stream_parse": f"select * exclude (us, event_id) from ({_PARSED})",
     "packet_rejects": f"""

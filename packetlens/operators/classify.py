@@ -26,10 +26,11 @@ from .iforest import read_meta, write_meta
 
 TREES = 150
 SEED = 42
-MAX_DEPTH = 15
+# The deepest trees that Spark ML grows; it stops where a node is pure or too small anyway.
+MAX_DEPTH = 30
 
-# A model of more nodes is not collected and broadcast: Spark ML then transforms the flagged rows.
-BROADCAST_NODES = 1_000_000
+# A model of more bytes is not collected and broadcast: Spark ML then transforms the flagged rows.
+BROADCAST_BYTES = 64_000_000
 
 
 class Classifier(Protocol):
@@ -91,7 +92,8 @@ class AttackClassifier:
     def classify(self, df: DataFrame, features: Sequence[str]) -> DataFrame:
         require_inputs(features, self.features)
         features = self.features
-        if self.node_count > BROADCAST_NODES:
+        # Six numbers and a share for each label to a node.
+        if self.node_count * 8 * (6 + len(self.labels)) > BROADCAST_BYTES:
             return self.transform(df, features)
         spark = df.sparkSession
         shared = spark.sparkContext.broadcast(self.forest(spark).parts)
@@ -120,17 +122,24 @@ class AttackClassifier:
         )
 
     def transform(self, df: DataFrame, features: Sequence[str]) -> DataFrame:
-        """The same columns from Spark ML's own ``transform``, on the flagged rows only."""
+        """The same columns from Spark ML's own ``transform``, on the flagged rows only.
+
+        Null and NaN inputs take the right branch of every split, as in ``classify``. A batch table is
+        written once before it is split, so that its inputs are not read and scored twice.
+        """
         from pyspark.ml.functions import vector_to_array
 
         spark = df.sparkSession
         model = RandomForestClassificationModel.load(f"{self.path}/forest")
+        if not df.isStreaming:
+            df = materialize(df, "scored")
         flagged = df.filter("is_anomaly = 1")
         names = [f"_f{i}" for i in range(len(features))]
         inputs = flagged.select(
             "*", *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(features, names)]
         )
-        vectors = VectorAssembler(inputCols=names, outputCol="features").transform(inputs)
+        assembler = VectorAssembler(inputCols=names, outputCol="features", handleInvalid="keep")
+        vectors = assembler.transform(inputs)
         best = F.col("prediction").cast("int") + 1
         labels = F.array(*[F.lit(label) for label in self.labels])
         predicted = model.transform(vectors).select(

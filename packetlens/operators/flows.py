@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.labels import flow_label
-from ..sources.schemas import normalized_name, require_columns
+from ..sources.schemas import flow_columns, require_columns
 
 # Columns that identify a flow and are never model inputs.
 IDENTIFIERS = ["flow_id", "source_ip", "destination_ip", "timestamp"]
@@ -17,11 +17,7 @@ IDENTIFIERS = ["flow_id", "source_ip", "destination_ip", "timestamp"]
 
 def normalize_columns(df: DataFrame) -> DataFrame:
     """Snake-case column names; two headers that fall together are an error."""
-    names = [normalized_name(c) for c in df.columns]
-    twice = sorted({n for n in names if names.count(n) > 1})
-    if twice:
-        raise ValueError(f"Columns have the same name once normalized: {twice}")
-    return df.toDF(*names)
+    return df.toDF(*flow_columns(df.columns))
 
 
 def union_by_name(frames: list[DataFrame]) -> DataFrame:

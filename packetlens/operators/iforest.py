@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from ..sources.schemas import model_columns, path_exists, require_columns, require_inputs
 from ..sources.workspace import materialize
 from .forest import Forest
-from .sampling import MAX_NORMAL_ROWS, sample_uniform
+from .quantile import exact_quantile
+from .sampling import sample_uniform
 
 NODE_SCHEMA = (
     "tree int, node int, feature string, threshold double, left int, right int, n int, depth int"
@@ -184,9 +185,11 @@ def fit_isolation_forest(
     rows_per_tree: int = TREE_ROWS,
     contamination: float = CONTAMINATION,
     seed: int = SEED,
-    max_rows: int = MAX_NORMAL_ROWS,
+    max_rows: int | None = None,
 ) -> IsolationForestModel:
-    """Fit on at most ``max_rows`` rows; ``key`` names columns that identify a row.
+    """Fit on all rows, or on ``max_rows`` of them; ``key`` names columns that identify a row.
+
+    Each tree sees ``rows_per_tree`` rows whatever the size of the table; the offset is taken over all.
 
     ``offset`` is the score below which the ``contamination`` share of the training rows lies.
     """
@@ -197,9 +200,9 @@ def fit_isolation_forest(
     n = df.count()
     if n == 0:
         raise ValueError("Input DataFrame is empty; cannot fit an isolation forest.")
-    if n > max_rows:
+    if max_rows is not None and n > max_rows:
         df, n = sample_uniform(df, max_rows, key, seed), max_rows
-    # At most max_rows rows, read twice below: once for the trees, once for the offset.
+    # Read twice below: once for the trees, once for the scores.
     df = materialize(df.repartition(spark.sparkContext.defaultParallelism), "forest-rows")
     size = min(rows_per_tree, n)
     share = min(1.0, 2 * size / n)
@@ -219,8 +222,8 @@ def fit_isolation_forest(
     nodes = grown.toPandas().sort_values(["tree", "node"]).reset_index(drop=True)
 
     model = IsolationForestModel(nodes, features, size, 0.0)
-    scores = df.select(model.score(spark, features).alias("score"))
-    model.offset = float(scores.agg(F.percentile("score", F.lit(contamination))).first()[0])
+    scores = materialize(df.select(model.score(spark, features).alias("score")), "forest-scores")
+    model.offset = exact_quantile(scores, "score", contamination)
     return model
 
 

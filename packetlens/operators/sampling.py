@@ -17,7 +17,6 @@ from ..functions.labels import NORMAL
 from ..sources.schemas import require_columns
 from ..sources.workspace import materialize
 
-MAX_NORMAL_ROWS = 300_000
 MAX_LABELLED_ROWS = 500_000
 
 # Class tables are broadcast up to this many classes; beyond it they are joined by shuffle.
@@ -59,17 +58,45 @@ def _lowest(
         bounds = classes.select(
             stratum, "_quota", "_size", _bound(wanted / F.col("_size")).alias("_bound")
         )
-        joined = hashed.join(F.broadcast(bounds) if few else bounds, stratum)
+        joined = _by_class(hashed, F.broadcast(bounds) if few else bounds, stratum)
         drawn = materialize(joined.filter(F.col("_hash") < F.col("_bound")), "drawn")
         got = drawn.groupBy(stratum).agg(F.count("*").alias("_got"))
         need = F.least("_quota", "_size")
-        short = bounds.join(got, stratum, "left").filter(F.coalesce("_got", F.lit(0)) < need)
+        short = _by_class(bounds, got, stratum, "left").filter(F.coalesce("_got", F.lit(0)) < need)
         if short.isEmpty():
             break
         margin *= 8
-    order = Window.partitionBy(stratum).orderBy("_hash", *key)
-    ranked = drawn.withColumn("_rank", F.row_number().over(order))
-    return ranked.filter(F.col("_rank") <= F.col("_quota")).select(*df.columns)
+    return _cut(drawn, stratum, key).select(*df.columns)
+
+
+def _by_class(left: DataFrame, right: DataFrame, stratum: str, how: str = "inner") -> DataFrame:
+    """Join on the class, where null is a class like others."""
+    named = right.withColumnRenamed(stratum, "_class")
+    return left.join(named, left[stratum].eqNullSafe(named["_class"]), how).drop("_class")
+
+
+def _cut(drawn: DataFrame, stratum: str, key: Sequence[str]) -> DataFrame:
+    """The ``_quota`` rows of lowest hash of each class.
+
+    Rows are counted by class and first digits of the hash, some hundreds of groups to a class. Groups
+    below the quota are kept whole; only the one that straddles it is ordered.
+    """
+    digits = F.greatest(F.ceil(F.log(16.0, F.col("_size") / F.greatest("_quota", F.lit(1)))), F.lit(0))
+    drawn = drawn.withColumn("_prefix", F.substring(F.col("_hash"), F.lit(1), (digits + 2).cast("int")))
+    counts = drawn.groupBy(stratum, "_prefix").agg(F.count("*").alias("_n"))
+    before = Window.partitionBy(stratum).orderBy("_prefix")
+    counts = counts.withColumn("_before", F.sum("_n").over(before) - F.col("_n"))
+    counts = counts.withColumnRenamed("_prefix", "_group")
+    same = [drawn[stratum].eqNullSafe(counts[stratum]), drawn["_prefix"] == counts["_group"]]
+    placed = drawn.join(counts, same).drop(counts[stratum])
+    whole = placed.filter(F.col("_before") + F.col("_n") <= F.col("_quota"))
+    split = placed.filter(
+        (F.col("_before") < F.col("_quota")) & (F.col("_before") + F.col("_n") > F.col("_quota"))
+    )
+    order = Window.partitionBy(stratum, "_prefix").orderBy("_hash", *key)
+    ranked = split.withColumn("_rank", F.row_number().over(order))
+    kept = ranked.filter(F.col("_before") + F.col("_rank") <= F.col("_quota")).drop("_rank")
+    return whole.unionByName(kept)
 
 
 def sample_uniform(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
 from datetime import datetime
 
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import report
 from ..sources.schemas import require_rows
+from ..sources.workspace import materialize
 
 # Capture names of columns that carry another name inside Spark.
 SINK_NAMES = {"ip_src": "ip.src", "ip_dst": "ip.dst"}
@@ -24,10 +26,11 @@ def sink_names(df: DataFrame) -> DataFrame:
 def results_to_json(df: DataFrame, path: str) -> str:
     """One JSON record per packet under ``path``/data and the totals under ``path``/summary."""
     prepared = report.prepare_report(df)
-    require_rows(prepared, "write results")
-    sink_names(prepared).write.option("ignoreNullFields", False).json(f"{path}/data")
-    written = df.sparkSession.read.schema("is_anomaly int, attack_type string").json(f"{path}/data")
-    _write_summary(report.outcome_counts(written), f"{path}/summary")
+    # Computed once into a columnar table, of which the counts read two columns.
+    table = materialize(prepared, "results")
+    require_rows(table, "write results")
+    sink_names(table).write.option("ignoreNullFields", False).json(f"{path}/data")
+    _write_summary(report.outcome_counts(table), f"{path}/summary")
     return path
 
 
@@ -40,12 +43,13 @@ def _write_summary(counts: DataFrame, path: str) -> None:
 
 
 def generate_report(df: DataFrame, base: str, order: Sequence[str] = ()) -> dict[str, str]:
-    """Write the report tables under ``base``/YYYY-MM-DD_HH-MM-SS and return their paths.
+    """Write the report tables under ``base``/YYYY-MM-DD_HH-MM-SS_run and return their paths.
 
     ``data`` is columnar, so the counts read two columns of it back; they are then a few rows.
     ``order`` names the columns whose order defines the previewed first rows.
     """
-    run = f"{base.rstrip('/')}/{datetime.now().strftime('%Y-%m-%d_%H-%M-%S')}"
+    stamp = datetime.now().strftime("%Y-%m-%d_%H-%M-%S")
+    run = f"{base.rstrip('/')}/{stamp}_{uuid.uuid4().hex[:8]}"  # two reports may start in one second
     names = ["data", "summary", "traffic", "attack_distribution", "attack_share", "preview"]
     paths = {name: f"{run}/{name}" for name in names}
     prepared = report.prepare_report(df)

@@ -11,10 +11,8 @@ from ..operators import classify, iforest
 from ..operators.flows import clean_flows, feature_names, flow_features, normalize_columns
 from ..operators.sampling import (
     MAX_LABELLED_ROWS,
-    MAX_NORMAL_ROWS,
     normal_rows,
     sample_stratified,
-    sample_uniform,
 )
 from ..sources.flows import read_flows
 from ..sources.schemas import write_feature_schema
@@ -37,7 +35,7 @@ def train(
     table: DataFrame,
     features: Sequence[str],
     model_base: str,
-    max_normal: int = MAX_NORMAL_ROWS,
+    max_normal: int | None = None,
     max_labelled: int = MAX_LABELLED_ROWS,
     detector_rows: str = "normal",
     detector_trees: int = iforest.TREES,
@@ -48,7 +46,7 @@ def train(
 
     The table is written once with row numbers, so that the several passes below read columns of a
     fixed table and draw the same rows whatever happens to executors meanwhile. The detector learns
-    from normal rows, or from all of them with ``detector_rows="all"``.
+    from all normal rows, or ``max_normal`` of them, or from all rows with ``detector_rows="all"``.
     """
     spark = table.sparkSession
     rows = materialize(
@@ -59,13 +57,14 @@ def train(
     total, n_base = rows.count(), base.count()
     if n_base == 0:
         raise ValueError("No 'normal' rows to train the detector on.")
-    if detector_rows == "normal" and n_base > max_normal:
-        base = sample_uniform(base, max_normal, [ROW_ID])
     labelled = rows
     if total > max_labelled:
         labelled = sample_stratified(rows, [ROW_ID], max_rows=max_labelled)
 
-    detector = iforest.fit_isolation_forest(base, features, [ROW_ID], trees=detector_trees)
+    most = max_normal if detector_rows == "normal" else None
+    detector = iforest.fit_isolation_forest(
+        base, features, [ROW_ID], trees=detector_trees, max_rows=most
+    )
     paths = {
         "detector": f"{model_base}/isolation_forest",
         "classifier": f"{model_base}/attack_classifier",

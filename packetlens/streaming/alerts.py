@@ -19,6 +19,7 @@ from ..operators.alerts import MEASURES, MESSAGES, _CHUNK, alert_limits, fold_in
 
 INSTANT_SCHEMA = "sensor string, event_time timestamp, packets bigint, anomalies bigint"
 HEARTBEAT_SCHEMA = "event_us bigint"
+MAX_AHEAD_SECONDS = 60
 
 
 def send_heartbeat(spark: SparkSession, folder: str, event_us: int) -> None:
@@ -35,11 +36,18 @@ def stream_instants(
 ) -> DataFrame:
     """Streaming ``instants`` of packets with ``event_us`` and ``is_anomaly``.
 
-    Packets are taken at their capture time, or at another ``time`` such as that of their arrival.
+    Packets are taken at their capture time, or at another ``time`` such as that of their arrival. One
+    without a capture time (0 or less) counts at its arrival, and one ahead of its arrival by more
+    than ``MAX_AHEAD_SECONDS`` counts there: a wrong clock must not make all later packets late.
     """
+    if time is None:
+        now = F.current_timestamp()
+        ahead = now + F.make_dt_interval(secs=F.lit(MAX_AHEAD_SECONDS))
+        known = F.least(F.timestamp_micros("event_us"), ahead)
+        time = F.when(F.col("event_us") > 0, known).otherwise(now)
     rows = packets.select(
         sensor_name(sensor).alias("sensor"),
-        (F.timestamp_micros("event_us") if time is None else time).alias("event_time"),
+        time.alias("event_time"),
         F.lit(1).alias("packets"),
         (F.col("is_anomaly") == 1).cast("int").alias("anomalies"),
     )

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -22,9 +22,10 @@ from ..operators.rules import flag_large_frames
 from ..plans.analysis import analyze_packets
 from ..plans.reporting import generate_report
 from ..sources.packets import parse_packets, stream_lines
-from .alerts import INSTANT_SCHEMA, send_heartbeat, stream_alerts, stream_instants
+from .alerts import INSTANT_SCHEMA, MAX_AHEAD_SECONDS, send_heartbeat, stream_alerts, stream_instants
 
 PROGRESS_ROWS = 50
+TABLES = ("results", "event_lines", "progress", "instants", "alerts", "heartbeats")
 
 
 def stream_packets(
@@ -55,14 +56,31 @@ def with_progress(results: DataFrame, name: str = "progress") -> DataFrame:
     return results.observe(name, F.count(F.lit(1)).alias("packets"))
 
 
-def progress_marks(batch_sizes: Sequence[int], every: int = PROGRESS_ROWS) -> list[int]:
-    """Totals, after each batch, that are a multiple of ``every``."""
-    marks, total = [], 0
-    for size in batch_sizes:
-        total += size
-        if size and total % every == 0:
-            marks.append(total)
-    return marks
+def append_counts(results: DataFrame, path: str, trigger: dict) -> StreamingQuery:
+    """Start a query that keeps a table ``(batch, packets)``; a batch that is run again replaces its row."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        counted = batch.agg(F.count(F.lit(1)).alias("packets"))
+        counted.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+
+    options = results.writeStream.option("checkpointLocation", f"{path}_checkpoint")
+    return options.foreachBatch(write).trigger(**trigger).start()
+
+
+def progress_marks(counts: DataFrame, every: int = PROGRESS_ROWS) -> DataFrame:
+    """``(batch, mark)``: each multiple of ``every`` that the total of packets has reached, and when.
+
+    ``counts(batch, packets)`` has one row for each micro-batch, however many there were.
+    """
+    total = F.sum("packets").over(Window.orderBy("batch"))
+    reached = counts.select(
+        F.col("batch").cast("bigint").alias("batch"),
+        F.floor((total - F.col("packets")) / every).alias("before"),
+        F.floor(total / every).alias("after"),
+    ).filter("after > before")
+    numbers = F.sequence(F.col("before") + 1, F.col("after"))
+    marks = F.transform(numbers, lambda n: (n * every).cast("bigint"))
+    return reached.select("batch", F.explode(marks).alias("mark"))
 
 
 def append_table(df: DataFrame, path: str, trigger: dict) -> StreamingQuery:
@@ -93,6 +111,9 @@ def run_realtime(
     max_files: int | None = None,
     sensor: Column | None = None,
     report_base: str | None = None,
+    fields: Sequence[str] | None = None,
+    predicate: str | None = None,
+    time: Column | None = None,
 ) -> dict[str, str]:
     """Process what has arrived in ``source`` to the end, flush, and report when there are rows.
 
@@ -103,19 +124,24 @@ def run_realtime(
     if isinstance(classifier, str):
         classifier = load_classifier(spark, classifier)
     once = {"availableNow": True}
-    paths = {n: f"{base}/{n}" for n in ("results", "event_lines", "instants", "alerts", "heartbeats")}
+    paths = {name: f"{base}/{name}" for name in TABLES}
 
-    results = realtime_results(
-        stream_packets(spark, source, max_files=max_files), detector, classifier, schema
-    )
+    packets = stream_packets(spark, source, fields, max_files, predicate)
+    results = realtime_results(packets, detector, classifier, schema)
     append_table(with_progress(results), paths["results"], once).awaitTermination()
 
     table = spark.read.schema(results.schema).parquet(paths["results"])
     end = table.agg(F.max("event_us")).first()[0]
     if end is None:
         return paths
-    send_heartbeat(spark, paths["heartbeats"], end + (delay_seconds + 1) * 1_000_000)
-    start_followers(spark, results.schema, paths, once, limits, delay_seconds, sensor, wait=True)
+    # Just far enough for the last packets to be due: watermarks have milliseconds. A later run may go
+    # on from the next millisecond. Times ahead of arrival count as ``stream_instants`` takes them.
+    now = spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]
+    due = -(-min(end, now + MAX_AHEAD_SECONDS * 1_000_000) // 1000) * 1000
+    send_heartbeat(spark, paths["heartbeats"], due + delay_seconds * 1_000_000)
+    start_followers(
+        spark, results.schema, paths, once, limits, delay_seconds, sensor, wait=True, time=time
+    )
     if report_base:
         paths |= generate_report(table, report_base, order=["event_us", "ip_src", "ip_dst"])
     return paths
@@ -130,15 +156,20 @@ def start_followers(
     delay_seconds: int = 30,
     sensor: Column | None = None,
     wait: bool = False,
+    time: Column | None = None,
 ) -> list[StreamingQuery]:
-    """Queries that follow the results table: event lines, instants and alerts."""
+    """Queries that follow the results table: event lines, progress, instants and alerts.
+
+    ``time`` is what alerts go by, such as ``F.current_timestamp()`` for arrival.
+    """
 
     def results() -> DataFrame:
         return _stream_table(spark, paths["results"], schema)
 
-    points = stream_instants(results(), paths["heartbeats"], f"{delay_seconds} seconds", sensor)
+    points = stream_instants(results(), paths["heartbeats"], f"{delay_seconds} seconds", sensor, time)
     steps = [
         lambda: append_table(event_lines(results()), paths["event_lines"], trigger),
+        lambda: append_counts(results(), paths["progress"], trigger),
         lambda: append_table(points, paths["instants"], trigger),
         lambda: append_table(
             stream_alerts(_stream_table(spark, paths["instants"], INSTANT_SCHEMA), limits),
@@ -165,12 +196,18 @@ def start_realtime(
     delay_seconds: int = 30,
     interval: str = "10 seconds",
     sensor: Column | None = None,
+    fields: Sequence[str] | None = None,
+    predicate: str | None = None,
+    time: Column | None = None,
 ) -> list[StreamingQuery]:
     """Start the whole chain with a processing-time trigger and return its queries."""
     trigger = {"processingTime": interval}
-    paths = {n: f"{base}/{n}" for n in ("results", "event_lines", "instants", "alerts", "heartbeats")}
+    paths = {name: f"{base}/{name}" for name in TABLES}
     send_heartbeat(spark, paths["heartbeats"], 0)
-    results = realtime_results(stream_packets(spark, source), detector, classifier, schema)
+    packets = stream_packets(spark, source, fields, predicate=predicate)
+    results = realtime_results(packets, detector, classifier, schema)
     first = append_table(with_progress(results), paths["results"], trigger)
-    rest = start_followers(spark, results.schema, paths, trigger, limits, delay_seconds, sensor)
+    rest = start_followers(
+        spark, results.schema, paths, trigger, limits, delay_seconds, sensor, time=time
+    )
     return [first, *rest]

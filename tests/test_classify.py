@@ -59,12 +59,24 @@ def test_same_as_spark_ml(table, model):
 
 
 def test_large_models_are_not_broadcast(table, model, monkeypatch):
-    monkeypatch.setattr(C, "BROADCAST_NODES", 1)
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 1)
     rows = C.predict_attack_types(flagged(table), model)
     assert rows.count() == 1500
     assert rows.filter("is_anomaly = 0 and attack_type = 'normal'").count() == 500
 
 
+def test_null_nan_and_infinite_inputs_are_labelled_alike(spark, model, monkeypatch):
+    odd = [None, float("nan"), float("inf"), float("-inf"), 0.3]
+    rows = [(i * 5 + j, a, b, 1) for i, a in enumerate(odd) for j, b in enumerate(odd)]
+    frame = spark.createDataFrame(rows, "id bigint, x double, y double, is_anomaly int")
+    label = lambda: sorted(
+        (r.id, r.attack_type, round(r.attack_confidence, 9)) for r in C.predict_attack_types(frame, model).collect()
+    )
+    small = label()
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 1)
+    assert label() == small and len(small) == 25
+
+
 def test_nothing_flagged(table, model):
     none = flagged(table).withColumn("is_anomaly", F.lit(0))
     assert C.predict_attack_types(none, model).filter("attack_type = 'normal'").count() == 1500

@@ -55,5 +55,19 @@ def test_any_partitioning_gives_the_same_rows(spark):
     assert sorted(r.id for r in a) == sorted(r.id for r in b)
 
 
+def test_null_is_a_class(spark):
+    label = F.when(F.col("id") % 2 == 0, F.col("attack_type"))
+    rows = table(spark).withColumn("attack_type", label)
+    got = S.sample_stratified(rows, ["id"], max_rows=1000).groupBy("attack_type").count().collect()
+    assert {r.attack_type: r["count"] for r in got} == {None: 500, "normal": 400, "ddos": 100}
+    assert S.sample_stratified(rows, ["id"], max_rows=20_000).count() == 20_000
+
+
+def test_no_window_over_a_whole_class(spark):
+    plan = S.sample_uniform(table(spark), 3000, ["id"])._jdf.queryExecution().analyzed().toString()
+    assert "row_number" in plan and "windowspecdefinition(_stratum#" in plan
+    assert all("_prefix" in line for line in plan.splitlines() if "row_number()" in line and "Window" in line)
+
+
 def test_empty_input(spark):
     assert S.sample_uniform(table(spark).filter("id < 0"), 10, ["id"]).count() == 0

@@ -5,7 +5,10 @@ from packetlens.sources import schemas as S
 
 def test_names():
     assert S.field_column("frame.time_epoch") == "frame_time_epoch"
-    assert S.normalized_name("  Flow Bytes/s ") == "flow_bytes_s"
+    headers = ["  Flow Bytes/s ", "a  b", "a\u00a0c\t", "\u3000Ä/ö"]
+    assert S.flow_columns(headers) == ["flow_bytes_s", "a__b", "a_c", "ä_ö"]
+    with pytest.raises(ValueError, match="a_b"):
+        S.flow_columns(["A b", "a/b"])
 
 
 def test_feature_schema_round_trip(spark, tmp_path):

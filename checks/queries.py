@@ -542,7 +542,10 @@ def train_job(spark, sf):
 @query
 def train_flow_job(spark, sf):
     folder = _flow_csv(spark, sf)
-    paths = training.train_from_flows(spark, folder, new_folder(spark, "models"))
+    # These labels are noise, on which trees without a bound grow a node for every few rows.
+    paths = training.train_from_flows(
+        spark, folder, new_folder(spark, "models"), classifier_trees=10, max_depth=5
+    )
     table = training.load_flow_features(spark, folder).drop("attack_type")
     scored = iforest.detect_anomalies(table, paths["detector"])
     labelled = classify.classify_attacks(scored, paths["classifier"])

@@ -97,6 +97,12 @@ _TRAFFIC_ALERTS = _alerts("traffic", "⚠️ Traffic spike detected", "true", 1_
 _DECIMAL = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 
 ORACLE = {
+    "batch_job": f"""
+select event_us, ip_src, is_anomaly, case when is_anomaly = 0 then 'normal' when tcp_flag_syn = 1 then 'port_scan'
+  when tcp_flag_rst = 1 then 'ddos' else 'normal' end as attack_type from ({_SCORED}) where ip_src <> ''""",
+    "batch_job_rejects": f"""
+select value, cast(len(string_split(value, chr(9))) as integer) as got_fields, 6 as expected_fields
+from ({_LINES}) where len(string_split(value, chr(9))) <> 6""",
     "progress_counts": f"""
 select unnest(range(50, n + 1, 50)) as mark from (select count(*) as n from ({_PARSED}))""",
     "iforest_train_score": f"""

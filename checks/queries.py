@@ -22,7 +22,7 @@ from packetlens.operators import (
 from packetlens.plans import analysis, reporting, training
 from packetlens.sources import flows as flow_source
 from packetlens.sources import packets as source
-from packetlens.sources.schemas import PACKET_FEATURES
+from packetlens.sources.schemas import PACKET_FEATURES, write_feature_schema
 from packetlens.sources.workspace import materialize, new_folder
 from packetlens.streaming import alerts as stream_alert
 from packetlens.streaming import realtime
@@ -491,6 +491,25 @@ def batch_analysis(spark, sf):
     return result.withColumn("anomaly_score", F.round("anomaly_score", 6))
 
 
+def _run_batch(spark, sf, **options):
+    detector = frozen_forest().save(spark, new_folder(spark, "model"))
+    model = classify.fit_classifier(_labelled(spark, sf), PACKET_FEATURES, trees=20)
+    reports = new_folder(spark, "reports")
+    return analysis.run_batch(spark, _line_folder(spark, sf), detector, model.path, reports, **options)
+
+
+@query
+def batch_job(spark, sf):
+    schema = write_feature_schema(spark, PACKET_FEATURES, new_folder(spark, "schema"))
+    paths = _run_batch(spark, sf, schema_path=schema, predicate="ip_src <> ''")
+    return spark.read.parquet(paths["data"]).select("event_us", "ip_src", "is_anomaly", "attack_type")
+
+
+@query
+def batch_job_rejects(spark, sf):
+    return spark.read.parquet(_run_batch(spark, sf)["rejects"])
+
+
 @query
 def realtime_job(spark, sf):
     paths = realtime.run_realtime(

@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..operators.classify import Classifier, load_classifier, predict_attack_types
 from ..operators.features import packet_features
 from ..operators.iforest import IsolationForestModel, load_isolation_forest, score_packets
-from ..sources.packets import capture_window, parse_packets, read_lines
-from ..sources.schemas import PACKET_FEATURES, require_rows
+from ..sources.packets import capture_window, parse_packets, read_lines, rejected_lines
+from ..sources.schemas import PACKET_FEATURES, read_feature_schema, require_rows
 from .reporting import generate_report
 
 
@@ -37,14 +38,34 @@ def run_batch(
     report_base: str,
     seconds: float | None = None,
     schema: Sequence[str] | None = None,
+    fields: Sequence[str] | None = None,
+    predicate: str | None = None,
+    schema_path: str | None = None,
 ) -> dict[str, str]:
-    """Analyze capture text files and write the report; an empty capture is an error."""
-    packets = capture_window(parse_packets(read_lines(spark, capture)), seconds)
+    """Analyze capture text files and write the report; an empty capture is an error.
+
+    ``fields`` names the columns of the capture and ``predicate`` the packets wanted, in SQL. Model
+    inputs are ``schema``, or the feature schema saved at ``schema_path``. Lines of another width than
+    ``fields`` are written as the table ``rejects``, and counted by width in ``reject_counts``.
+    """
+    lines = read_lines(spark, capture)
+    packets = capture_window(parse_packets(lines, fields), seconds)
+    if predicate:
+        packets = packets.filter(predicate)
     require_rows(packets, "analyze packets")
+    if not schema and schema_path:
+        schema = read_feature_schema(spark, schema_path)
     result = analyze_packets(
         packets,
         load_isolation_forest(spark, detector_path),
         load_classifier(spark, classifier_path),
         schema,
     )
-    return generate_report(result, report_base, order=["event_us", "ip_src", "ip_dst"])
+    paths = generate_report(result, report_base, order=["event_us", "ip_src", "ip_dst"])
+    paths |= {name: f"{paths['output_dir']}/{name}" for name in ("rejects", "reject_counts")}
+    rejects = rejected_lines(lines, fields)
+    rejects.write.parquet(paths["rejects"])
+    written = spark.read.schema(rejects.schema).parquet(paths["rejects"])
+    counts = written.groupBy("got_fields", "expected_fields").agg(F.count("*").alias("lines"))
+    counts.coalesce(1).write.parquet(paths["reject_counts"])
+    return paths

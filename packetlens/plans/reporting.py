@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import report
-from ..sources.schemas import require_rows
+from ..sources.schemas import path_exists, require_rows
 from ..sources.workspace import materialize
 
 # Capture names of columns that carry another name inside Spark.
@@ -43,13 +43,14 @@ def _write_summary(counts: DataFrame, path: str) -> None:
 
 
 def generate_report(df: DataFrame, base: str, order: Sequence[str] = ()) -> dict[str, str]:
-    """Write the report tables under ``base``/YYYY-MM-DD_HH-MM-SS_run and return their paths.
+    """Write the report tables under ``base``/YYYY-MM-DD_HH-MM-SS and return their paths.
 
     ``data`` is columnar, so the counts read two columns of it back; they are then a few rows.
     ``order`` names the columns whose order defines the previewed first rows.
     """
-    stamp = datetime.now().strftime("%Y-%m-%d_%H-%M-%S")
-    run = f"{base.rstrip('/')}/{stamp}_{uuid.uuid4().hex[:8]}"  # two reports may start in one second
+    run = f"{base.rstrip('/')}/{datetime.now().strftime('%Y-%m-%d_%H-%M-%S')}"
+    if path_exists(df.sparkSession, run):  # another report started in the same second
+        run = f"{run}_{uuid.uuid4().hex[:8]}"
     names = ["data", "summary", "traffic", "attack_distribution", "attack_share", "preview"]
     paths = {name: f"{run}/{name}" for name in names}
     prepared = report.prepare_report(df)

@@ -104,6 +104,17 @@ def test_event_lines(spark):
     assert got[2] == "2023-11-14 22:13:23 | [ANOMALY] Anomaly detected | 1.1.1.1 -> 2.2.2.2"
 
 
+def test_two_reports_in_one_second(golden, tmp_path, monkeypatch):
+    class Fixed(reporting.datetime):
+        @classmethod
+        def now(cls):
+            return cls(2026, 1, 2, 3, 4, 5)
+
+    monkeypatch.setattr(reporting, "datetime", Fixed)
+    first, second = (reporting.generate_report(golden, str(tmp_path))["output_dir"] for _ in range(2))
+    assert first != second and second.startswith(first)
+
+
 def test_report_folder(spark, golden, tmp_path):
     paths = reporting.generate_report(golden, str(tmp_path), order=["ip_src"])
     assert os.path.dirname(paths["output_dir"]) == str(tmp_path)

@@ -40,8 +40,8 @@ from .words import SPACED, hashed_words, mix, text_blocks, unmix
 
 END = mix(np.array([0x454E44], dtype=np.uint64))[0]  # the end of a text as a token
 
-SHARD_BYTES = 32_000_000  # of text for each shard, so that a shard's keys fit a task
-BUFFER_KEYS = 4_000_000  # keys that a task holds before it counts and sends them
+SHARD_BYTES = 16_000_000  # of text for each shard, so that a shard's keys fit a task
+BUFFER_KEYS = 3_000_000  # keys that a task holds before it counts and sends them
 PART_IDS = 1 << 18  # ids of a part of the arrays by id
 
 COUNT_SCHEMA = "shard int, keys binary, counts binary"

@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 
 # Bytes taken at once: bounds the memory of a task, whatever the size of a batch or a text.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 
 _GAMMA = np.uint64(0x9E3779B97F4A7C15)
 _BASE = 0xD6E8FEB86659FD93

@@ -11,6 +11,8 @@
 4. Rows are exchanged, and ordered at random within their shard. Slots are numbered from bucket
    counts, so a shard need not fit one task.
 
+Steps 3 and 4 order and exchange row numbers; the rows themselves move once, to join their places.
+
 Only DataFrame functions are used. The matrix is drawn in SQL from a hash of a seed: the same rows
 and seed give the same shards, also when tasks are run again.
 """
@@ -195,48 +197,49 @@ def shard(
     """
     shard_column = unused(df.columns, shard_column)
     slot_column = unused(df.columns, slot_column)
-    name = {k: unused(df.columns, f"_{k}") for k in ("row", "part", "order", "needs", "to", "bucket", "base")}
-    columns = [F.col(f"`{c}`") for c in df.columns]
+    row = unused(df.columns, "_row")
     # Rows are numbered once and written, so that equal rows differ and every pass sees the same.
-    rows = materialize(df.withColumn(name["row"], F.monotonically_increasing_id()), "rows")
-    rows = rows.withColumn(
-        name["part"], F.pmod(F.xxhash64(F.lit(seed), F.lit("part"), name["row"]), F.lit(partitions)).cast("int")
-    )
-    counts = rows.groupBy(F.col(name["part"]).alias("part")).agg(F.count("*").alias("n"))
+    rows = materialize(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    places = _places(rows.select(F.col(row).alias("row")), shards, partitions, seed)
+    places = places.toDF(row, shard_column, slot_column)
+    return rows.join(places, row).select(*[f"`{c}`" for c in df.columns], shard_column, slot_column)
+
+
+def _places(rows: DataFrame, shards: int, partitions: int, seed: int) -> DataFrame:
+    """``(row, shard, slot)`` for a table of row numbers: only these are ordered and exchanged twice."""
+    part = F.pmod(F.xxhash64(F.lit(seed), F.lit("part"), "row"), F.lit(partitions)).cast("int")
+    rows = rows.withColumn("part", part)
+    counts = rows.groupBy("part").agg(F.count("*").alias("n"))
     matrix = materialize(communication_matrix(counts, shards, partitions, seed), "matrix")
     total = counts.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
-    sent = rows.join(F.broadcast(matrix.withColumnRenamed("needs", name["needs"]).withColumnRenamed("part", name["part"])), name["part"])
-    local = Window.partitionBy(name["part"]).orderBy(
-        F.xxhash64(F.lit(seed), F.lit("local"), name["row"]), name["row"]
-    )
+    local = Window.partitionBy("part").orderBy(F.xxhash64(F.lit(seed), F.lit("local"), "row"), "row")
     # The shard of the i-th row is the number of running sums of the needs that are below i.
     to = F.aggregate(
-        name["needs"],
+        "needs",
         F.struct(F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("shard")),
         lambda s, x: F.struct(
             (s["sum"] + x).alias("sum"),
-            (s["shard"] + (s["sum"] + x < F.col(name["order"])).cast("int")).alias("shard"),
+            (s["shard"] + (s["sum"] + x < F.col("order")).cast("int")).alias("shard"),
         ),
         lambda s: s["shard"],
     )
     buckets = max(int(total // (shards * ROWS_PER_BUCKET)), 1) * 4
-    mark = F.xxhash64(F.lit(seed), F.lit("slot"), name["row"])
+    mark = F.xxhash64(F.lit(seed), F.lit("slot"), "row")
     sent = (
-        sent.withColumn(name["order"], F.row_number().over(local).cast("bigint"))
-        .withColumn(name["to"], to)
-        .withColumn(name["bucket"], F.pmod(F.shiftrightunsigned(mark, 8), F.lit(buckets)).cast("int"))
-        .select(*columns, name["row"], name["to"], name["bucket"])
-    )
-    sizes = sent.groupBy(name["to"], name["bucket"]).agg(F.count("*").alias("n"))
-    before = Window.partitionBy(name["to"]).orderBy(name["bucket"])
-    bases = sizes.select(
-        name["to"], name["bucket"], (F.sum("n").over(before) - F.col("n")).alias(name["base"])
+        rows.join(F.broadcast(matrix), "part")  # ``partitions`` rows of ``shards`` numbers
+        .withColumn("order", F.row_number().over(local).cast("bigint"))
+        .select(
+            "row",
+            to.alias("shard"),
+            F.pmod(F.shiftrightunsigned(mark, 8), F.lit(buckets)).cast("int").alias("bucket"),
+        )
     )
-    within = Window.partitionBy(name["to"], name["bucket"]).orderBy(mark, name["row"])
-    placed = sent.join(F.broadcast(bases), [name["to"], name["bucket"]])
+    sizes = sent.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
+    before = Window.partitionBy("shard").orderBy("bucket")
+    bases = sizes.select("shard", "bucket", (F.sum("n").over(before) - F.col("n")).alias("base"))
+    within = Window.partitionBy("shard", "bucket").orderBy(mark, "row")
+    placed = sent.join(bases, ["shard", "bucket"])
     return placed.select(
-        *columns,
-        F.col(name["to"]).alias(shard_column),
-        (F.col(name["base"]) + F.row_number().over(within) - 1).alias(slot_column),
+        "row", "shard", (F.col("base") + F.row_number().over(within) - 1).alias("slot")
     )

@@ -11,7 +11,8 @@ one task:
 
 1. per time block: where the next alert may start on leaving the block, for each of the K+1 possible
    states on entering it (``_block_table``);
-2. per sensor: follow the states from block to block, one small row each (``_chain_blocks``);
+2. tables of consecutive blocks are composed to those of longer spans, and the states on entry are
+   handed down from span to block, so that no group grows with the session (``_chain_blocks``);
 3. per time block: the alerts, now that the state on entry is known (``_block_alerts``).
 """
 
@@ -25,6 +26,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.workspace import materialize
+
 ANOMALY_WINDOW_SECONDS = 10
 ANOMALY_THRESHOLD = 5
 TRAFFIC_WINDOW_SECONDS = 1
@@ -42,6 +45,7 @@ ALERT_SCHEMA = "sensor string, kind string, event_us bigint, rn bigint, count bi
 _SECOND = 1_000_000
 _BLOCK = 10 * _SECOND
 _CHUNK = 10_000
+FAN, LEVELS = 256, 2  # blocks composed to one, and how often: 7.6 days at blocks of 10 seconds
 
 
 def alert_limits(
@@ -191,25 +195,83 @@ def _block_table(k: int):
     return table
 
 
-def _chain_blocks(k: int):
-    def chain(key: tuple[Any, ...], blocks: pd.DataFrame) -> pd.DataFrame:
-        blocks = blocks.sort_values("block")
-        total, block = blocks["total"].to_numpy(), blocks["block"].to_numpy()
-        has_context = np.zeros(len(block), dtype=bool)
-        has_context[1:] = block[1:] == block[:-1] + 1
-        context = np.where(has_context, np.concatenate([[0], blocks["tail"].to_numpy()[:-1]]), 0)
-        base = np.cumsum(total) - total - context
-        rows, allowed = [], 0
-        for at, (first, out) in enumerate(zip(blocks["first"], blocks["out"])):
+def _runs(nodes: pd.DataFrame):
+    """Sorted nodes one after another: ``(node, events before it, first, out)``, relative to the first."""
+    nodes = nodes.sort_values("node")
+    total = nodes["total"].to_numpy()
+    return zip(nodes["node"], np.cumsum(total) - total, nodes["first"], nodes["out"])
+
+
+def _leave(state: np.ndarray, first: int, out: np.ndarray, k: int) -> np.ndarray:
+    """Next allowed positions after a node, given those on entry; both relative to the node's start."""
+    return out[np.clip(state - first, 0, k) if len(out) > 1 else np.zeros(len(state), dtype=np.int64)]
+
+
+def _composed(k: int):
+    """The table of ``FAN`` nodes in a row, from theirs."""
+
+    def compose(key: tuple[Any, ...], nodes: pd.DataFrame) -> pd.DataFrame:
+        first, state = None, None
+        for _, before, own, out in _runs(nodes):
             if out is None:
                 continue
-            start = int(base[at])
-            rows.append((key[0], int(block[at]), start, allowed - start))
-            entry = min(max(allowed - start - int(first), 0), k)
-            allowed = start + int(out[entry if len(out) > 1 else 0])
-        return pd.DataFrame(rows, columns=["sensor", "block", "base", "allowed"])
+            if state is None:
+                first = int(before + own)
+                state = first + np.arange(k + 1, dtype=np.int64)
+            state = before + _leave(state - before, int(own), out, k)
+        if state is not None and (state == state[0]).all():
+            state = state[:1]
+        whole = int(nodes["total"].sum())
+        return pd.DataFrame(
+            {"sensor": [key[0]], "node": [key[1]], "total": [whole], "first": [first], "out": [state]}
+        ).astype({"first": "Int64"})
+
+    return compose
+
+
+def _entered(k: int):
+    """Events before each node and the next allowed position on entry, from those of the parent."""
+
+    def enter(
+        key: tuple[Any, ...], nodes: pd.DataFrame, parent: pd.DataFrame | None
+    ) -> pd.DataFrame:
+        rows, start, state = [], 0, np.zeros(1, dtype=np.int64)
+        if parent is not None:
+            start = int(parent["start"].iloc[0])
+            state[0] = parent["allowed"].iloc[0] - start
+        for node, before, first, out in _runs(nodes):
+            rows.append((key[0], int(node), start + int(before), start + int(state[0])))
+            if out is not None:
+                state = before + _leave(state - before, int(first), out, k)
+        return pd.DataFrame(rows, columns=["sensor", "node", "start", "allowed"])
+
+    return enter
+
 
-    return chain
+def _chain_blocks(blocks: DataFrame, k: int) -> DataFrame:
+    """``(sensor, node, start, allowed)`` of blocks from ``(sensor, node, total, first, out)``.
+
+    Tables of consecutive blocks are composed ``LEVELS`` times, ``FAN`` to one, and then the entries
+    are handed down again, so no group has more rows than ``FAN`` but the topmost, which has a row
+    for every ``FAN ** LEVELS`` blocks of a sensor's session.
+    """
+    kinds = "sensor string, node bigint, total bigint, first bigint, out array<bigint>"
+    entries = "sensor string, node bigint, start bigint, allowed bigint"
+    levels = [blocks]
+    for _ in range(LEVELS):
+        above = levels[-1].groupBy("sensor", F.floor(F.col("node") / FAN).alias("node"))
+        levels.append(above.applyInPandas(_composed(k), kinds))
+    enter = _entered(k)
+    entered = levels.pop().groupBy("sensor").applyInPandas(lambda key, top: enter(key, top, None), entries)
+    for nodes in reversed(levels):
+        parents = entered.withColumnRenamed("node", "parent")
+        entered = (
+            nodes.withColumn("parent", F.floor(F.col("node") / FAN))
+            .groupBy("sensor", "parent")
+            .cogroup(parents.groupBy("sensor", "parent"))
+            .applyInPandas(lambda key, own, parent: enter(key, own, parent), entries)
+        )
+    return entered
 
 
 def _block_alerts(k: int):
@@ -275,10 +337,30 @@ def _alerts_of_kind(points: DataFrame, kind: str, window_us: int, k: int) -> Dat
     totals = points.groupBy("sensor", _block(us, width).alias("block")).agg(
         F.sum(measure).alias("total"), F.sum(in_tail).alias("tail")
     )
-    starts = (
+    # Blocks count from the rows of the block before that were copied into them.
+    copied = totals.select("sensor", (F.col("block") + 1).alias("block"), F.col("tail").alias("copied"))
+    blocks = materialize(
         totals.join(tables, ["sensor", "block"], "left")
-        .groupBy("sensor")
-        .applyInPandas(_chain_blocks(k), "sensor string, block bigint, base bigint, allowed bigint")
+        .join(copied, ["sensor", "block"], "left")
+        .withColumn("copied", F.coalesce("copied", F.lit(0))),
+        "alert-blocks",
+    )
+    chained = _chain_blocks(
+        blocks.select(
+            "sensor",
+            F.col("block").alias("node"),
+            "total",
+            (F.col("first") - F.col("copied")).alias("first"),
+            F.transform("out", lambda x: x - F.col("copied")).alias("out"),
+        ),
+        k,
+    )
+    starts = (
+        blocks.filter("first is not null")
+        .select("sensor", "block", "copied")
+        .join(chained.withColumnRenamed("node", "block"), ["sensor", "block"])
+        .withColumn("base", F.col("start") - F.col("copied"))
+        .select("sensor", "block", "base", (F.col("allowed") - F.col("base")).alias("allowed"))
     )
     fired = (
         candidates.groupBy("sensor", "block")

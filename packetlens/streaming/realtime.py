@@ -5,6 +5,7 @@ scored once and every table survives a restart:
 
 lines -> results -> event_lines
                  -> instants -> alerts
+      -> rejects
 """
 
 from __future__ import annotations
@@ -21,11 +22,11 @@ from ..operators.report import event_lines
 from ..operators.rules import flag_large_frames
 from ..plans.analysis import analyze_packets
 from ..plans.reporting import generate_report
-from ..sources.packets import parse_packets, stream_lines
+from ..sources.packets import parse_packets, rejected_lines, stream_lines
 from .alerts import INSTANT_SCHEMA, MAX_AHEAD_SECONDS, send_heartbeat, stream_alerts, stream_instants
 
 PROGRESS_ROWS = 50
-TABLES = ("results", "event_lines", "progress", "instants", "alerts", "heartbeats")
+TABLES = ("results", "rejects", "event_lines", "progress", "instants", "alerts", "heartbeats")
 
 
 def stream_packets(
@@ -40,6 +41,16 @@ def stream_packets(
     return packets.filter(predicate) if predicate else packets
 
 
+def stream_rejects(
+    spark: SparkSession,
+    folder: str,
+    fields: Sequence[str] | None = None,
+    max_files: int | None = None,
+) -> DataFrame:
+    """Lines of the same folder that are no packets: neither blank nor as wide as ``fields``."""
+    return rejected_lines(stream_lines(spark, folder, max_files), fields)
+
+
 def realtime_results(
     packets: DataFrame,
     detector: IsolationForestModel,
@@ -117,7 +128,8 @@ def run_realtime(
 ) -> dict[str, str]:
     """Process what has arrived in ``source`` to the end, flush, and report when there are rows.
 
-    ``start_realtime`` is the same chain without an end.
+    Lines of another width than ``fields`` go to the table ``rejects``. ``start_realtime`` is the
+    same chain without an end.
     """
     if isinstance(detector, str):
         detector = load_isolation_forest(spark, detector)
@@ -129,6 +141,8 @@ def run_realtime(
     packets = stream_packets(spark, source, fields, max_files, predicate)
     results = realtime_results(packets, detector, classifier, schema)
     append_table(with_progress(results), paths["results"], once).awaitTermination()
+    rejects = stream_rejects(spark, source, fields, max_files)
+    append_table(rejects, paths["rejects"], once).awaitTermination()
 
     table = spark.read.schema(results.schema).parquet(paths["results"])
     end = table.agg(F.max("event_us")).first()[0]
@@ -207,7 +221,8 @@ def start_realtime(
     packets = stream_packets(spark, source, fields, predicate=predicate)
     results = realtime_results(packets, detector, classifier, schema)
     first = append_table(with_progress(results), paths["results"], trigger)
+    rejects = append_table(stream_rejects(spark, source, fields), paths["rejects"], trigger)
     rest = start_followers(
         spark, results.schema, paths, trigger, limits, delay_seconds, sensor, time=time
     )
-    return [first, *rest]
+    return [first, rejects, *rest]

@@ -85,6 +85,20 @@ def test_random_cases(spark, seed):
     assert alerts_of(spark, rows, limits) == expected(rows, limits)
 
 
+@pytest.mark.parametrize("fan", [2, 3])
+def test_block_tables_compose_over_levels(spark, monkeypatch, fan):
+    monkeypatch.setattr(A, "FAN", fan)
+    rng = random.Random(fan)
+    limits = {"anomaly": (2_000_000, 5), "traffic": (1_000_000, 3)}
+    rows = []
+    for s, start in (("a", 0), ("b", -90_000_000), ("c", 1_700_000_003_000_000)):
+        spans = rng.sample(range(30), 18)  # blocks without events between
+        for _ in range(900):
+            at = start + rng.choice(spans) * 10_000_000 + rng.randrange(10_000_000) // 1000 * 1000
+            rows.append((s, at, int(rng.random() < 0.7)))
+    assert alerts_of(spark, rows, limits) == expected(rows, limits)
+
+
 def test_dense_session_over_many_blocks(spark):
     # Every event is a candidate, so the phase set at the start holds to the end.
     rows = [("s", 7_000 * i, 1) for i in range(30_000)]

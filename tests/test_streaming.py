@@ -76,6 +76,8 @@ def test_empty_source_makes_no_report(spark, tmp_path):
         report_base=str(tmp_path / "reports"),
     )
     assert "data" not in paths and not os.path.exists(tmp_path / "reports")
+    rejects = spark.read.parquet(paths["rejects"]).collect()
+    assert [(r.value, r.got_fields, r.expected_fields) for r in rejects] == [("broken", 1, 6)]
 
 
 def flagged(spark, folder, max_files=None):

@@ -42,7 +42,7 @@ END = mix(np.array([0x454E44], dtype=np.uint64))[0]  # the end of a text as a to
 
 SHARD_BYTES = 16_000_000  # of text for each shard, so that a shard's keys fit a task
 BUFFER_KEYS = 3_000_000  # keys that a task holds before it counts and sends them
-PART_IDS = 1 << 18  # ids of a part of the arrays by id
+PART_IDS = 1 << 16  # ids of a part of the arrays by id, so that a part is a small group
 
 COUNT_SCHEMA = "shard int, keys binary, counts binary"
 

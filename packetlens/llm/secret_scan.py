@@ -2,8 +2,9 @@
 
 A vocabulary of byte pairs spends few tokens on words and names it has seen, and nearly one for each
 character or two on random ones. So long runs of key characters that have few characters to a token
-are reported, unless they are something known that only looks random: digests of the usual lengths,
-UUIDs, numbers, or identifiers made of words.
+are reported.
+Known forms that only look random are cut out before: digests of the usual lengths, UUIDs, numbers.
+Whether something is a word is left to the vocabulary alone.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from .frames import map_arrow
 from .token_counts import PATTERN, VOCABULARY, encoding
 
 KINDS = ("assign", "access", "hex", "random")
-LEAST_VALUE, LEAST_ACCESS, LEAST_HEX, LEAST_RANDOM = 6, 20, 24, 20
+LEAST_VALUE, LEAST_ACCESS, LEAST_HEX, LEAST_RANDOM = 6, 20, 24, 16
 CHARS_PER_TOKEN = 2.0
 DIGEST_LENGTHS = (32, 40, 56, 64, 96, 128)  # hexadecimal digits of md5, sha1 and sha2
 
@@ -33,9 +34,13 @@ HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(rf"[0-9a-f]{{{LEAST_HEX},}}")
 
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RANDOM},}}")
-_UUID = re.compile(r"(?i:[0-9a-f]{8}-(?:[0-9a-f]{4}-){3}[0-9a-f]{12})")
-_HEXADECIMAL = re.compile(r"(?:[0-9a-f]+|[0-9A-F]+)")
-_PIECES = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
+_DIGITS = "|".join(f"[0-9A-Fa-f]{{{n}}}" for n in DIGEST_LENGTHS)
+# What ends a run: rulers, UUIDs, and digests in one case.
+_KNOWN = re.compile(
+    rf"[+/_=-]{{3,}}|(?<![0-9A-Za-z])(?:[0-9A-Fa-f]{{8}}-(?:[0-9A-Fa-f]{{4}}-){{3}}[0-9A-Fa-f]{{12}}"
+    rf"|(?![0-9]*[a-z][0-9a-z]*[A-Z]|[0-9]*[A-Z][0-9A-Z]*[a-z])(?:{_DIGITS}))(?![0-9A-Za-z])"
+)
+_LETTER = re.compile(r"[A-Za-z]")
 
 
 def known_spans(text: str) -> list[tuple[int, int, int]]:
@@ -51,26 +56,26 @@ def known_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
-def is_known(run: str) -> bool:
-    """Digests, UUIDs, numbers and identifiers of words: nothing secret, though it may look random."""
-    bare = run.strip("=_-/+")
-    if _UUID.fullmatch(bare) or _HEXADECIMAL.fullmatch(bare) and len(bare) in DIGEST_LENGTHS:
-        return True
-    if not re.search(r"[0-9]", bare) or not re.search(r"[A-Za-z]", bare):
-        return True
-    pieces = _PIECES.findall(bare)
-    words = sum(len(p) for p in pieces if len(p) >= 4 and p.isalpha())
-    return 2 * words >= len(bare)
+def _free(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of runs that hold nothing known, if long enough, where no span of ``taken`` is."""
+    for m in _RUN.finditer(text):
+        if any(s < m.end() and m.start() < e for s, _, e in taken):
+            continue
+        start = m.start()
+        cuts = [(k.start(), k.end()) for k in _KNOWN.finditer(text, m.start(), m.end())]
+        for s, e in [*cuts, (m.end(), m.end())]:
+            if s - start >= LEAST_RANDOM:
+                yield start, s
+            start = e
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoder, bound: float) -> list:
-    """Runs that aren't known, overlap no span of ``taken`` and have few characters to a token."""
+    """Runs that overlap no span of ``taken`` and have few characters to a token."""
     found = []
-    for m in _RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in taken) or is_known(m[0]):
-            continue
-        if len(m[0]) < bound * len(encoder.encode_ordinary(m[0])):
-            found.append((m.start(), 3, m.end()))
+    for begin, stop in _free(text, taken):
+        run = text[begin:stop]
+        if _LETTER.search(run) and len(run) < bound * len(encoder.encode_ordinary(run)):
+            found.append((begin, 3, stop))
     return found
 
 

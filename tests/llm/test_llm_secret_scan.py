@@ -1,6 +1,9 @@
 import base64
 import random
 import re
+import string
+
+import pytest
 
 from packetlens.llm import secret_scan as ss
 
@@ -67,3 +70,34 @@ def test_edges(docs):
     table = docs((None, long), (1, long), (1, long), extra=", spans int, id string", values=(1, "x"))
     got = ss.find_secrets(table).collect()
     assert [len(r.spans) for r in got] == [1, 1, 1] and got[0].spans[0].start == 500_000
+
+
+ALPHABETS = {
+    "lower": string.ascii_lowercase + string.digits,
+    "upper": string.ascii_uppercase + string.digits,
+    "base32": string.ascii_uppercase + "234567",
+    "base32_lower": string.ascii_lowercase + "234567",
+    "base62": string.ascii_letters + string.digits,
+    "base64": string.ascii_letters + string.digits + "+/",
+    "letters": string.ascii_letters,
+}
+
+
+def recall(docs, made, before="", after=""):
+    """Share of strings that a random span covers to nine tenths at least."""
+    rows = list(enumerate(f"see {before}{x}{after} there" for x in made))
+    got = {r.doc_id: r.spans for r in ss.find_secrets(docs(*rows)).collect()}
+    start = len("see " + before)
+    found = 0
+    for i, x in enumerate(made):
+        part = [min(s.stop, start + len(x)) - max(s.start, start) for s in got[i] if s.kind == "random"]
+        found += 10 * max(part, default=0) >= 9 * len(x)
+    return found / len(made)
+
+
+@pytest.mark.parametrize("alphabet", ALPHABETS)
+@pytest.mark.parametrize("length", [16, 20, 32, 40])
+def test_recall_by_alphabet_and_length(docs, alphabet, length):
+    rng = random.Random(length)
+    made = ["".join(rng.choice(ALPHABETS[alphabet]) for _ in range(length)) for _ in range(300)]
+    assert recall(docs, made) >= (0.75 if length == 16 else 0.8 if length == 20 else 0.9)

@@ -2,7 +2,7 @@
 
 A vocabulary of byte pairs spends few tokens on words and names it has seen, and nearly one for each
 character or two on random ones. So long runs of key characters that have few characters to a token
-are reported.
+are reported, and of others the stretches that have: a name or path in front is words, which end one.
 Known forms that only look random are cut out before: digests of the usual lengths, UUIDs, numbers.
 Whether something is a word is left to the vocabulary alone.
 """
@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,6 +34,10 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]+")
 LONG_HEX = re.compile(rf"[0-9a-f]{{{LEAST_HEX},}}")
 
+_DROP = 8  # characters beyond the bound that end a stretch: one long word, or two short ones
+_SHORT = 3  # tokens of so many characters at a stretch's edge may be a part of it
+
+_SEPARATORS = "+/_=-"
 _RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{LEAST_RANDOM},}}")
 _DIGITS = "|".join(f"[0-9A-Fa-f]{{{n}}}" for n in DIGEST_LENGTHS)
 # What ends a run: rulers, UUIDs, and digests in one case.
@@ -57,25 +62,73 @@ def known_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def _free(text: str, taken: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """The parts of runs that hold nothing known, if long enough, where no span of ``taken`` is."""
+    """The parts of runs that hold no span of ``taken`` and nothing known, if long enough."""
+    spans, at = sorted((s, e) for s, _, e in taken), 0
     for m in _RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in taken):
-            continue
-        start = m.start()
+        while at < len(spans) and spans[at][1] <= m.start():
+            at += 1
         cuts = [(k.start(), k.end()) for k in _KNOWN.finditer(text, m.start(), m.end())]
-        for s, e in [*cuts, (m.end(), m.end())]:
+        i = at
+        while i < len(spans) and spans[i][0] < m.end():
+            cuts.append(spans[i])
+            i += 1
+        start = m.start()
+        for s, e in [*sorted(cuts), (m.end(), m.end())]:
             if s - start >= LEAST_RANDOM:
                 yield start, s
-            start = e
+            start = max(start, e)
+
+
+def _stretches(gain: list[float]) -> Iterator[tuple[int, int]]:
+    """Stretches of positive sum, each up to its best end, that no fall of ``_DROP`` lies in."""
+    at = 0
+    while at < len(gain):
+        if gain[at] <= 0:
+            at += 1
+            continue
+        total = best = 0.0
+        end = at
+        for i in range(at, len(gain)):
+            total += gain[i]
+            if total > best:
+                best, end = total, i + 1
+            if total <= 0 or total <= best - _DROP:
+                break
+        yield at, end
+        at = end
 
 
 def random_spans(text: str, taken: list[tuple[int, int, int]], encoder, bound: float) -> list:
-    """Runs that overlap no span of ``taken`` and have few characters to a token."""
+    """Runs outside of ``taken`` and known forms that have few characters to a token, or their stretches.
+
+    A run is one span if it has few as a whole; else each stretch of it that has is one. In stretches
+    separators are no characters of a word nor of a number, so they count for nothing.
+    """
     found = []
     for begin, stop in _free(text, taken):
         run = text[begin:stop]
-        if _LETTER.search(run) and len(run) < bound * len(encoder.encode_ordinary(run)):
-            found.append((begin, 3, stop))
+        size = [len(t) for t in encoder.decode_tokens_bytes(encoder.encode_ordinary(run))]
+        if len(run) < bound * len(size):
+            if _LETTER.search(run):
+                found.append((begin, 3, stop))
+            continue
+        edge = [0, *accumulate(size)]
+        plain = [run[a] not in _SEPARATORS for a in edge[:-1]]
+        gain = [bound - n if p else 0.0 for n, p in zip(size, plain)]
+        first, end = plain.index(True), len(plain) - plain[::-1].index(True)
+        last = 0
+        for i, j in _stretches(gain):
+            total = sum(gain[i:j])
+            # So short a token at an edge is likelier a part of the key than a word.
+            while i > last and plain[i - 1] and size[i - 1] <= _SHORT and total + gain[i - 1] > 0:
+                i, total = i - 1, total + gain[i - 1]
+            while j < len(size) and plain[j] and size[j] <= _SHORT and total + gain[j] > 0:
+                j, total = j + 1, total + gain[j]
+            # Separators at the ends of a run belong to it, as in base64.
+            i, j = 0 if i == first else max(i, last), len(size) if j == end else j
+            a, b, last = edge[i], edge[j], max(j, last)
+            if b - a >= LEAST_RANDOM and _LETTER.search(run, a, b):
+                found.append((begin + a, 3, begin + b))
     return found
 
 

@@ -101,3 +101,21 @@ def test_recall_by_alphabet_and_length(docs, alphabet, length):
     rng = random.Random(length)
     made = ["".join(rng.choice(ALPHABETS[alphabet]) for _ in range(length)) for _ in range(300)]
     assert recall(docs, made) >= (0.75 if length == 16 else 0.8 if length == 20 else 0.9)
+
+
+@pytest.mark.parametrize(
+    "before, after",
+    [
+        ("authorization_bearer=", ""),
+        ("session_identifier=", ""),
+        ("connection_string=", ""),
+        ("https://example.com/path/to/some/resource/", ""),
+        ("/some/folder/", "/and/another/long/folder/name"),
+        ("0a1b2c3d4e5f" * 2 + "/", ""),
+        ("AKIA" + "Q7" * 8 + "/", ""),
+    ],
+)
+def test_recall_inside_a_run(docs, before, after):
+    rng = random.Random(len(before))
+    made = ["".join(rng.choice(ALPHABETS["base62"]) for _ in range(32)) for _ in range(300)]
+    assert recall(docs, made, before, after) >= 0.98

@@ -147,12 +147,15 @@ def _connected(sets: list[np.ndarray], inside: np.ndarray, threshold: int) -> np
     """For each set the least set it is connected with; ``inside`` marks the block of each."""
     left = np.flatnonzero(~inside)
     right = np.flatnonzero(inside)
+    label = np.arange(len(sets))
+    # The lower block has no members: the other's own group decides on its pairs.
+    if not len(left):
+        return label
     if not len(right):
         right = left
     signatures = np.stack([signature(s) for s in sets])
     pairs = likely(signatures[left], signatures[right], threshold)
     rows, columns = np.flatnonzero(pairs.any(axis=1)), np.flatnonzero(pairs.any(axis=0))
-    label = np.arange(len(sets))
     if not len(rows):
         return label
     size = np.array([len(s) for s in sets])

@@ -79,6 +79,14 @@ def test_family_larger_than_a_block(docs, monkeypatch):
     assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
 
 
+@pytest.mark.parametrize("copies", [2, 3])
+def test_blocks_without_members(docs, monkeypatch, copies):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 100)
+    rows = families(4, groups=20, copies=copies, changes=8)
+    got = near_dedup.near_duplicates(docs(*rows)).collect()
+    assert sorted(map(tuple, got), key=key) == sorted(brute(rows), key=key)
+
+
 def test_overlaps_in_column_chunks(monkeypatch):
     monkeypatch.setattr(near_dedup, "_COLUMNS", 7)
     rng = np.random.default_rng(0)

@@ -493,7 +493,7 @@ def batch_analysis(spark, sf):
 
 def _run_batch(spark, sf, **options):
     detector = frozen_forest().save(spark, new_folder(spark, "model"))
-    model = classify.fit_classifier(_labelled(spark, sf), PACKET_FEATURES, trees=20)
+    model = classify.fit_classifier(_labelled(spark, sf), PACKET_FEATURES)
     reports = new_folder(spark, "reports")
     return analysis.run_batch(spark, _line_folder(spark, sf), detector, model.path, reports, **options)
 
@@ -561,10 +561,7 @@ def train_job(spark, sf):
 @query
 def train_flow_job(spark, sf):
     folder = _flow_csv(spark, sf)
-    # These labels are noise, on which trees without a bound grow a node for every few rows.
-    paths = training.train_from_flows(
-        spark, folder, new_folder(spark, "models"), classifier_trees=10, max_depth=5
-    )
+    paths = training.train_from_flows(spark, folder, new_folder(spark, "models"))
     table = training.load_flow_features(spark, folder).drop("attack_type")
     scored = iforest.detect_anomalies(table, paths["detector"])
     labelled = classify.classify_attacks(scored, paths["classifier"])

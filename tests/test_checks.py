@@ -1,9 +1,12 @@
 """Every query that has SQL agrees with it; the others have the properties they should have."""
 
+import inspect
+
 import pytest
 
 import __spark_entry__ as spark_entry
 from checks.compare import connect, difference
+from packetlens.operators import classify
 
 SF = "/root/testdata/sf0.001"
 SQL = spark_entry.oracle_sql()
@@ -42,3 +45,21 @@ def test_trained_models(spark):
     rows = QUERIES["rf_train_predict"](spark, SF).collect()
     assert len(rows) == 990 and all(r.label == r.attack_type for r in rows)
     assert tuple(QUERIES["train_job"](spark, SF).first()) == (990, 990, True)
+
+
+@pytest.mark.parametrize("name", ["train_flow_job", "batch_job", "batch_job_rejects"])
+def test_jobs_ask_for_full_forests(spark, monkeypatch, name):
+    class Asked(Exception):
+        pass
+
+    signature = inspect.signature(classify.fit_classifier)
+
+    def asked(*args, **options):
+        call = signature.bind(*args, **options)
+        call.apply_defaults()
+        raise Asked(call.arguments["trees"], call.arguments["max_depth"])
+
+    monkeypatch.setattr(classify, "fit_classifier", asked)
+    with pytest.raises(Asked) as found:
+        QUERIES[name](spark, SF)
+    assert found.value.args == (150, 30)

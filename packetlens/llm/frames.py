@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,6 +22,19 @@ def map_arrow(
     return df.mapInArrow(run, schema)
 
 
+def byte_blocks(batch: pa.RecordBatch, column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """A batch in runs of rows with about ``limit`` bytes of a text or binary column, one row at least.
+
+    Spark itself ends a batch at 64 MB, so that neither many rows nor long texts fill a task's memory.
+    """
+    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    block = np.cumsum(size, dtype=np.int64) // limit
+    edges = [0, *(np.flatnonzero(np.diff(block)) + 1).tolist(), batch.num_rows]
+    for low, high in zip(edges[:-1], edges[1:]):
+        if high > low:
+            yield batch.slice(low, high - low)
+
+
 def utf8(column: str | Column) -> Column:
     """A text as its bytes, null as none: what vectorised code works on."""
     column = F.col(f"`{column}`") if isinstance(column, str) else column

@@ -68,4 +68,44 @@ ORACLE = {
             doc_id = component_id as kept
         from sets join least using (doc_id)
     """,
+    "op12_ranked_search": r"""
+        with words as (
+            select row_number() over () as row_id, doc_id, regexp_extract_all(
+                translate(coalesce(text, ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as w
+            from documents
+        ), size as (
+            select cast(count(*) filter (len(w) > 0) as bigint) as docs,
+                cast(sum(len(w)) as bigint) as terms
+            from words
+        ), item_terms as (
+            select distinct item_row, item_id, unnest(regexp_extract_all(
+                translate(coalesce(text, ''),
+                    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term
+            from (select row_number() over () as item_row, item_id, text from benchmark)
+        ), counts as (
+            select row_id, term, count(*) as tf
+            from (select row_id, unnest(w) as term from words)
+            where term in (select term from item_terms) group by all
+        ), weights as (
+            select term, cast(floor(1000 * ln((2.0::double * any_value(docs) + 2) / (2 * count(*) + 1)))
+                as bigint) as weight
+            from counts, size group by term
+        ), norms as (
+            select row_id, doc_id, 100 - 90 + ((90 * len(w) * docs) // terms) as m
+            from words, size where len(w) > 0
+        ), scores as (
+            select item_row, item_id, row_id, doc_id, cast(sum(
+                weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) as bigint) as score
+            from item_terms join counts using (term) join weights using (term) join norms using (row_id)
+            group by all
+        ), ranked as (
+            select *, row_number() over (
+                partition by item_row order by score desc, doc_id nulls last) as place
+            from scores where score > 0
+        )
+        select item_id, cast(place as integer) as rank, doc_id, score from ranked where place <= 10
+    """,
 }

@@ -11,8 +11,10 @@ from . import (
     licences,
     mixing,
     near_dedup,
+    packing,
     phrase_index,
     quality,
+    ranked_search,
     secret_scan,
     sharding,
     token_counts,
@@ -129,3 +131,15 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return near_dedup.near_duplicates(_documents(spark, sf))
+
+
+@query
+def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
+    packed = packing.pack(_documents(spark, sf))
+    return packed.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+
+
+@query
+def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    items = spark.read.parquet(f"{sf}/benchmark.parquet")
+    return ranked_search.search(_documents(spark, sf), items)

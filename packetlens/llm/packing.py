@@ -14,8 +14,9 @@ from __future__ import annotations
 
 import json
 import re
+import zlib
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -62,9 +63,7 @@ class Encoder:
     """
 
     def __init__(self, source: str):
-        from tokenizers import Tokenizer
-
-        self.exact = Tokenizer.from_str(source)
+        self.source = source
         described = json.loads(source)
         self.special = [t["content"] for t in described.get("added_tokens", [])]
         self.fast = self._fast(described)
@@ -97,6 +96,12 @@ class Encoder:
         }
         return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
 
+    @cached_property
+    def exact(self):
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_str(self.source)
+
     def _exactly(self, text: str) -> list[int]:
         return self.exact.encode(text, add_special_tokens=False).ids
 
@@ -177,7 +182,8 @@ class _Bins:
                 self.next_id += bins
                 yield _placed(mine.slice(0, bins * count), sequence)
             if mine.num_rows > bins * count:
-                self.open[size] = mine.slice(bins * count).combine_chunks()
+                # Taken, so copied: a slice would keep all of its parent in memory.
+                self.open[size] = mine.take(pa.array(np.arange(bins * count, mine.num_rows)))
 
     def close(self) -> Iterator[pa.Table]:
         """What is open, longest first: full sequences, then one for each binary digit of the rest.
@@ -204,6 +210,7 @@ def pack(
     least: int = 1,
     end: int = END,
     vocabulary: str | None = None,
+    digest: bool = False,
 ) -> DataFrame:
     """Pieces of all rows of ``docs``, dealt to sequences of at most ``capacity`` tokens.
 
@@ -214,6 +221,9 @@ def pack(
     without padding if ``least`` is 1. With a larger ``least`` documents are cut less, as no slot is
     shorter, and pad less than that many tokens each. Both must be powers of two.
 
+    With ``digest`` a piece has ``ids_crc32``, the crc32 of ``ids``, in their place: a plan of the
+    sequences that is small beside them, for a writer that encodes the texts itself.
+
     Null and empty texts have the token ``end`` alone. Ids may be null, repeated and of any type: rows
     with one id are documents of their own, whose pieces the ids don't tell apart. Sequences never span
     tasks, so a task that runs again changes none but its own; their numbers depend on the splits.
@@ -229,7 +239,8 @@ def pack(
     inputs = docs.select(
         F.col(f"`{id_column}`").alias("id"), F.col(f"`{text_column}`").cast("string").alias("text")
     )
-    names = ["id", "start", "length", "ids", "doc_tokens", "sequence_id", "offset"]
+    content = "ids_crc32" if digest else "ids"
+    names = ["id", "start", "length", content, "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = encoder(shared.value)
@@ -245,15 +256,18 @@ def pack(
                 base = np.cumsum(tokens) - tokens
                 data = memoryview(np.concatenate(ids).tobytes())
                 document, start, length, slot = cut_lengths(tokens, capacity, least)
-                low, high = base[document] + start, base[document] + start + length
+                low = base[document] + start
+                cut = [data[4 * a : 4 * b] for a, b in zip(low.tolist(), (low + length).tolist())]
+                if digest:
+                    ids_column = pa.array(list(map(zlib.crc32, cut)), pa.int64())
+                else:
+                    ids_column = pa.array(cut, pa.binary())
                 pieces = pa.table(
                     {
                         "id": rows.column("id").take(pa.array(document)),
                         "start": pa.array(start, pa.int64()),
                         "length": pa.array(length, pa.int64()),
-                        "ids": pa.array(
-                            [data[4 * a : 4 * b] for a, b in zip(low.tolist(), high.tolist())], pa.binary()
-                        ),
+                        content: ids_column,
                         "doc_tokens": pa.array(tokens[document], pa.int64()),
                     }
                 )
@@ -264,7 +278,7 @@ def pack(
 
     kind = dict(inputs.dtypes)["id"]
     schema = (
-        f"id {kind}, start bigint, length bigint, ids binary, doc_tokens bigint,"
-        " sequence_id bigint, offset bigint"
+        f"id {kind}, start bigint, length bigint, {content} {'bigint' if digest else 'binary'},"
+        " doc_tokens bigint, sequence_id bigint, offset bigint"
     )
     return inputs.mapInArrow(run, schema).select(F.col("id").alias(id_column), *names[1:])

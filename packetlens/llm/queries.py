@@ -135,8 +135,7 @@ def op10_near_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
-    packed = packing.pack(_documents(spark, sf))
-    return packed.withColumn("ids", F.crc32("ids")).withColumnRenamed("ids", "ids_crc32")
+    return packing.pack(_documents(spark, sf), digest=True)
 
 
 @query

@@ -1,3 +1,5 @@
+import zlib
+
 import numpy as np
 import pytest
 from hypothesis import given, settings
@@ -106,6 +108,14 @@ def test_ties_repeats_clashing_names_and_empty_tables(spark, docs, public):
     assert packing.pack(ids, id_column="start").count() >= 1
 
 
+def test_digest_is_that_of_the_ids(spark, docs):
+    rows = docs(*[(i, "many words here " * i) for i in range(60)])
+    keys = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset"]
+    full = {tuple(p[k] for k in keys): zlib.crc32(p.ids) for p in packing.pack(rows).collect()}
+    short = {tuple(p[k] for k in keys): p.ids_crc32 for p in packing.pack(rows, digest=True).collect()}
+    assert full == short
+
+
 def test_powers_of_two_only(docs):
     with pytest.raises(ValueError):
         packing.pack(docs((1, "a")), capacity=1000)

@@ -108,4 +108,99 @@ ORACLE = {
         )
         select item_id, cast(place as integer) as rank, doc_id, score from ranked where place <= 10
     """,
+    "op13_repair": r"""
+        with recursive keyed as (
+            select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text,
+                coalesce(cast(conv_id as varchar), ' ') || ':' || coalesce(cast(turn as varchar), ' ') as k
+            from conversations
+        ), crc_table as (
+            select i, list_reduce(range(0, 9), lambda c, s: case when s = 0 then c when c % 2 = 1
+                then xor(c // 2, 3988292384) else c // 2 end, i) as v
+            from range(256) t(i)
+        ), crc_list as (select list(v order by i) as v from crc_table),
+        kinds as (
+            select *, xor(list_reduce(list_prepend(4294967295::bigint,
+                list_transform(range(1, length(k) + 1), lambda p: cast(ascii(k[p]) as bigint))),
+                lambda c, b: xor(c // 256, v[1 + (xor(c, b) & 255)])), 4294967295::bigint) % 20 as kind
+            from keyed, crc_list
+        ), damaged as (
+            select conv_id, turn, case when kind = 4 then 'user' else role end as role,
+                case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text,
+                unnest(case when kind = 3 then [0, 1] else [0] end) as copy
+            from kinds where kind <> 0
+        ), placed as (
+            select *, row_number() over c as i, lag(left(role, 1)) over c as before,
+                rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) as trimmed,
+                row_number() over (partition by conv_id, role, text order by turn nulls first, copy) as nth
+            from damaged
+            window c as (partition by conv_id order by turn nulls first, role, sha256(text), copy)
+        ), faults as (
+            select conv_id, i, left(role, 1) as initial, before, turn, role, text,
+                trimmed = '' as blank, trimmed <> '' and nth > 1 as duplicate,
+                trimmed <> '' and nth = 1 and right(trimmed, 1) not in ('.', '!', '?') as truncated
+            from placed
+        ), walk as (
+            select conv_id, cast(0 as bigint) as i, {'c': 0, 'a': ''} as s0, {'c': 999999999, 'a': ''} as s1,
+                {'c': 999999999, 'a': ''} as s2, {'c': 999999999, 'a': ''} as s3
+            from (select distinct conv_id from conversations)
+            union all
+            select conv_id, i, list_min([d0]) as s0, list_min([d1, s]) as s1,
+                list_min([d2, u, r2]) as s2, list_min([d3, a, r3]) as s3
+            from (
+                select conv_id, i, {'c': s0.c + 3, 'a': s0.a || 'D'} as d0, {'c': s1.c + 3, 'a': s1.a || 'D'} as d1,
+                    {'c': s2.c + 3, 'a': s2.a || 'D'} as d2, {'c': s3.c + 3, 'a': s3.a || 'D'} as d3,
+                    {'c': s0.c + late + if(initial = 's', gone, 999999999), 'a': s0.a || 'K'} as s,
+                    {'c': f.c + late + if(initial = 'u', gone, 999999999), 'a': f.a || 'K'} as u,
+                    {'c': e2.c + late + if(initial = 'a', gone, 999999999), 'a': e2.a || 'K'} as a,
+                    {'c': f.c + late + 2 + gone, 'a': f.a || 'R'} as r2,
+                    {'c': e2.c + late + 2 + gone, 'a': e2.a || 'R'} as r3
+                from (
+                    select *, list_min([s0, s1, e3]) as f,
+                        list_min([s2, {'c': s0.c + 2, 'a': s0.a || 'I'}, {'c': s1.c + 2, 'a': s1.a || 'I'},
+                            {'c': s3.c + 2, 'a': s3.a || 'I'}]) as e2
+                    from (
+                        select w.conv_id, g.i, s0, s1, s2, s3, initial,
+                            if(truncated, 1, 0) as late, if(blank or duplicate, 999999999, 0) as gone,
+                            list_min([s3, {'c': s2.c + 2, 'a': s2.a || 'I'}, {'c': s0.c + 4, 'a': s0.a || 'II'},
+                                {'c': s1.c + 4, 'a': s1.a || 'II'}]) as e3
+                        from walk w join faults g on w.conv_id is not distinct from g.conv_id and g.i = w.i + 1
+                    )
+                )
+            )
+        ), ends as (
+            select conv_id, list_min([s0, s3, {'c': s2.c + 2, 'a': s2.a || 'I'}, {'c': s1.c + 4, 'a': s1.a || 'II'}]) as e
+            from walk qualify row_number() over (partition by conv_id order by i desc) = 1
+        ), letters as (
+            select conv_id, e.a as audit, unnest(range(1, length(e.a) + 1)) as p from ends
+        ), edits as (
+            select conv_id, p, audit[p] as x,
+                count(*) filter (audit[p] <> 'I') over (partition by conv_id order by p) as i
+            from letters
+        ), kept as (
+            select e.conv_id, p, x, initial, role, text,
+                row_number() over (partition by e.conv_id order by p) as place
+            from edits e left join faults f on e.conv_id is not distinct from f.conv_id and e.i = f.i and x <> 'I'
+            where x <> 'D'
+        ), headed as (
+            select *, max(if(place = 1 and x = 'K' and initial = 's', 1, 0)) over (partition by conv_id) as has_s
+            from kept
+        ), mended as (
+            select conv_id, sha256(string_agg(
+                case when x = 'K' then role when (place - has_s) % 2 = 1 then 'user' else 'assistant' end
+                || ':' || case when x = 'I' then '' else text end, chr(10) order by place)) as sha
+            from headed group by conv_id
+        ), counts as (
+            select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps,
+                count(*) filter (blank) as blank, count(*) filter (duplicate) as duplicate,
+                count(*) filter (truncated) as truncated,
+                count(*) filter (i > 1 and before || initial not in ('su', 'ua', 'au')) as illegal
+            from faults group by conv_id
+        )
+        select ends.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank,
+            coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated,
+            coalesce(illegal, 0) as illegal, cast(e.c as bigint) as cost, e.a as audit,
+            coalesce(sha, sha256('')) as repaired_sha256
+        from ends left join counts on ends.conv_id is not distinct from counts.conv_id
+        left join mended on ends.conv_id is not distinct from mended.conv_id
+    """,
 }

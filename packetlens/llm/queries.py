@@ -15,6 +15,7 @@ from . import (
     phrase_index,
     quality,
     ranked_search,
+    repair,
     secret_scan,
     sharding,
     token_counts,
@@ -142,3 +143,10 @@ def op11_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op12_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
     items = spark.read.parquet(f"{sf}/benchmark.parquet")
     return ranked_search.search(_documents(spark, sf), items)
+
+
+@query
+def op13_repair(spark: SparkSession, sf: str) -> DataFrame:
+    original = spark.read.parquet(f"{sf}/conversations.parquet")
+    rows = repair.damaged(original)
+    return repair.with_digest(rows, repair.report(rows, ids=original))

@@ -115,7 +115,9 @@ from (select event_id, case when tcp_flag_syn = 1 then 'port_scan' when tcp_flag
         else 'normal' end as label from ({_FEATURES}))""",
     "train_job": f"select count(*) as packets, count(*) as as_learned, true as share_met from ({_FEATURES})",
     "train_flow_job": f"""
-select count(*) as flows, count(*) as labelled, count(*) as merged from ({_FLOW_FEATURES})""",
+select cast(destination_port as double) as destination_port, flow_duration,
+  cast(total_fwd_packets as double) as total_fwd_packets, flow_bytes_s, attack_type as predicted,
+  true as merged_right from ({_FLOW_FEATURES})""",
     "packet_parse": f"select * exclude (us) from ({_PARSED})",
     "packet_stream_parse": f"select * exclude (us, event_id) from ({_PARSED})",
     "packet_rejects": f"""

@@ -564,11 +564,16 @@ def train_flow_job(spark, sf):
     paths = training.train_from_flows(spark, folder, new_folder(spark, "models"))
     table = training.load_flow_features(spark, folder).drop("attack_type")
     scored = iforest.detect_anomalies(table, paths["detector"])
-    labelled = classify.classify_attacks(scored, paths["classifier"])
-    named = F.col("attack_type").isin("normal", "ddos", "web_attack_xss")
-    sure = F.col("attack_confidence").between(1 / 3 - 1e-9, 1)
-    return labelled.agg(
-        F.count("*").alias("flows"),
-        F.count_if(named & sure).alias("labelled"),
-        F.count_if((F.col("is_anomaly") == 1) | (F.col("attack_type") == "normal")).alias("merged"),
+    merged = classify.classify_attacks(scored, paths["classifier"]).withColumnsRenamed(
+        {"is_anomaly": "flagged", "attack_type": "merged", "attack_confidence": "sure"}
+    )
+    # Once more with every row flagged: each gets its predicted label, which its features decide.
+    every = classify.classify_attacks(
+        merged.withColumn("is_anomaly", F.lit(1)), paths["classifier"], schema=table.columns
+    )
+    wanted = F.when(F.col("flagged") == 1, F.col("attack_type")).otherwise("normal")
+    return every.select(
+        *table.columns,
+        F.col("attack_type").alias("predicted"),
+        (F.col("merged") == wanted).alias("merged_right"),
     )

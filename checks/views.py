@@ -41,7 +41,7 @@ select concat(cast(l_orderkey as varchar(20)), '-', cast(l_linenumber as varchar
   case when l_orderkey % 50 = 0 then cast('Infinity' as double)
        when l_orderkey % 51 = 0 then cast('NaN' as double) else l_extendedprice end as flow_bytes_s,
   l_linestatus as state_name,
-  case l_returnflag when 'A' then ' BENIGN' when 'N' then 'Web Attack XSS' else 'DDoS ' end as label
+  case when l_linenumber >= 5 then 'DDoS ' when l_quantity > 30 then 'Web Attack XSS' else ' BENIGN' end as label
 from {lineitem}
 """
 

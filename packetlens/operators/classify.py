@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.labels import NORMAL
 from ..sources.schemas import model_columns, require_columns, require_inputs
-from ..sources.workspace import materialize, new_folder
+from ..sources.workspace import checkpoint_folder, materialize, new_folder
 from .forest import Forest
 from .iforest import read_meta, write_meta
 
@@ -29,6 +29,13 @@ SEED = 42
 # The deepest trees that Spark ML grows; it stops where a node is pure or too small anyway.
 MAX_DEPTH = 30
 
+# Every value of a feature with so many at most is a candidate split.
+MAX_BINS = 64
+# Statistics of the nodes that one pass over the rows splits.
+PASS_MB = 1024
+# Levels of a tree between two checkpoints of the rows' nodes.
+CHECKPOINT_LEVELS = 10
+
 # A model of more bytes is not collected and broadcast: Spark ML then transforms the flagged rows.
 BROADCAST_BYTES = 64_000_000
 
@@ -182,9 +189,16 @@ def fit_classifier(
     trees: int = TREES,
     max_depth: int = MAX_DEPTH,
     seed: int = SEED,
+    max_bins: int = MAX_BINS,
+    pass_mb: int = PASS_MB,
 ) -> AttackClassifier:
-    """Fit on labelled rows and save under ``path``; classes are in alphabetical order."""
+    """Fit on labelled rows and save under ``path``; classes are in alphabetical order.
+
+    Each row keeps the node it has reached in every tree, so that deep trees are not sent with every
+    task; these are checkpointed, as a lost executor would else repeat all levels.
+    """
     spark, features = df.sparkSession, list(features)
+    checkpoint_folder(spark)
     require_columns(df, [*features, label])
     names = [f"_f{i}" for i in range(len(features))]
     inputs = df.select(
@@ -199,7 +213,15 @@ def fit_classifier(
         indexed.transform(inputs)
     )
     model = RandomForestClassifier(
-        numTrees=trees, maxDepth=max_depth, featureSubsetStrategy="sqrt", impurity="gini", seed=seed
+        numTrees=trees,
+        maxDepth=max_depth,
+        maxBins=max_bins,
+        featureSubsetStrategy="sqrt",
+        impurity="gini",
+        seed=seed,
+        cacheNodeIds=True,
+        checkpointInterval=CHECKPOINT_LEVELS,
+        maxMemoryInMB=pass_mb,
     ).fit(vectors.select("label", "features"))
     return _saved(
         spark, model, features, list(indexed.labels), path or new_folder(spark, "classifier")

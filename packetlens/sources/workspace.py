@@ -21,6 +21,16 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
+def checkpoint_folder(spark: SparkSession) -> str:
+    """Where Spark checkpoints: the cluster's folder if it named one, else a new one of this session."""
+    context = spark.sparkContext
+    folder = context.getCheckpointDir()
+    if folder is None:
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or new_folder(spark, "checkpoints"))
+        folder = context.getCheckpointDir()
+    return folder
+
+
 def materialize(df: DataFrame, purpose: str) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back.
 

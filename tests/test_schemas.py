@@ -24,13 +24,30 @@ def test_feature_schema_forms(spark, tmp_path, text):
     assert S.read_feature_schema(spark, str(tmp_path / "f.json")) == ["a", "b"]
 
 
-@pytest.mark.parametrize("text", ['{"other": []}', "[1, 2]", '"a"', "[broken"])
-def test_bad_feature_schema(spark, tmp_path, text):
+@pytest.mark.parametrize(
+    "text,fault",
+    [
+        ('{"other": []}', "no list"),
+        ('{"feature_columns": "a"}', "no list"),
+        ("[1, 2]", "no texts"),
+        ('["a", null]', "no texts"),
+        ('"a"', "no list"),
+        ("[broken", "no JSON"),
+    ],
+)
+def test_bad_feature_schema(spark, tmp_path, text, fault):
     (tmp_path / "f.json").write_text(text)
-    with pytest.raises(ValueError):
+    with pytest.raises(ValueError, match=fault):
         S.read_feature_schema(spark, str(tmp_path / "f.json"))
 
 
+def test_several_schema_files_are_an_error(spark, tmp_path):
+    for name in ("a.json", "b.json"):
+        (tmp_path / name).write_text('["x"]')
+    with pytest.raises(ValueError, match="One schema file"):
+        S.read_feature_schema(spark, str(tmp_path))
+
+
 def test_model_columns_precedence(spark):
     table = spark.createDataFrame(
         [("s", 1.0, True, 0, "x")],

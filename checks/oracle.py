@@ -74,10 +74,10 @@ from (select *, replace(lower(trim(label)), ' ', '_') as lab from ({_CLEAN}))
 _FLOW_COLUMNS = "flow_id, destination_port, flow_duration, total_fwd_packets, flow_bytes_s, attack_type"
 
 
-def _alerts(kind: str, message: str, chosen: str, window_us: int, k: int) -> str:
+def _alerts(kind: str, message: str, chosen: str, window_us: int, k: int, rows: str = _LARGE) -> str:
     return f"""
 with recursive ev as (
-  select event_us, row_number() over (order by event_us, event_id) as rn from ({_LARGE}) where {chosen}),
+  select event_us, row_number() over (order by event_us, event_id) as rn from ({rows}) where {chosen}),
 cand as (
   select event_us, rn from (select event_us, rn, event_us - lag(event_us, {k}) over (order by rn) as g from ev)
   where g <= {window_us}),
@@ -94,6 +94,12 @@ from pick join cand using (rn)
 _ANOMALY_ALERTS = _alerts("anomaly", "🚨 High anomaly rate detected", "is_anomaly = 1", 10_000_000, 5)
 _TRAFFIC_ALERTS = _alerts("traffic", "⚠️ Traffic spike detected", "true", 1_000_000, 5)
 
+_LIVE = f"""
+select event_id, event_us, cast(is_anomaly = 1 or frame_len > 1200 as integer) as is_anomaly from ({_ANALYZED})
+"""
+_LIVE_ANOMALY = _alerts("anomaly", "🚨 High anomaly rate detected", "is_anomaly = 1", 10_000_000, 5, _LIVE)
+_LIVE_TRAFFIC = _alerts("traffic", "⚠️ Traffic spike detected", "true", 1_000_000, 5, _LIVE)
+
 _DECIMAL = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 
 ORACLE = {
@@ -226,6 +232,13 @@ select event_id, event_us, cast(count(*) over (order by event_us range between 1
     "anomaly_alerts": _ANOMALY_ALERTS,
     "traffic_alerts": _TRAFFIC_ALERTS,
     "stream_alerts": f"select * from ({_ANOMALY_ALERTS}) union all select * from ({_TRAFFIC_ALERTS})",
+    "realtime_alerts": f"select * from ({_LIVE_ANOMALY}) union all select * from ({_LIVE_TRAFFIC})",
+    "late_packets": f"""
+with p as (select event_id, event_us, ip_dst from ({_FEATURES})),
+border as (select max(event_us) // 1000 - 30000 as ms from p where event_id % 3 <> 0)
+select ip_dst as sensor, count(*) as packets,
+  count(*) filter (event_id % 3 = 0 and (event_us // 30000000 + 1) * 30000 <= ms) as late_packets
+from p, border group by 1""",
     "iforest_score_frozen": f"select event_id, is_anomaly, anomaly_score from ({_SCORED})",
     "iforest_threshold": f"select round(quantile_cont(score, 0.2), 6) as threshold from ({_SCORED})",
     "detect_anomalies": f"select event_id, is_anomaly, anomaly_score from ({_SCORED})",

@@ -33,6 +33,8 @@ from .models import FlagClassifier, frozen_forest
 ANOMALY_LIMIT = {"anomaly": (10_000_000, 5)}
 TRAFFIC_LIMIT = {"traffic": (1_000_000, 5)}
 SAMPLE_ROWS = 5000
+# Lines that arrive in a second run.
+LATE_LINES = "event_id % 3 = 0"
 
 QUERIES = {}
 
@@ -395,19 +397,36 @@ def traffic_alerts(spark, sf):
 
 @query
 def stream_alerts(spark, sf):
-    base = new_folder(spark, "alerts")
     packets = realtime.stream_packets(spark, _line_folder(spark, sf))
     flag = (F.col("frame_len") > 1200).cast("int")
     flagged = features.packet_features(packets, keep=["event_us"]).withColumn("is_anomaly", flag)
-    append = {"availableNow": True}
-    last = _features(spark, sf).agg(F.max("event_us")).first()[0]
-    stream_alert.send_heartbeat(spark, f"{base}/heartbeats", last + 60_000_000)
-    points = stream_alert.stream_instants(flagged, f"{base}/heartbeats")
-    realtime.append_table(points, f"{base}/instants", append).awaitTermination()
-    table = spark.readStream.schema(stream_alert.INSTANT_SCHEMA).parquet(f"{base}/instants")
-    found = stream_alert.stream_alerts(table, ANOMALY_LIMIT | TRAFFIC_LIMIT)
-    realtime.append_table(found, f"{base}/alerts", append).awaitTermination()
-    return spark.read.schema(alerts.ALERT_SCHEMA).parquet(f"{base}/alerts")
+    limits, paths = ANOMALY_LIMIT | TRAFFIC_LIMIT, _alert_paths(spark)
+    points = stream_alert.stream_instants(flagged)
+    stream_alert.follow_alerts(points, paths, {"availableNow": True}, limits).awaitTermination()
+    return stream_alert.close_alerts(spark, paths, limits)
+
+
+def _alert_paths(spark: SparkSession) -> dict[str, str]:
+    base = new_folder(spark, "alerts")
+    return {name: f"{base}/{name}" for name in ("instants", "alerts", "alert_state")}
+
+
+@query
+def late_packets(spark, sf):
+    """A third of the early packets come when all others have come: those of closed blocks are late."""
+    folder, paths = new_folder(spark, "lines"), _alert_paths(spark)
+    lines = views.lines(spark, sf).withColumn("last", F.expr(LATE_LINES))
+    for last in (False, True):
+        lines.filter(F.col("last") == last).select("value").write.mode("append").text(folder)
+        packets = realtime.stream_packets(spark, folder)
+        flagged = features.packet_features(packets, keep=["event_us", "ip_dst"]).withColumn("is_anomaly", F.lit(1))
+        points = stream_alert.stream_instants(flagged, sensor=F.col("ip_dst"))
+        stream_alert.follow_alerts(points, paths, {"availableNow": True}).awaitTermination()
+    found = stream_alert.late_packets(spark, paths)
+    held = stream_alert.open_instants(spark, paths).groupBy("sensor").agg(F.sum("packets").alias("n"))
+    # In time and late ones and those still held are all there are.
+    total = F.expr("late_packets + closed_packets + coalesce(n, 0)").alias("packets")
+    return found.join(held, "sensor", "left").select("sensor", "late_packets", total)
 
 
 # --- models ---
@@ -520,6 +539,16 @@ def realtime_job(spark, sf):
     )
 
 
+@query
+def realtime_alerts(spark, sf):
+    """The alerts table of the realtime job itself."""
+    paths = realtime.run_realtime(
+        spark, _line_folder(spark, sf), new_folder(spark, "realtime"), frozen_forest(), FlagClassifier(),
+        limits=ANOMALY_LIMIT | TRAFFIC_LIMIT,
+    )
+    return stream_alert.alerts_table(spark, paths)
+
+
 @query
 def report_tables(spark, sf):
     paths = reporting.generate_report(

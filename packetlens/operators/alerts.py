@@ -19,6 +19,7 @@ one task:
 from __future__ import annotations
 
 import math
+from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -41,6 +42,14 @@ MESSAGES = {
 MEASURES = {"anomaly": "anomalies", "traffic": "packets"}
 
 ALERT_SCHEMA = "sensor string, kind string, event_us bigint, rn bigint, count bigint, message string"
+# What the packets so far leave behind: events seen, the least event that may fire next, last instants.
+CARRIED_SCHEMA = (
+    "sensor string, kind string, seen bigint, allowed bigint, tail array<struct<event_us:bigint,n:bigint>>"
+)
+
+# Alerts of all kinds are found in one pass; each kind and sensor has a chain of blocks.
+KEY = ("kind", "sensor")
+_KEY = "kind string, sensor string"
 
 _SECOND = 1_000_000
 _BLOCK = 10 * _SECOND
@@ -92,31 +101,48 @@ def _width(window_us: int) -> int:
     return max(4 * window_us, _BLOCK)
 
 
-def _within(us: Column, width: int) -> Column:
+def _counted(points: DataFrame, limits: dict[str, tuple[int, int]]) -> DataFrame:
+    """``(kind, sensor, event_us, n, window, width, old)``: instants once for each kind, for one pass."""
+    kinds = [
+        F.struct(
+            F.lit(kind).alias("kind"),
+            "sensor",
+            "event_us",
+            F.col(MEASURES[kind]).cast("bigint").alias("n"),
+            F.lit(window_us).cast("bigint").alias("window"),
+            F.lit(_width(window_us)).cast("bigint").alias("width"),
+            F.lit(False).alias("old"),
+        )
+        for kind, (window_us, _) in limits.items()
+    ]
+    return points.select(F.inline(F.array(*kinds)))
+
+
+def _within(us: Column) -> Column:
     """Microseconds since the block began."""
-    return F.pmod(us, F.lit(width))
+    return F.pmod(us, F.col("width"))
 
 
-def _block(us: Column, width: int) -> Column:
-    return ((us - _within(us, width)) / width).cast("bigint")
+def _block(us: Column) -> Column:
+    return ((us - _within(us)) / F.col("width")).cast("bigint")
 
 
-def _is_tail(us: Column, width: int, window_us: int) -> Column:
+def _is_tail(us: Column) -> Column:
     """Whether a window of the next block can reach this instant."""
-    return _within(us, width) >= width - window_us
+    return _within(us) >= F.col("width") - F.col("window")
 
 
-def _positions(points: DataFrame, measure: str, window_us: int) -> DataFrame:
-    """Per instant of ``points``: events up to and with it (``upto``) and before its window starts
-    (``before``).
+def _positions(points: DataFrame) -> DataFrame:
+    """Per instant of ``_counted`` points: events up to and with it (``upto``) and before its window
+    starts (``before``).
 
-    Both count from one window before the block, whose rows are copied into the block as context.
-    A running sum replaces a sliding frame, which would read every window anew.
+    Both count from one window before the block, whose rows are copied into the block as context. So
+    are ``old`` points, which have been through before. A running sum replaces a sliding frame, which would read every window anew.
     """
-    width = _width(window_us)
-    us, n = F.col("event_us"), F.col(measure)
-    block = _block(us, width)
+    us, n, window_us = F.col("event_us"), F.col("n"), F.col("window")
+    block = _block(us)
     nobody = F.lit(None).cast("bigint")
+    own_us = F.when(~F.col("old"), us)
 
     def row(block: Column, at: Column, is_event: int, n: Column, owner: Column) -> Column:
         return F.struct(
@@ -124,21 +150,18 @@ def _positions(points: DataFrame, measure: str, window_us: int) -> DataFrame:
             n.alias("n"), owner.alias("event_us"),
         )
 
-    own = [row(block, us, 1, n, us), row(block, us - window_us, 0, F.lit(0).cast("bigint"), us)]
+    own = [row(block, us, 1, n, own_us), row(block, us - window_us, 0, F.lit(0).cast("bigint"), own_us)]
     context = row(block + 1, us, 1, n, nobody)
     rows = points.select(
-        "sensor",
-        F.inline(
-            F.when(_is_tail(us, width, window_us), F.array(*own, context)).otherwise(F.array(*own))
-        ),
+        *KEY, F.inline(F.when(_is_tail(us), F.array(*own, context)).otherwise(F.array(*own)))
     )
-    order = Window.partitionBy("sensor", "block").orderBy("at", "is_event")
+    order = Window.partitionBy(*KEY, "block").orderBy("at", "is_event")
     running = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
     is_event = F.col("is_event") == 1
     return (
         rows.withColumn("running", running)
         .filter(F.col("event_us").isNotNull())
-        .groupBy("sensor", "block", "event_us")
+        .groupBy(*KEY, "block", "event_us")
         .agg(
             F.max(F.when(is_event, F.col("n"))).alias("n"),
             F.max(F.when(is_event, F.col("running"))).alias("upto"),
@@ -149,7 +172,8 @@ def _positions(points: DataFrame, measure: str, window_us: int) -> DataFrame:
 
 def window_counts(points: DataFrame, measure: str, window_us: int) -> DataFrame:
     """Events in the closed window that ends at each instant."""
-    return _positions(points, measure, window_us).select(
+    kind = next(k for k, m in MEASURES.items() if m == measure)
+    return _positions(_counted(points, {kind: (window_us, 0)})).select(
         "sensor", "event_us", (F.col("upto") - F.col("before")).alias("window_count")
     )
 
@@ -181,15 +205,19 @@ def _table(lo: np.ndarray, hi: np.ndarray, k: int) -> np.ndarray:
         state[live] = first + ((hi[at[live]] - first) // (k + 1) + 1) * (k + 1)
 
 
-def _block_table(k: int):
+Thresholds = dict[str, int]
+
+
+def _block_table(ks: Thresholds):
     def table(key: tuple[Any, ...], candidates: pd.DataFrame) -> pd.DataFrame:
+        kind, sensor, block = key
         candidates = candidates.sort_values("lo")
         lo, hi = candidates["lo"].to_numpy(), candidates["hi"].to_numpy()
-        out = _table(lo, hi, k)
+        out = _table(lo, hi, ks[kind])
         if (out == out[0]).all():
             out = out[:1]
         return pd.DataFrame(
-            {"sensor": [key[0]], "block": [key[1]], "first": [lo[0]], "out": [out]}
+            {"kind": [kind], "sensor": [sensor], "block": [block], "first": [lo[0]], "out": [out]}
         )
 
     return table
@@ -207,11 +235,12 @@ def _leave(state: np.ndarray, first: int, out: np.ndarray, k: int) -> np.ndarray
     return out[np.clip(state - first, 0, k) if len(out) > 1 else np.zeros(len(state), dtype=np.int64)]
 
 
-def _composed(k: int):
+def _composed(ks: Thresholds):
     """The table of ``FAN`` nodes in a row, from theirs."""
 
     def compose(key: tuple[Any, ...], nodes: pd.DataFrame) -> pd.DataFrame:
-        first, state = None, None
+        kind, sensor, node = key
+        k, first, state = ks[kind], None, None
         for _, before, own, out in _runs(nodes):
             if out is None:
                 continue
@@ -222,187 +251,210 @@ def _composed(k: int):
         if state is not None and (state == state[0]).all():
             state = state[:1]
         whole = int(nodes["total"].sum())
-        return pd.DataFrame(
-            {"sensor": [key[0]], "node": [key[1]], "total": [whole], "first": [first], "out": [state]}
-        ).astype({"first": "Int64"})
+        row = {"kind": [kind], "sensor": [sensor], "node": [node], "total": [whole], "first": [first], "out": [state]}
+        return pd.DataFrame(row).astype({"first": "Int64"})
 
     return compose
 
 
-def _entered(k: int):
+def _entered(ks: Thresholds):
     """Events before each node and the next allowed position on entry, from those of the parent."""
 
     def enter(
-        key: tuple[Any, ...], nodes: pd.DataFrame, parent: pd.DataFrame | None
+        key: tuple[Any, ...], nodes: pd.DataFrame, parent: pd.DataFrame
     ) -> pd.DataFrame:
+        kind, sensor = key[:2]
         rows, start, state = [], 0, np.zeros(1, dtype=np.int64)
-        if parent is not None:
+        if len(parent):
             start = int(parent["start"].iloc[0])
             state[0] = parent["allowed"].iloc[0] - start
         for node, before, first, out in _runs(nodes):
-            rows.append((key[0], int(node), start + int(before), start + int(state[0])))
+            rows.append((kind, sensor, int(node), start + int(before), start + int(state[0])))
             if out is not None:
-                state = before + _leave(state - before, int(first), out, k)
-        return pd.DataFrame(rows, columns=["sensor", "node", "start", "allowed"])
+                state = before + _leave(state - before, int(first), out, ks[kind])
+        return pd.DataFrame(rows, columns=["kind", "sensor", "node", "start", "allowed"])
 
     return enter
 
 
-def _chain_blocks(blocks: DataFrame, k: int) -> DataFrame:
-    """``(sensor, node, start, allowed)`` of blocks from ``(sensor, node, total, first, out)``.
+def _chain_blocks(blocks: DataFrame, ks: Thresholds, before: DataFrame) -> DataFrame:
+    """``(*KEY, node, start, allowed)`` of blocks from ``(*KEY, node, total, first, out)``.
+
+    ``before`` has ``(*KEY, start, allowed)`` of sensors that had packets before these blocks.
 
     Tables of consecutive blocks are composed ``LEVELS`` times, ``FAN`` to one, and then the entries
     are handed down again, so no group has more rows than ``FAN`` but the topmost, which has a row
     for every ``FAN ** LEVELS`` blocks of a sensor's session.
     """
-    kinds = "sensor string, node bigint, total bigint, first bigint, out array<bigint>"
-    entries = "sensor string, node bigint, start bigint, allowed bigint"
+    kinds = f"{_KEY}, node bigint, total bigint, first bigint, out array<bigint>"
+    entries = f"{_KEY}, node bigint, start bigint, allowed bigint"
     levels = [blocks]
     for _ in range(LEVELS):
-        above = levels[-1].groupBy("sensor", F.floor(F.col("node") / FAN).alias("node"))
-        levels.append(above.applyInPandas(_composed(k), kinds))
-    enter = _entered(k)
-    entered = levels.pop().groupBy("sensor").applyInPandas(lambda key, top: enter(key, top, None), entries)
+        above = levels[-1].groupBy(*KEY, F.floor(F.col("node") / FAN).alias("node"))
+        levels.append(above.applyInPandas(_composed(ks), kinds))
+    enter = _entered(ks)
+    top = levels.pop().groupBy(*KEY).cogroup(before.groupBy(*KEY))
+    entered = top.applyInPandas(lambda key, own, parent: enter(key, own, parent), entries)
     for nodes in reversed(levels):
         parents = entered.withColumnRenamed("node", "parent")
         entered = (
             nodes.withColumn("parent", F.floor(F.col("node") / FAN))
-            .groupBy("sensor", "parent")
-            .cogroup(parents.groupBy("sensor", "parent"))
+            .groupBy(*KEY, "parent")
+            .cogroup(parents.groupBy(*KEY, "parent"))
             .applyInPandas(lambda key, own, parent: enter(key, own, parent), entries)
         )
     return entered
 
 
-def _block_alerts(k: int):
+def _block_alerts(ks: Thresholds):
     def alerts(
         key: tuple[Any, ...], candidates: pd.DataFrame, start: pd.DataFrame
     ) -> pd.DataFrame:
-        candidates = candidates.sort_values("lo")
+        (kind, sensor), rows = key[:2], []
+        candidates, step = candidates.sort_values("lo"), ks[kind] + 1
         lo, hi = candidates["lo"].to_numpy(), candidates["hi"].to_numpy()
         us = candidates["event_us"].to_numpy()
-        rows = []
         if len(lo) and len(start):
             base, state = int(start["base"].iloc[0]), int(start["allowed"].iloc[0])
             at = int(np.searchsorted(hi, state, "left"))
             while at < len(hi):
                 first = max(state, int(lo[at]))
-                fired = (int(hi[at]) - first) // (k + 1) + 1
-                rows.append((key[0], int(us[at]), base + first, fired))
-                state = first + fired * (k + 1)
+                fired = (int(hi[at]) - first) // step + 1
+                rows.append((kind, sensor, int(us[at]), base + first, fired))
+                state = first + fired * step
                 at += int(np.searchsorted(hi[at:], state, "left"))
-        return pd.DataFrame(rows, columns=["sensor", "event_us", "first_rn", "fired"])
+        return pd.DataFrame(rows, columns=["kind", "sensor", "event_us", "first_rn", "fired"])
 
     return alerts
 
 
-def expand_alerts(fired: DataFrame, kind: str, k: int) -> DataFrame:
+def _of_kind(values: dict) -> Column:
+    """The value of each row's kind."""
+    return F.create_map(*[F.lit(x) for pair in values.items() for x in pair])[F.col("kind")]
+
+
+def expand_alerts(fired: DataFrame, ks: Thresholds) -> DataFrame:
     """One row per alert from rows of ``fired`` alerts that are ``k + 1`` events apart.
 
     An instant may fire any number of them: they are cut into chunks that are spread over tasks.
     """
-    step = F.lit(k + 1)
+    step = _of_kind({kind: k + 1 for kind, k in ks.items()}).cast("bigint")
     last = F.col("fired") - 1
     chunks = fired.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), last, F.lit(_CHUNK).cast("bigint"))))
-    numbers = chunks.repartition("sensor", "event_us", "_chunk").withColumn(
+    numbers = chunks.repartition(*KEY, "event_us", "_chunk").withColumn(
         "_i", F.explode(F.sequence(F.col("_chunk"), F.least(F.col("_chunk") + (_CHUNK - 1), last)))
     )
     return numbers.select(
         "sensor",
-        F.lit(kind).alias("kind"),
+        "kind",
         "event_us",
         (F.col("first_rn") + F.col("_i") * step).alias("rn"),
-        F.lit(k + 1).cast("bigint").alias("count"),
-        F.lit(MESSAGES[kind]).alias("message"),
+        step.alias("count"),
+        _of_kind({kind: MESSAGES[kind] for kind in ks}).alias("message"),
     )
 
 
-def _alerts_of_kind(points: DataFrame, kind: str, window_us: int, k: int) -> DataFrame:
+def _fired(points: DataFrame, ks: Thresholds, entered: DataFrame) -> DataFrame:
+    """``(*KEY, event_us, first_rn, fired)`` of ``_counted`` points.
+
+    ``entered`` has ``(*KEY, start, allowed)``: events before the first point, and the least that may fire.
+    """
     n, upto, before = F.col("n"), F.col("upto"), F.col("before")
-    points = points.filter(F.col(MEASURES[kind]) > 0)
+    step = _of_kind({kind: k + 1 for kind, k in ks.items()})
     candidates = (
-        _positions(points, MEASURES[kind], window_us)
+        _positions(points)
         .select(
-            "sensor", "block", "event_us",
-            F.greatest(upto - n + 1, before + k + 1).alias("lo"), upto.alias("hi"),
+            *KEY, "block", "event_us",
+            F.greatest(upto - n + 1, before + step).alias("lo"), upto.alias("hi"),
         )
         .filter("lo <= hi")
     )
-    tables = candidates.groupBy("sensor", "block").applyInPandas(
-        _block_table(k), "sensor string, block bigint, first bigint, out array<bigint>"
+    tables = candidates.groupBy(*KEY, "block").applyInPandas(
+        _block_table(ks), f"{_KEY}, block bigint, first bigint, out array<bigint>"
     )
-    width = _width(window_us)
-    us, measure = F.col("event_us"), F.col(MEASURES[kind])
-    in_tail = F.when(_is_tail(us, width, window_us), measure).otherwise(0)
-    totals = points.groupBy("sensor", _block(us, width).alias("block")).agg(
-        F.sum(measure).alias("total"), F.sum(in_tail).alias("tail")
+    us = F.col("event_us")
+    in_tail = F.when(_is_tail(us), n).otherwise(0)
+    totals = points.groupBy(*KEY, _block(us).alias("block")).agg(
+        F.sum("n").alias("total"), F.sum(in_tail).alias("tail")
     )
     # Blocks count from the rows of the block before that were copied into them.
-    copied = totals.select("sensor", (F.col("block") + 1).alias("block"), F.col("tail").alias("copied"))
+    copied = totals.select(*KEY, (F.col("block") + 1).alias("block"), F.col("tail").alias("copied"))
     blocks = materialize(
-        totals.join(tables, ["sensor", "block"], "left")
-        .join(copied, ["sensor", "block"], "left")
+        totals.join(tables, [*KEY, "block"], "left")
+        .join(copied, [*KEY, "block"], "left")
         .withColumn("copied", F.coalesce("copied", F.lit(0))),
         "alert-blocks",
     )
     chained = _chain_blocks(
         blocks.select(
-            "sensor",
+            *KEY,
             F.col("block").alias("node"),
             "total",
             (F.col("first") - F.col("copied")).alias("first"),
             F.transform("out", lambda x: x - F.col("copied")).alias("out"),
         ),
-        k,
+        ks,
+        entered,
     )
     starts = (
         blocks.filter("first is not null")
-        .select("sensor", "block", "copied")
-        .join(chained.withColumnRenamed("node", "block"), ["sensor", "block"])
+        .select(*KEY, "block", "copied")
+        .join(chained.withColumnRenamed("node", "block"), [*KEY, "block"])
         .withColumn("base", F.col("start") - F.col("copied"))
-        .select("sensor", "block", "base", (F.col("allowed") - F.col("base")).alias("allowed"))
+        .select(*KEY, "block", "base", (F.col("allowed") - F.col("base")).alias("allowed"))
     )
-    fired = (
-        candidates.groupBy("sensor", "block")
-        .cogroup(starts.groupBy("sensor", "block"))
-        .applyInPandas(
-            _block_alerts(k), "sensor string, event_us bigint, first_rn bigint, fired bigint"
-        )
+    return (
+        candidates.groupBy(*KEY, "block")
+        .cogroup(starts.groupBy(*KEY, "block"))
+        .applyInPandas(_block_alerts(ks), f"{_KEY}, event_us bigint, first_rn bigint, fired bigint")
     )
-    return expand_alerts(fired, kind, k)
 
 
 def find_alerts(points: DataFrame, limits: dict[str, tuple[int, int]] | None = None) -> DataFrame:
     """All alerts of the given kinds. ``rn`` numbers the sensor's events of that kind in time order
     and names the one that fired; ``points`` come from ``instants``."""
-    frames = [_alerts_of_kind(points, kind, *of) for kind, of in (limits or alert_limits()).items()]
-    result = frames[0]
-    for frame in frames[1:]:
-        result = result.unionByName(frame)
-    return result
+    limits = limits or alert_limits()
+    ks = {kind: k for kind, (_, k) in limits.items()}
+    nothing = points.sparkSession.createDataFrame([], f"{_KEY}, start bigint, allowed bigint")
+    return expand_alerts(_fired(_counted(points, limits).filter("n > 0"), ks, nothing), ks)
 
 
-def fold_instants(
-    state: dict, us: list[int], n: list[int], window_us: int, k: int
-) -> list[tuple[int, int, int]]:
-    """Sequential form for streams: ``(event_us, first_rn, fired)`` rows; updates ``state``.
+def advance_alerts(
+    points: DataFrame, carried: DataFrame, limits: dict[str, tuple[int, int]] | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """Alerts of ``points`` that follow earlier ones in time, and what these and they leave behind.
 
-    ``state`` holds the events seen so far and at most ``k + 1`` instants of the open window.
+    ``carried`` is what the points before left (``CARRIED_SCHEMA``; empty at first). Of these only
+    each sensor's last K+1 instants are needed: an alert needs K+1 events in its window, and those
+    before them change nothing. So a long session can be gone through in parts of any size, with the
+    alerts of the whole.
     """
-    rows = []
-    times, counts = state["times"], state["counts"]
-    for at, events in zip(us, n):
-        while times and times[0] < at - window_us:
-            times.pop(0)
-            counts.pop(0)
-        missing = k + 1 - sum(counts)
-        if events >= missing:
-            fired = (events - missing) // (k + 1) + 1
-            rows.append((at, state["seen"] + missing, fired))
-            left = events - missing - (fired - 1) * (k + 1)
-            times[:], counts[:] = ([at], [left]) if left else ([], [])
-        elif events:
-            times.append(at)
-            counts.append(events)
-        state["seen"] += events
-    return rows
+    limits = limits or alert_limits()
+    ks = {kind: k for kind, (_, k) in limits.items()}
+    own = _counted(points, limits).filter("n > 0")
+    tail = carried.select(*KEY, F.inline("tail"), F.lit(True).alias("old"))
+    for column in ("window", "width"):
+        sizes = {kind: w if column == "window" else _width(w) for kind, (w, _) in limits.items()}
+        tail = tail.withColumn(column, _of_kind(sizes).cast("bigint"))
+    both = own.unionByName(tail)
+    in_tail = F.aggregate("tail", F.lit(0).cast("bigint"), lambda total, one: total + one["n"])
+    entered = carried.select(*KEY, (F.col("seen") - in_tail).alias("start"), "allowed")
+    fired = materialize(_fired(both, ks, entered), "fired")
+
+    step = _of_kind({kind: k + 1 for kind, k in ks.items()})
+    latest = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("event_us")))
+    kept = both.withColumn("_place", latest).filter(F.col("_place") <= max(ks.values()) + 1)
+    kept = kept.filter(F.col("_place") <= step)
+    parts = [
+        carried.select(*KEY, "seen", "allowed"),
+        own.groupBy(*KEY).agg(F.sum("n").alias("seen")),
+        fired.groupBy(*KEY).agg(F.max(F.col("first_rn") + F.col("fired") * step).alias("allowed")),
+        kept.groupBy(*KEY).agg(F.collect_list(F.struct("event_us", "n")).alias("tail")),
+    ]
+    left = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+    state = left.groupBy(*KEY).agg(
+        F.coalesce(F.sum("seen"), F.lit(0)).cast("bigint").alias("seen"),
+        F.coalesce(F.max("allowed"), F.lit(0)).cast("bigint").alias("allowed"),
+        F.first("tail", ignorenulls=True).alias("tail"),
+    )
+    return expand_alerts(fired, ks), state

@@ -1,133 +1,216 @@
 """Alerts on a stream of analyzed packets, in event-time order.
 
-Two queries. The first sums packets per sensor and microsecond and appends each instant once the
-watermark has passed it; late packets are dropped there and counted by Spark. The second folds the
-instants per sensor and keeps at most K+1 of them, and the number of events seen, as state.
+One query. Packets are keyed by sensor, block of time and a share of its instants, so that one busy
+sensor is many keys; a key's state holds the sums of its instants until the watermark passes the block's
+end, when a timer sends them on and the state is dropped. What comes after that is late: it is sent on
+at once, marked, and so kept beside the rest.
+
+Each micro-batch's closed instants then go through the batch operator, in parallel over blocks, from
+the few numbers per sensor that the micro-batches before left behind. All tables are written by batch
+number, so a batch that is run again replaces what it wrote. Blocks that are open when a run ends stay in
+the state; their alerts so far are computed from it, as batch -1, and again after the next run.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from typing import Any
+from contextlib import contextmanager
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.alerts import MEASURES, MESSAGES, _CHUNK, alert_limits, fold_instants, sensor_name
+from ..operators.alerts import ALERT_SCHEMA, CARRIED_SCHEMA, advance_alerts, alert_limits, sensor_name
+from ..sources.workspace import materialize, path_exists
 
-INSTANT_SCHEMA = "sensor string, event_time timestamp, packets bigint, anomalies bigint"
-HEARTBEAT_SCHEMA = "event_us bigint"
+INSTANT_SCHEMA = "sensor string, event_us bigint, packets bigint, anomalies bigint, late boolean"
 MAX_AHEAD_SECONDS = 60
+# Length of a block of time, and the keys that its instants are dealt to.
+BLOCK_SECONDS = 30
+SHARES = 4
+OPEN_BATCH = -1
+
+_SUMS = "event_us bigint, packets bigint, anomalies bigint"
+_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """The state store that keyed processors need, for queries that start inside; then as it was."""
+    before = spark.conf.get(_PROVIDER, None)
+    spark.conf.set(_PROVIDER, _ROCKSDB)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(_PROVIDER)
+        else:
+            spark.conf.set(_PROVIDER, before)
+
+
+def _summed(rows: pd.DataFrame) -> pd.DataFrame:
+    return rows.groupby("event_us", as_index=False)[["packets", "anomalies"]].sum()
+
+
+class BlockProcessor(StatefulProcessor):
+    """Holds the instants of one block and sensor until the watermark reaches the block's end."""
+
+    def __init__(self, block_us: int):
+        self.block_us = block_us
 
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.instants = handle.getListState("instants", _SUMS)
 
-def send_heartbeat(spark: SparkSession, folder: str, event_us: int) -> None:
-    """Tell the stream that time has reached ``event_us``, so that the last packets are due."""
-    spark.createDataFrame([(event_us,)], HEARTBEAT_SCHEMA).coalesce(1).write.mode("append").json(folder)
+    def _sent(self, sensor: str, sums: pd.DataFrame, late: bool) -> pd.DataFrame:
+        sums = sums.astype("int64")
+        sums.insert(0, "sensor", sensor)
+        return sums.assign(late=late)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+        sensor, block, _ = key
+        end_ms = -(-(int(block) + 1) * self.block_us // 1000)
+        sums = _summed(pd.concat(list(rows)))
+        if timerValues.getCurrentWatermarkInMs() >= end_ms:
+            yield self._sent(sensor, sums, True)
+        else:
+            self.instants.appendList([tuple(map(int, row)) for row in sums.itertuples(index=False)])
+            self.handle.registerTimer(end_ms)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        held = pd.DataFrame(list(self.instants.get()), columns=["event_us", "packets", "anomalies"])
+        self.instants.clear()
+        if len(held):
+            yield self._sent(key[0], _summed(held), False)
+
+    def close(self) -> None:
+        pass
 
 
 def stream_instants(
     packets: DataFrame,
-    heartbeats: str | None = None,
     delay: str = "30 seconds",
     sensor: Column | None = None,
     time: Column | None = None,
+    block_seconds: int = BLOCK_SECONDS,
 ) -> DataFrame:
-    """Streaming ``instants`` of packets with ``event_us`` and ``is_anomaly``.
+    """Packets and anomalies of each instant of closed blocks, and late ones, marked, as they come.
 
     Packets are taken at their capture time, or at another ``time`` such as that of their arrival. One
     without a capture time (0 or less) counts at its arrival, and one ahead of its arrival by more
-    than ``MAX_AHEAD_SECONDS`` counts there: a wrong clock must not make all later packets late.
+    than ``MAX_AHEAD_SECONDS`` counts there: a wrong clock must not make all later packets late. A
+    packet is late if its block has been closed, that is if the watermark, ``delay`` behind the
+    latest packet of the batches before, is past the block's end.
     """
     if time is None:
         now = F.current_timestamp()
         ahead = now + F.make_dt_interval(secs=F.lit(MAX_AHEAD_SECONDS))
         known = F.least(F.timestamp_micros("event_us"), ahead)
         time = F.when(F.col("event_us") > 0, known).otherwise(now)
-    rows = packets.select(
+    block_us = block_seconds * 1_000_000
+    timed = packets.select(
         sensor_name(sensor).alias("sensor"),
         time.alias("event_time"),
-        F.lit(1).alias("packets"),
-        (F.col("is_anomaly") == 1).cast("int").alias("anomalies"),
+        (F.col("is_anomaly") == 1).cast("bigint").alias("anomalies"),
+    ).withWatermark("event_time", delay)
+    # Without the time column itself, so that Spark does not drop late rows before they are seen.
+    us = F.unix_micros("event_time")
+    keyed = timed.select(
+        "sensor",
+        F.floor(us / block_us).alias("block"),
+        F.pmod(F.xxhash64(us), F.lit(SHARES)).cast("int").alias("share"),
+        us.alias("event_us"),
+        F.lit(1).cast("bigint").alias("packets"),
+        F.coalesce("anomalies", F.lit(0)).alias("anomalies"),
     )
-    if heartbeats:
-        beats = packets.sparkSession.readStream.schema(HEARTBEAT_SCHEMA).json(heartbeats)
-        rows = rows.unionByName(
-            beats.select(
-                F.lit("all").alias("sensor"),
-                F.timestamp_micros("event_us").alias("event_time"),
-                F.lit(0).alias("packets"),
-                F.lit(0).alias("anomalies"),
-            )
-        )
-    return (
-        rows.withWatermark("event_time", delay)
-        .groupBy("sensor", "event_time")
-        .agg(F.sum("packets").alias("packets"), F.sum("anomalies").alias("anomalies"))
+    return keyed.groupBy("sensor", "block", "share").transformWithStateInPandas(
+        BlockProcessor(block_us), INSTANT_SCHEMA, "Append", "EventTime"
     )
 
 
-def stream_alerts(
-    points: DataFrame, limits: dict[str, tuple[int, int]] | None = None
+def _number_before(spark: SparkSession, path: str, number: int) -> int | None:
+    """The last batch before ``number`` that left a state."""
+    if not path_exists(spark, path):
+        return None
+    return spark.read.parquet(path).filter(F.col("batch") < number).agg(F.max("batch")).first()[0]
+
+
+def _carried(spark: SparkSession, path: str, number: int) -> DataFrame:
+    last = _number_before(spark, path, number)
+    if last is None:
+        return spark.createDataFrame([], CARRIED_SCHEMA)
+    return spark.read.schema(CARRIED_SCHEMA).parquet(f"{path}/batch={last}")
+
+
+def follow_alerts(
+    points: DataFrame,
+    paths: dict[str, str],
+    trigger: dict,
+    limits: dict[str, tuple[int, int]] | None = None,
+) -> StreamingQuery:
+    """Start the query that keeps the tables ``instants``, ``alerts`` and ``alert_state`` of ``paths``.
+
+    ``points`` come from ``stream_instants``. Each table has a folder for each batch with rows.
+    """
+    limits, spark = dict(limits or alert_limits()), points.sparkSession
+    spark.createDataFrame([], ALERT_SCHEMA).write.mode("overwrite").parquet(f"{paths['alerts']}/batch={OPEN_BATCH}")
+
+    def write(batch: DataFrame, number: int) -> None:
+        session, here = batch.sparkSession, f"{paths['instants']}/batch={number}"
+        batch.write.mode("overwrite").parquet(here)
+        closed = session.read.schema(INSTANT_SCHEMA).parquet(here).filter("not late")
+        if closed.isEmpty():
+            return
+        found, state = advance_alerts(closed, _carried(session, paths["alert_state"], number), limits)
+        found.write.mode("overwrite").parquet(f"{paths['alerts']}/batch={number}")
+        # Last: with it the batch counts as done for the batches after it.
+        state.write.mode("overwrite").parquet(f"{paths['alert_state']}/batch={number}")
+
+    with _state_store(spark):
+        writer = points.writeStream.option("checkpointLocation", f"{paths['instants']}_checkpoint")
+        return writer.foreachBatch(write).trigger(**trigger).start()
+
+
+def open_instants(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """The instants that a run which has ended left in its state: those of blocks that are still open."""
+    with _state_store(spark):
+        state = spark.read.format("statestore").option("stateVarName", "instants")
+        rows = state.load(f"{paths['instants']}_checkpoint")
+        held = rows.select(F.col("key.sensor").alias("sensor"), F.col("list_element.*"))
+        sums = held.groupBy("sensor", "event_us").agg(
+            F.sum("packets").alias("packets"), F.sum("anomalies").alias("anomalies")
+        )
+        return materialize(sums, "open-instants")
+
+
+def close_alerts(
+    spark: SparkSession, paths: dict[str, str], limits: dict[str, tuple[int, int]] | None = None
 ) -> DataFrame:
-    """Alerts of a stream of instants that comes in time order from one batch to the next."""
+    """Alerts in open blocks after a run, as batch -1 of the table, and the whole table."""
     limits = dict(limits or alert_limits())
+    carried = _carried(spark, paths["alert_state"], 1 << 60)
+    found, _ = advance_alerts(open_instants(spark, paths), carried, limits)
+    found.write.mode("overwrite").parquet(f"{paths['alerts']}/batch={OPEN_BATCH}")
+    return alerts_table(spark, paths)
 
-    def fold(
-        key: tuple[Any, ...], parts: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        kinds = list(limits)
-        held = state.get if state.exists else ([0] * len(kinds), [[]] * len(kinds), [[]] * len(kinds))
-        folds = [
-            {"seen": seen, "times": list(times), "counts": list(counts)}
-            for seen, times, counts in zip(*held)
-        ]
-        points = pd.concat(list(parts)).sort_values("event_us")
-        rows = []
-        for kind, fold_state in zip(kinds, folds):
-            window_us, k = limits[kind]
-            fired = fold_instants(
-                fold_state,
-                points["event_us"].tolist(),
-                points[MEASURES[kind]].tolist(),
-                window_us,
-                k,
-            )
-            rows += [(key[0], kind, at, first, n, k + 1) for at, first, n in fired]
-        state.update(
-            (
-                [f["seen"] for f in folds],
-                [f["times"] for f in folds],
-                [f["counts"] for f in folds],
-            )
-        )
-        yield pd.DataFrame(rows, columns=["sensor", "kind", "event_us", "first_rn", "fired", "count"])
-
-    fired = (
-        points.select("sensor", F.unix_micros("event_time").alias("event_us"), "packets", "anomalies")
-        .groupBy("sensor")
-        .applyInPandasWithState(
-            fold,
-            "sensor string, kind string, event_us bigint, first_rn bigint, fired bigint, count bigint",
-            "seen array<bigint>, times array<array<bigint>>, counts array<array<bigint>>",
-            "append",
-            "NoTimeout",
-        )
-    )
-    last, zero = F.col("fired") - 1, F.lit(0).cast("bigint")
-    chunks = F.explode(F.sequence(zero, last, F.lit(_CHUNK).cast("bigint")))
-    within = F.explode(F.sequence(F.col("_chunk"), F.least(F.col("_chunk") + (_CHUNK - 1), last)))
-    message = F.create_map(*[F.lit(x) for kind in MESSAGES.items() for x in kind])
-    return (
-        fired.withColumn("_chunk", chunks)
-        .withColumn("_i", within)
-        .select(
-            "sensor",
-            "kind",
-            "event_us",
-            (F.col("first_rn") + F.col("_i") * F.col("count")).alias("rn"),
-            "count",
-            message[F.col("kind")].alias("message"),
-        )
+
+def alerts_table(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """All alerts, without the number of their batch."""
+    return spark.read.schema(ALERT_SCHEMA).parquet(paths["alerts"]).drop("batch")
+
+
+def late_packets(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Late packets and anomalies of each sensor, and those that came in time and are closed."""
+    rows = spark.read.schema(INSTANT_SCHEMA).parquet(paths["instants"])
+
+    def total(column: str, late: bool) -> Column:
+        return F.sum(F.when(F.col("late") == late, F.col(column)).otherwise(0))
+
+    return rows.groupBy("sensor").agg(
+        total("packets", True).alias("late_packets"),
+        total("anomalies", True).alias("late_anomalies"),
+        total("packets", False).alias("closed_packets"),
     )

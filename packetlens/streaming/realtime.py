@@ -4,7 +4,7 @@ Each step is a checkpointed append-only query on the table before it, so packets
 scored once and every table survives a restart:
 
 lines -> results -> event_lines
-                 -> instants -> alerts
+                 -> instants, alerts
       -> rejects
 """
 
@@ -23,10 +23,10 @@ from ..operators.rules import flag_large_frames
 from ..plans.analysis import analyze_packets
 from ..plans.reporting import generate_report
 from ..sources.packets import parse_packets, rejected_lines, stream_lines
-from .alerts import INSTANT_SCHEMA, MAX_AHEAD_SECONDS, send_heartbeat, stream_alerts, stream_instants
+from .alerts import close_alerts, follow_alerts, stream_instants
 
 PROGRESS_ROWS = 50
-TABLES = ("results", "rejects", "event_lines", "progress", "instants", "alerts", "heartbeats")
+TABLES = ("results", "rejects", "event_lines", "progress", "instants", "alerts", "alert_state")
 
 
 def stream_packets(
@@ -126,10 +126,12 @@ def run_realtime(
     predicate: str | None = None,
     time: Column | None = None,
 ) -> dict[str, str]:
-    """Process what has arrived in ``source`` to the end, flush, and report when there are rows.
+    """Process what has arrived in ``source`` to the end, and report when there are rows.
 
-    Lines of another width than ``fields`` go to the table ``rejects``. ``start_realtime`` is the
-    same chain without an end.
+    Lines of another width than ``fields`` go to the table ``rejects``. Alerts take in all packets,
+    those in blocks of time that are still open too. A later run on the same ``base`` goes on where
+    this one ended, with packets of the same blocks as well. ``start_realtime`` is the same chain
+    without an end.
     """
     if isinstance(detector, str):
         detector = load_isolation_forest(spark, detector)
@@ -145,17 +147,12 @@ def run_realtime(
     append_table(rejects, paths["rejects"], once).awaitTermination()
 
     table = spark.read.schema(results.schema).parquet(paths["results"])
-    end = table.agg(F.max("event_us")).first()[0]
-    if end is None:
+    if table.isEmpty():
         return paths
-    # Just far enough for the last packets to be due: watermarks have milliseconds. A later run may go
-    # on from the next millisecond. Times ahead of arrival count as ``stream_instants`` takes them.
-    now = spark.range(1).select(F.unix_micros(F.current_timestamp())).first()[0]
-    due = -(-min(end, now + MAX_AHEAD_SECONDS * 1_000_000) // 1000) * 1000
-    send_heartbeat(spark, paths["heartbeats"], due + delay_seconds * 1_000_000)
     start_followers(
         spark, results.schema, paths, once, limits, delay_seconds, sensor, wait=True, time=time
     )
+    close_alerts(spark, paths, limits)
     if report_base:
         paths |= generate_report(table, report_base, order=["event_us", "ip_src", "ip_dst"])
     return paths
@@ -172,7 +169,7 @@ def start_followers(
     wait: bool = False,
     time: Column | None = None,
 ) -> list[StreamingQuery]:
-    """Queries that follow the results table: event lines, progress, instants and alerts.
+    """Queries that follow the results table: event lines, progress, and instants with their alerts.
 
     ``time`` is what alerts go by, such as ``F.current_timestamp()`` for arrival.
     """
@@ -180,16 +177,11 @@ def start_followers(
     def results() -> DataFrame:
         return _stream_table(spark, paths["results"], schema)
 
-    points = stream_instants(results(), paths["heartbeats"], f"{delay_seconds} seconds", sensor, time)
+    points = stream_instants(results(), f"{delay_seconds} seconds", sensor, time)
     steps = [
         lambda: append_table(event_lines(results()), paths["event_lines"], trigger),
         lambda: append_counts(results(), paths["progress"], trigger),
-        lambda: append_table(points, paths["instants"], trigger),
-        lambda: append_table(
-            stream_alerts(_stream_table(spark, paths["instants"], INSTANT_SCHEMA), limits),
-            paths["alerts"],
-            trigger,
-        ),
+        lambda: follow_alerts(points, paths, trigger, limits),
     ]
     queries = []
     for step in steps:
@@ -217,7 +209,6 @@ def start_realtime(
     """Start the whole chain with a processing-time trigger and return its queries."""
     trigger = {"processingTime": interval}
     paths = {name: f"{base}/{name}" for name in TABLES}
-    send_heartbeat(spark, paths["heartbeats"], 0)
     packets = stream_packets(spark, source, fields, predicate=predicate)
     results = realtime_results(packets, detector, classifier, schema)
     first = append_table(with_progress(results), paths["results"], trigger)

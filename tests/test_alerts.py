@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packetlens.operators import alerts as A
+from packetlens.sources.workspace import materialize
 
 
 def plain_fold(times, window_us, k):
@@ -117,17 +118,26 @@ def test_hot_instant_is_one_row(spark):
     assert tuple(stats) == (500_000, 6, 3_000_000, 500_000)
 
 
-def test_sequential_form_agrees(spark):
+def test_parts_in_time_order_give_the_alerts_of_the_whole(spark):
     rng = random.Random(5)
-    times = sorted(rng.randrange(5_000_000) // 1000 * 1000 for _ in range(3000))
-    state = {"seen": 0, "times": [], "counts": []}
-    fired = []
-    for part in (times[:1000], times[1000:1010], times[1010:]):
-        distinct = sorted(set(part))
-        fired += A.fold_instants(state, distinct, [part.count(t) for t in distinct], 50_000, 7)
-        assert sum(state["counts"]) <= 7
-    got = [(at, first + i * 8) for at, first, n in fired for i in range(n)]
-    assert got == plain_fold(times, 50_000, 7)
+    limits = {"anomaly": (50_000, 7), "traffic": (20_000, 4)}
+    rows = [(rng.choice("ab"), rng.randrange(60_000_000) // 1000 * 1000, int(rng.random() < 0.6)) for _ in range(5000)]
+    # Dense stretches, so that windows and resets reach over the borders of the parts.
+    rows += [("a", 20_000_000 + 3_000 * i, 1) for i in range(4000)]
+    rows += [("late", 55_000_000 + 1_000 * i, 1) for i in range(50)]
+    packets = spark.createDataFrame(rows, "sensor string, event_us bigint, is_anomaly int")
+    points = materialize(A.instants(packets, F.col("sensor")), "points")
+    carried = spark.createDataFrame([], A.CARRIED_SCHEMA)
+    got = []
+    for low, high in ((0, 20_500_000), (20_500_000, 20_510_000), (20_510_000, 31_000_000), (31_000_000, 60_000_000)):
+        part = points.filter(f"event_us >= {low} and event_us < {high}")
+        found, carried = A.advance_alerts(part, carried, limits)
+        got += [(r.sensor, r.kind, r.event_us, r.rn) for r in found.collect()]
+        carried = materialize(carried, "carried")
+        for r in carried.collect():
+            assert len(r.tail or []) <= limits[r.kind][1] + 1
+    want = [(r.sensor, r.kind, r.event_us, r.rn) for r in A.find_alerts(points, limits).collect()]
+    assert sorted(got) == sorted(want) and len(want) > 500
 
 
 def test_window_counts_per_packet(spark):

@@ -44,6 +44,9 @@ SHARD_BYTES = 16_000_000  # of text for each shard, so that a shard's keys fit a
 BUFFER_KEYS = 3_000_000  # keys that a task holds before it counts and sends them
 PART_IDS = 1 << 16  # ids of a part of the arrays by id, so that a part is a small group
 
+BLOCK_BYTES = 1_000_000  # of text that a task counts or scores at once
+MOST = 0xFFFFFFFF  # of words in a vocabulary, and of occurrences of one bigram
+
 COUNT_SCHEMA = "shard int, keys binary, counts binary"
 
 
@@ -122,13 +125,15 @@ def _count_keys(texts: DataFrame, keys_of, bits: int) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for batch in batches:
-            for _, _, block, offsets in text_blocks(batch.column(0)):
+            for _, _, block, offsets in text_blocks(batch.column(0), BLOCK_BYTES):
                 keys = keys_of(*hashed_words(block, offsets, SPACED))
                 held.append(keys)
                 size += len(keys)
                 if size >= BUFFER_KEYS:
                     yield _send(np.concatenate(held), bits)
                     held, size = [], 0
+                    # Workers are used again: what Arrow keeps would come on top of all later work.
+                    pa.default_memory_pool().release_unused()
         if size:
             yield _send(np.concatenate(held), bits)
 
@@ -307,6 +312,8 @@ def _key(context: np.ndarray, token: np.ndarray) -> np.ndarray:
 
 def _fit_bigrams(texts: DataFrame, vocabulary: Vocabulary, bits: int) -> BigramModel:
     folder = vocabulary.folder
+    if len(vocabulary) >= MOST:
+        raise ValueError(f"{len(vocabulary)} words, but a bigram's key holds ids below {MOST}.")
 
     def keys(words: np.ndarray, first: np.ndarray) -> np.ndarray:
         context, token, _ = _bigrams(vocabulary, words, first)
@@ -315,7 +322,9 @@ def _fit_bigrams(texts: DataFrame, vocabulary: Vocabulary, bits: int) -> BigramM
     def write(group: pd.DataFrame) -> pd.DataFrame:
         shard, found, counts = _added(group)
         _write(folder, f"bigram-{shard}", found)
-        _write(folder, f"bigram-count-{shard}", np.minimum(counts, 0xFFFFFFFF).astype("<u4"))
+        if len(counts) and counts.max() > MOST:
+            raise ValueError(f"A bigram occurs more than {MOST} times, beyond what its array holds.")
+        _write(folder, f"bigram-count-{shard}", counts.astype("<u4"))
         pair = unmix(found)
         kinds = np.minimum(counts, 3)
         each = np.stack([counts, kinds == 1, kinds == 2, kinds == 3], axis=1).astype(np.int64)
@@ -385,10 +394,13 @@ def _fit_bigrams(texts: DataFrame, vocabulary: Vocabulary, bits: int) -> BigramM
 
 
 def fit(docs: DataFrame, text_column: str = "text") -> BigramModel:
-    """Count the texts of all rows of ``docs``. Null and empty texts count as one end each."""
+    """Count the texts of all rows of ``docs``. Null and empty texts count as one end each.
+
+    More than ``MOST`` different words, or occurrences of one bigram, are an error.
+    """
     texts = docs.select(utf8(text_column).alias("text"))
     size = texts.agg(F.sum(F.length("text"))).first()[0] or 0
-    bits = min(max(int(size // SHARD_BYTES).bit_length(), 3), 16)
+    bits = max(int(size // SHARD_BYTES).bit_length(), 3)
     folder = _uri(new_folder(docs.sparkSession, "language-model"))
     return _fit_bigrams(texts, _fit_vocabulary(texts, folder, bits), bits)
 
@@ -423,7 +435,7 @@ def score(
         vocabulary = model.vocabulary
         n, v = vocabulary.tokens, len(vocabulary)
         for batch in batches:
-            for start, end, block, offsets in text_blocks(batch.column(0)):
+            for start, end, block, offsets in text_blocks(batch.column(0), BLOCK_BYTES):
                 words, first = hashed_words(block, offsets, SPACED)
                 context, token, at = _bigrams(vocabulary, words, first)
                 known = token >= 0

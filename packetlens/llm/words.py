@@ -79,7 +79,9 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     """The hash of each span of bytes."""
     up, down = _Powers.at_least(len(data) + 1)
     total = np.zeros(len(data) + 1, dtype=np.uint64)
-    np.cumsum(_BYTE_VALUE[data] * up[: len(data)], out=total[1:])
+    values = _BYTE_VALUE[data]
+    values *= up[: len(data)]
+    np.cumsum(values, out=total[1:])
     return mix((total[ends] - total[starts]) * down[starts])
 
 

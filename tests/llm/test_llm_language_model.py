@@ -118,3 +118,11 @@ def test_keeps_columns(docs):
     held = F.col("doc_id") > 1
     model = lm.fit(docs((1, "a")))
     assert lm.score(docs((2, "a")), model, keep={"held_out": held}).first().held_out is True
+
+
+@pytest.mark.parametrize("most,what", [(3, "words"), (20, "times")])
+def test_what_the_arrays_can_not_hold_is_an_error(docs, monkeypatch, most, what):
+    monkeypatch.setattr(lm, "MOST", most)
+    rows = [(1, "a b c d")] if what == "words" else [(1, "x " * 50)]
+    with pytest.raises(Exception, match=what):
+        lm.fit(docs(*rows))

@@ -168,6 +168,30 @@ from (select event_id, cast(case event_id % 8 when 0 then event_id % 4096 when 1
   when 2 then event_id % 64 else 0 end as bigint) as mask from events)""",
     "packet_features": f"select * from ({_FEATURES})",
     "select_features": f"select event_id, ip_src, ip_dst, frame_len, hour_of_day from ({_FEATURES})",
+    "flow_load": f"""
+select flow_id, source_ip, destination_ip, "timestamp", cast(destination_port as double) as destination_port,
+  flow_duration, cast(total_fwd_packets as double) as total_fwd_packets, flow_bytes_s, label,
+  state_name || case when total_fwd_packets % 2 = 1 then chr(10) || '"x"' else '' end as state_name,
+  cast(total_fwd_packets as double) as "total_fwd_packets.1"
+from ({_CLEAN})""",
+    "quality_ledger": f"""
+with r as (select value, len(string_split(value, chr(9))) as n from ({_LINES}))
+select 'run_batch' as job, unnest(['read', 'blank', 'packets', 'rejected']) as outcome,
+  unnest([count(*), 0, count(*) filter (n = 6), count(*) filter (n <> 6)]) as rows from r
+union all select 'load_flows', 'read', count(*) from ({_FLOWS})
+union all select 'load_flows', 'kept', count(*) from ({_CLEAN})""",
+    "guards": f"""
+with p as (select count(*) as n from ({_FEATURES})), c as (select count(*) as n from ({_CLEAN}))
+select 'label required, there' as guard, n as rows, 10 as columns from c
+union all select 'label required, absent', -1, -1
+union all select 'report columns required, absent', -1, -1
+union all select 'rows required, there', n, 14 from p
+union all select 'rows required, none', -1, -1
+union all select 'inputs by name', n, 1 from p
+union all select 'inputs of the schema', n, 1 from p
+union all select 'inputs of the model', n, 1 from p
+union all select 'inputs that are numbers', n, 12 from p
+union all select 'no inputs', -1, -1""",
     "flow_clean": f"select * from ({_CLEAN})",
     "flow_labels": f"select attack_type as label, count(*) as flows from ({_FLOW_FEATURES}) group by 1",
     "flow_features": f"select * from ({_FLOW_FEATURES})",

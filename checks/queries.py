@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import pandas as pd
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from packetlens.functions import packets as PF
@@ -22,7 +23,8 @@ from packetlens.operators import (
 from packetlens.plans import analysis, reporting, training
 from packetlens.sources import flows as flow_source
 from packetlens.sources import packets as source
-from packetlens.sources.schemas import PACKET_FEATURES, write_feature_schema
+from packetlens.plans.ledger import write_ledger
+from packetlens.sources.schemas import PACKET_FEATURES, model_columns, require_rows, write_feature_schema
 from packetlens.sources.workspace import materialize, new_folder
 from packetlens.streaming import alerts as stream_alert
 from packetlens.streaming import realtime
@@ -104,6 +106,37 @@ def _flow_csv(spark: SparkSession, sf: str) -> str:
     return folder
 
 
+# Raw headers of the flow files, which come in two orders and have the packets' column twice.
+RAW_NAMES = {
+    "flow_id": "Flow ID", "source_ip": " Source IP", "destination_ip": " Destination IP",
+    "timestamp": "Timestamp", "destination_port": " Destination Port ", "flow_duration": "Flow Duration",
+    "total_fwd_packets": " Total Fwd Packets", "flow_bytes_s": "Flow Bytes/s",
+    "state_name": "STATE NAME", "label": " Label",
+}
+
+
+def _raw_flow_folder(spark: SparkSession, sf: str) -> str:
+    """Flow CSV as it comes: raw headers in two orders, a repeated one, cells with line breaks."""
+    folder = new_folder(spark, "raw-flows")
+    rows = views.flows(spark, sf).withColumn("odd", F.col("total_fwd_packets") % 2)
+    broken = F.concat(F.lit('"'), F.col("state_name"), F.lit('\n""x"""'))
+    rows = rows.withColumn("state_name", F.when(F.col("odd") == 1, broken).otherwise(F.col("state_name")))
+    for odd, order in ((0, list(RAW_NAMES)), (1, [*reversed(RAW_NAMES)])):
+        names = [*order, "total_fwd_packets"]
+        header = ",".join(RAW_NAMES[n] for n in names)
+        cells = [F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names]
+        lines = rows.filter(F.col("odd") == odd).select(F.concat_ws(",", *cells).alias("value"))
+
+        def headed(batches, header=header):
+            first = pd.DataFrame({"value": [header]})
+            for batch in batches:
+                yield batch if first is None else pd.concat([first, batch])
+                first = None
+
+        lines.mapInPandas(headed, "value string").write.mode("append").text(folder)
+    return folder
+
+
 # --- scans ---
 
 
@@ -587,6 +620,56 @@ def train_job(spark, sf):
     )
 
 
+@query
+def flow_load(spark, sf):
+    """Raw files to cleaned flows: headers found, repeated ones numbered, normalized, united, typed."""
+    return training.load_flows(spark, _raw_flow_folder(spark, sf), pattern="*.txt")
+
+
+@query
+def quality_ledger(spark, sf):
+    """What the batch job and a flow load read, kept, rejected and dropped."""
+    job = spark.read.parquet(_run_batch(spark, sf)["quality"])
+    kept = Observation("flows")
+    materialize(training.load_flows(spark, _raw_flow_folder(spark, sf), kept, "*.txt"), "flows")
+    seen = kept.get
+    path = new_folder(spark, "quality")
+    write_ledger(spark, "load_flows", {"read": seen["rows"], "kept": seen["kept"]}, path)
+    return job.unionByName(spark.read.parquet(path))
+
+
+@query
+def guards(spark, sf):
+    """Each guard's outcome on the given tables: rows it lets through, or its refusal."""
+    table, packets = views.flows(spark, sf), _features(spark, sf)
+    scored = packets.withColumn("is_anomaly", F.lit(0))
+
+    def columns(*explicit, **options):
+        return lambda df: df.select(*model_columns(df, *explicit, **options))
+
+    cases = {
+        "label required, there": (table, lambda df: flows.clean_flows(df)),
+        "label required, absent": (table.drop("label"), lambda df: flows.clean_flows(df)),
+        "report columns required, absent": (packets, lambda df: report.prepare_report(df)),
+        "rows required, there": (packets, lambda df: require_rows(df, "go on") or df),
+        "rows required, none": (packets.filter("event_us < 0"), lambda df: require_rows(df, "go on") or df),
+        "inputs by name": (scored, columns(["frame_len"], ["ip_proto"], ["is_tcp"])),
+        "inputs of the schema": (scored, columns(None, ["ip_proto"], ["is_tcp"])),
+        "inputs of the model": (scored, columns(None, None, ["is_tcp"])),
+        "inputs that are numbers": (scored, columns()),
+        "no inputs": (table.select("flow_id"), columns()),
+    }
+    outcomes = []
+    for case, (df, guard) in cases.items():
+        try:
+            passed = guard(df)
+            kept = passed.agg(F.count(F.lit(1)).alias("rows"), F.lit(len(passed.columns)).alias("columns"))
+        except ValueError:
+            kept = spark.range(1).select(F.lit(-1).cast("bigint").alias("rows"), F.lit(-1).alias("columns"))
+        outcomes.append(kept.select(F.lit(case).alias("guard"), "rows", "columns"))
+    return flows.union_by_name(outcomes)
+
+
 @query
 def train_flow_job(spark, sf):
     folder = _flow_csv(spark, sf)

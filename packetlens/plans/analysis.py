@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.classify import Classifier, load_classifier, predict_attack_types
@@ -12,6 +12,7 @@ from ..operators.features import packet_features
 from ..operators.iforest import IsolationForestModel, load_isolation_forest, score_packets
 from ..sources.packets import capture_window, parse_packets, read_lines, rejected_lines
 from ..sources.schemas import PACKET_FEATURES, read_feature_schema, require_rows
+from .ledger import observe_lines, write_ledger
 from .reporting import generate_report
 
 
@@ -46,7 +47,8 @@ def run_batch(
 
     ``fields`` names the columns of the capture and ``predicate`` the packets wanted, in SQL. Model
     inputs are ``schema``, or the feature schema saved at ``schema_path``. Lines of another width than
-    ``fields`` are written as the table ``rejects``, and counted by width in ``reject_counts``.
+    ``fields`` are written as the table ``rejects``, and counted by width in ``reject_counts``. The
+    table ``quality`` counts the lines read, blank, rejected and parsed, in the pass that finds rejects.
     """
     lines = read_lines(spark, capture)
     packets = capture_window(parse_packets(lines, fields), seconds)
@@ -62,10 +64,12 @@ def run_batch(
         schema,
     )
     paths = generate_report(result, report_base, order=["event_us", "ip_src", "ip_dst"])
-    paths |= {name: f"{paths['output_dir']}/{name}" for name in ("rejects", "reject_counts")}
-    rejects = rejected_lines(lines, fields)
+    paths |= {name: f"{paths['output_dir']}/{name}" for name in ("rejects", "reject_counts", "quality")}
+    seen = Observation("lines")
+    rejects = rejected_lines(observe_lines(lines, seen, fields), fields)
     rejects.write.parquet(paths["rejects"])
     written = spark.read.schema(rejects.schema).parquet(paths["rejects"])
     counts = written.groupBy("got_fields", "expected_fields").agg(F.count("*").alias("lines"))
     counts.coalesce(1).write.parquet(paths["reject_counts"])
+    write_ledger(spark, "run_batch", seen.get, paths["quality"])
     return paths

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import classify, iforest
@@ -14,16 +14,19 @@ from ..operators.sampling import (
     normal_rows,
     sample_stratified,
 )
-from ..sources.flows import read_flows
+from ..sources.flows import CSV_NAMES, read_flows
 from ..sources.schemas import write_feature_schema
 from ..sources.workspace import materialize
+from .ledger import write_ledger
 
 ROW_ID = "_row"
 
 
-def load_flows(spark: SparkSession, folder: str) -> DataFrame:
-    """All flow CSV of a folder, typed, renamed and cleaned."""
-    return read_flows(spark, folder).transform(normalize_columns).transform(clean_flows)
+def load_flows(
+    spark: SparkSession, folder: str, kept: Observation | None = None, pattern: str = CSV_NAMES
+) -> DataFrame:
+    """All flow CSV of a folder, typed, renamed and cleaned; ``kept`` counts what cleaning keeps."""
+    return read_flows(spark, folder, pattern).transform(normalize_columns).transform(clean_flows, kept)
 
 
 def load_flow_features(spark: SparkSession, folder: str) -> DataFrame:
@@ -83,6 +86,14 @@ def train(
 
 
 def train_from_flows(spark: SparkSession, folder: str, model_base: str, **options) -> dict[str, str]:
-    """Train on all flow CSV of a folder."""
-    flows = load_flows(spark, folder)
-    return train(flow_features(flows), feature_names(flows), model_base, **options)
+    """Train on all flow CSV of a folder.
+
+    The table ``quality`` beside the models has the rows read, kept, and dropped for a null or an
+    infinity, counted by the pass that writes the training table.
+    """
+    kept = Observation("flows")
+    flows = load_flows(spark, folder, kept)
+    paths = train(flow_features(flows), feature_names(flows), model_base, **options)
+    seen = kept.get
+    counts = {"read": seen["rows"], "kept": seen["kept"], "dropped": seen["rows"] - seen["kept"]}
+    return paths | {"quality": write_ledger(spark, "train_from_flows", counts, f"{model_base}/quality")}

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import csv
-from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,11 +36,15 @@ def distinct_header(names: list[str]) -> list[str]:
     return result
 
 
-def csv_files(spark: SparkSession, folder: str) -> list[str]:
+# Files of a folder that are read as CSV.
+CSV_NAMES = "*.csv"
+
+
+def csv_files(spark: SparkSession, folder: str, names: str = CSV_NAMES) -> list[str]:
     """CSV files right in ``folder``, sorted; the contents are not read."""
     listing = (
         spark.read.format("binaryFile")
-        .option("pathGlobFilter", "*.csv")
+        .option("pathGlobFilter", names)
         .option("recursiveFileLookup", "false")
         .load(folder)
         .select("path")
@@ -52,32 +55,45 @@ def csv_files(spark: SparkSession, folder: str) -> list[str]:
     return paths
 
 
-def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    first = spark.read.text(path).first()
-    if first is None:
-        raise ValueError(f"CSV file without a header: {path}")
-    return tuple(next(csv.reader([first.value.removeprefix("﻿")])))
+def file_headers(spark: SparkSession, folder: str, names: str = CSV_NAMES) -> DataFrame:
+    """``(path, header, broken)`` of every CSV file that isn't empty, found by one job.
+
+    ``broken`` tells that a quoted cell spans lines: some line has an odd number of quotes. Each task
+    keeps a row for each of its files only.
+    """
+    lines = spark.read.option("pathGlobFilter", names).option("recursiveFileLookup", "false").text(folder)
+    # Within a file the block's start orders the blocks, and the id the lines of a block.
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id())
+    quotes = F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))
+    placed = lines.select(
+        F.col("_metadata.file_path").alias("path"), "value", place.alias("place"), (quotes % 2 == 1).alias("odd")
+    )
+    return placed.groupBy("path").agg(
+        F.min_by("value", "place").alias("header"), F.bool_or("odd").alias("broken")
+    )
 
 
-def read_flow_text(spark: SparkSession, folder: str) -> DataFrame:
+def read_flow_text(spark: SparkSession, folder: str, pattern: str = CSV_NAMES) -> DataFrame:
     """Every CSV of the folder, all columns STRING, united by raw header name.
 
-    Files that share a header are one scan, so Spark packs and splits them as it likes.
+    Files that share a header are one scan, so Spark packs and splits them as it likes. Only files in
+    which a quoted cell spans lines are read whole, by one task each, so that such a cell stays one.
+    Empty files have no rows and no columns.
     """
     if not folder or not isinstance(folder, str):
         raise ValueError("The folder must be a non-empty string.")
-    paths = csv_files(spark, folder)
-    with ThreadPoolExecutor(16) as pool:
-        headers = list(pool.map(lambda p: _header(spark, p), paths))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for path, header in zip(paths, headers):
-        groups.setdefault(header, []).append(path)
+    csv_files(spark, folder, pattern)  # none is an error
+    found = file_headers(spark, folder, pattern).groupBy("header", "broken")
+    found = found.agg(F.sort_array(F.collect_list("path")).alias("paths"))
+    groups = sorted(found.collect(), key=lambda r: r.paths)  # one row for each header
     frames = []
-    for header, files in groups.items():
-        names = distinct_header(list(header))
+    for group in groups:
+        if group.header.count('"') % 2:
+            raise ValueError(f"A name in the header of {group.paths[0]} spans lines.")
+        names = distinct_header(next(csv.reader([group.header.removeprefix("\ufeff")])))
         columns = ", ".join(f"`{n.replace('`', '``')}` string" for n in names)
         reader = spark.read.schema(columns).option("header", True).option("escape", '"')
-        frames.append(reader.csv(files).toDF(*names))
+        frames.append(reader.option("multiLine", group.broken).csv(group.paths).toDF(*names))
     return union_by_name(frames)
 
 
@@ -99,6 +115,6 @@ def type_flows(text: DataFrame) -> DataFrame:
     return text.select(*typed)
 
 
-def read_flows(spark: SparkSession, folder: str) -> DataFrame:
+def read_flows(spark: SparkSession, folder: str, pattern: str = CSV_NAMES) -> DataFrame:
     """Typed flow records of a folder, raw header names."""
-    return type_flows(read_flow_text(spark, folder))
+    return type_flows(read_flow_text(spark, folder, pattern))

@@ -40,6 +40,11 @@ def _line_pattern(width: int) -> str:
     return rf"(?s)^(?={SPACE}*+.)[^\t]*+(?:\t[^\t]*+){{{width - 1}}}\z"
 
 
+def fits(line: Column, fields: Sequence[str] | None = None) -> Column:
+    """Whether a line is a packet: not blank, and as wide as ``fields``."""
+    return line.rlike(_line_pattern(len(fields or PACKET_FIELDS)))
+
+
 def parse_packets(
     lines: DataFrame, fields: Sequence[str] | None = None, keep: Sequence[str] = ()
 ) -> DataFrame:
@@ -49,7 +54,7 @@ def parse_packets(
     expression serves batch and streaming input, and nothing is shuffled.
     """
     fields = list(fields or PACKET_FIELDS)
-    parts = lines.filter(F.col("value").rlike(_line_pattern(len(fields)))).select(
+    parts = lines.filter(fits(F.col("value"), fields)).select(
         *keep, _split(F.col("value")).alias("_parts")
     )
     return parts.select(

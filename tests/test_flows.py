@@ -66,6 +66,37 @@ def test_a_column_is_numeric_only_if_it_is_in_all_files(spark, tmp_path):
     assert dict(table.dtypes) == {"x": "string", "flag": "string", "Label": "string"}
 
 
+def test_many_small_files_with_two_headers_are_one_job_and_two_scans(spark, tmp_path):
+    for i in range(200):
+        names, cells = ("x,y,Label", f"{i},1,A") if i % 3 else ("y,Label,x", f"2,B,{i}")
+        write(tmp_path, f"f{i:03d}.csv", f"{names}\n{cells}\n")
+    tracker, group = spark.sparkContext.statusTracker(), "headers"
+    spark.sparkContext.setJobGroup(group, group)
+    table = S.read_flow_text(spark, str(tmp_path))
+    spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert len(tracker.getJobIdsForGroup(group)) < 10
+    got = sorted((int(r.x), r.y, r.Label) for r in table.collect())
+    assert got == [(i, *(("1", "A") if i % 3 else ("2", "B"))) for i in range(200)]
+
+
+def test_a_quoted_line_break_stays_in_its_cell(spark, tmp_path):
+    write(tmp_path, "a.csv", 'x,note,Label\n1,"one\ntwo, ""three""\n",A\n2,plain,B\n')
+    write(tmp_path, "b.csv", "x,note,Label\n3,plain,A\n")
+    found = {r.path[-5:]: r for r in S.file_headers(spark, str(tmp_path)).collect()}
+    assert (found["a.csv"].broken, found["b.csv"].broken) == (True, False)
+    rows = {r.x: r.note for r in S.read_flow_text(spark, str(tmp_path)).collect()}
+    assert rows == {"1": 'one\ntwo, "three"\n', "2": "plain", "3": "plain"}
+
+
+def test_empty_files_and_broken_headers(spark, tmp_path):
+    write(tmp_path, "a.csv", "x,Label\n1,A\n")
+    write(tmp_path, "b.csv", "")
+    assert [tuple(r) for r in S.read_flow_text(spark, str(tmp_path)).collect()] == [("1", "A")]
+    write(tmp_path, "b.csv", '"x\ny",Label\n1,A\n')
+    with pytest.raises(ValueError, match="spans lines"):
+        S.read_flow_text(spark, str(tmp_path))
+
+
 def test_no_csv_and_bad_folder(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         S.read_flows(spark, str(tmp_path))
@@ -110,7 +141,7 @@ def test_training_from_a_folder(spark, tmp_path):
         f"f{i},{i % 5},{1000 + i if i % 4 else 10 + i % 3},{'DDoS' if i % 4 else 'BENIGN'}\n"
         for i in range(600)
     )
-    write(folder, "a.csv", text)
+    write(folder, "a.csv", text + "f600,Infinity,1,DDoS\n")
     paths = training.train_from_flows(
         spark, str(folder), str(tmp_path / "models"), classifier_trees=10, max_depth=4, detector_trees=20
     )
@@ -119,6 +150,8 @@ def test_training_from_a_folder(spark, tmp_path):
 
     schema = read_feature_schema(spark, paths["schema"])
     assert schema == ["dur", "bytes"]
+    ledger = {r.outcome: r.rows for r in spark.read.parquet(paths["quality"]).collect()}
+    assert ledger == {"read": 601, "kept": 600, "dropped": 1}
     table = training.load_flow_features(spark, str(folder)).drop("attack_type")
     scored = iforest.detect_anomalies(table, paths["detector"], schema)
     labelled = classify.classify_attacks(scored, paths["classifier"], schema)

@@ -263,6 +263,9 @@ def test_batch_job(spark, source, tmp_path):
     assert got.count() == 1200
     assert got.filter("is_anomaly = 1").count() == truth.count()
     assert spark.read.parquet(paths["preview"]).count() == 10
+    ledger = {r.outcome: r.rows for r in spark.read.parquet(paths["quality"]).collect()}
+    lines = P.read_lines(spark, source).count()
+    assert ledger == {"read": lines, "blank": lines - 1204, "packets": 1200, "rejected": 4}
     short = analysis.run_batch(
         spark, source, detector, model.path, str(tmp_path / "short"), seconds=10, schema=["flow_duration"]
     )

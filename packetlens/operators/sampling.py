@@ -1,9 +1,9 @@
-"""Exact-size samples in two passes, without a global sort.
+"""Exact-size samples in two scans, without a global sort.
 
-The first pass counts rows per class, with map-side partial counts. The second keeps, while scanning,
-the rows whose seeded hash lies below a bound that a little more than the wanted number is expected
-to meet. Only those few are written, counted, ordered and cut to size. Should a bound have been too
-tight, that pass is repeated with a wider one, so the size is exact whatever the data.
+The first scan counts rows per class and first digits of a seeded hash: a mergeable sketch, summed in
+tasks, of at most ``16 ** DIGITS`` counts a class. From it follow the class sizes, the quotas, and the
+digits below which a class's quota of lowest hashes surely lies. The second scan keeps the rows up to
+these digits; only those few are written, ordered where they straddle the quota, and cut to size.
 """
 
 from __future__ import annotations
@@ -22,19 +22,14 @@ MAX_LABELLED_ROWS = 500_000
 # Class tables are broadcast up to this many classes; beyond it they are joined by shuffle.
 BROADCAST_CLASSES = 10_000
 
-_DIGITS = 12
+# First hexadecimal digits of hashes that are counted: what is kept beyond a quota is 1 in 4,096 rows.
+DIGITS = 3
 
 
 def sample_hash(key: Sequence[str], seed: int) -> Column:
     return F.md5(F.concat(F.lit(f"{seed}:"), F.concat_ws("|", *key)))
 
 
-def _bound(share: Column) -> Column:
-    """Hash text below which ``share`` of all hashes lie; above every hash for a share of one."""
-    digits = F.lower(F.lpad(F.hex(F.floor(share * float(16**_DIGITS))), _DIGITS, "0"))
-    return F.when(share < 1, digits).otherwise("g")
-
-
 def _lowest(
     df: DataFrame,
     stratum: str,
@@ -46,26 +41,25 @@ def _lowest(
 
     ``key`` must identify a row: rows of equal key hash alike.
     """
-    sizes = materialize(df.groupBy(stratum).agg(F.count("*").alias("_size")), "class-sizes")
-    total = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
-    classes = sizes.withColumn("_quota", quota(F.col("_size"), total).cast("bigint"))
-    few = classes.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
     hashed = df.withColumn("_hash", sample_hash(key, seed))
+    digits = F.substring("_hash", 1, DIGITS)
+    counts = hashed.groupBy(stratum, digits.alias("_digits")).agg(F.count("*").alias("_n"))
+    sketch = materialize(counts, "hash-counts")
+    sizes = sketch.groupBy(stratum).agg(F.sum("_n").alias("_size"))
+    total = sizes.agg(F.coalesce(F.sum("_size"), F.lit(0))).first()[0]
 
-    margin = 1.0
-    while True:
-        wanted = F.col("_quota") + margin * (10 * F.sqrt("_quota") + 100)
-        bounds = classes.select(
-            stratum, "_quota", "_size", _bound(wanted / F.col("_size")).alias("_bound")
-        )
-        joined = _by_class(hashed, F.broadcast(bounds) if few else bounds, stratum)
-        drawn = materialize(joined.filter(F.col("_hash") < F.col("_bound")), "drawn")
-        got = drawn.groupBy(stratum).agg(F.count("*").alias("_got"))
-        need = F.least("_quota", "_size")
-        short = _by_class(bounds, got, stratum, "left").filter(F.coalesce("_got", F.lit(0)) < need)
-        if short.isEmpty():
-            break
-        margin *= 8
+    upto = F.sum("_n").over(Window.partitionBy(stratum).orderBy("_digits"))
+    quotas = sizes.withColumn("_quota", quota(F.col("_size"), total).cast("bigint"))
+    # Null is a class here as well: grouping keeps it, and the join below matches it.
+    placed = _by_class(sketch.withColumn("_upto", upto), quotas, stratum)
+    reached = F.col("_upto") >= F.least("_quota", "_size")
+    bounds = materialize(
+        placed.groupBy(stratum, "_quota", "_size").agg(F.min(F.when(reached, F.col("_digits"))).alias("_bound")),
+        "hash-bounds",
+    )
+    few = bounds.limit(BROADCAST_CLASSES + 1).count() <= BROADCAST_CLASSES
+    joined = _by_class(hashed, F.broadcast(bounds) if few else bounds, stratum)
+    drawn = materialize(joined.filter(digits <= F.col("_bound")), "drawn")
     return _cut(drawn, stratum, key).select(*df.columns)
 
 

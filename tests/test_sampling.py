@@ -71,3 +71,21 @@ def test_no_window_over_a_whole_class(spark):
 
 def test_empty_input(spark):
     assert S.sample_uniform(table(spark).filter("id < 0"), 10, ["id"]).count() == 0
+
+
+def test_two_scans_and_no_retry(spark, tmp_path, monkeypatch):
+    """Keys that all hash alike, quotas of a single row and whole classes: always two scans."""
+    rows = spark.range(4000).withColumn("k", F.when(F.col("id") < 3500, F.lit("one")).otherwise(F.col("id").cast("string")))
+    rows = rows.withColumn("attack_type", F.when(F.col("id") % 400 == 1, "rare").otherwise("often"))
+    rows.write.parquet(str(tmp_path / "t"))
+    written = []
+    plain = S.materialize
+    monkeypatch.setattr(S, "materialize", lambda df, purpose: written.append((purpose, df)) or plain(df, purpose))
+    table = spark.read.parquet(str(tmp_path / "t"))
+    for most in (1, 10, 3000):
+        written.clear()
+        got = S.sample_stratified(table, ["k"], max_rows=most).groupBy("attack_type").count().collect()
+        want = {"rare": max(1, 10 * most // 4000), "often": max(1, 3990 * most // 4000)}
+        assert {r.attack_type: r["count"] for r in got} == want
+        scans = [p for p, df in written if str(tmp_path) in "".join(df.inputFiles())]
+        assert scans == ["hash-counts", "drawn"]

@@ -256,6 +256,10 @@ select event_id, event_us, cast(count(*) over (order by event_us range between 1
     "anomaly_alerts": _ANOMALY_ALERTS,
     "traffic_alerts": _TRAFFIC_ALERTS,
     "stream_alerts": f"select * from ({_ANOMALY_ALERTS}) union all select * from ({_TRAFFIC_ALERTS})",
+    "running_report": f"""
+select attack_type, count(*) as packets, round(100.0 * count(*) / sum(count(*)) over (), 1) as percent
+from (select case when frame_len > 1200 and is_anomaly <> 1 then 'suspicious_traffic' else attack_type end
+        as attack_type from ({_ANALYZED})) group by 1""",
     "realtime_alerts": f"select * from ({_LIVE_ANOMALY}) union all select * from ({_LIVE_TRAFFIC})",
     "late_packets": f"""
 with p as (select event_id, event_us, ip_dst from ({_FEATURES})),

@@ -371,8 +371,9 @@ def report_payload(spark, sf):
 def progress_counts(spark, sf):
     packets = realtime.stream_packets(spark, _line_folder(spark, sf), max_files=1)
     out = new_folder(spark, "progress")
-    realtime.append_counts(packets, out, {"availableNow": True}).awaitTermination()
-    return realtime.progress_marks(spark.read.parquet(out)).select("mark")
+    judged = packets.withColumns({"is_anomaly": F.lit(0), "attack_type": F.lit("normal")})
+    realtime.append_outcomes(judged, out, {"availableNow": True}).awaitTermination()
+    return realtime.progress_marks(realtime.batch_counts(spark, out)).select("mark")
 
 
 @query
@@ -572,6 +573,20 @@ def realtime_job(spark, sf):
     )
 
 
+@query
+def running_report(spark, sf):
+    """Shares from the counts that batches leave behind; a batch that is run again changes nothing."""
+    base = new_folder(spark, "running")
+    packets = realtime.stream_packets(spark, _line_folder(spark, sf))
+    results = realtime.realtime_results(packets, frozen_forest(), FlagClassifier())
+    for attempt in ("first", "again"):
+        query = realtime.append_outcomes(
+            results, f"{base}/outcomes", {"availableNow": True}, checkpoint=f"{base}/{attempt}"
+        )
+        query.awaitTermination()
+    return report.attack_share(realtime.running_outcomes(spark, f"{base}/outcomes"))
+
+
 @query
 def realtime_alerts(spark, sf):
     """The alerts table of the realtime job itself."""

@@ -42,23 +42,17 @@ def _write_summary(counts: DataFrame, path: str) -> None:
     payload.coalesce(1).write.json(path)
 
 
-def generate_report(df: DataFrame, base: str, order: Sequence[str] = ()) -> dict[str, str]:
-    """Write the report tables under ``base``/YYYY-MM-DD_HH-MM-SS and return their paths.
-
-    ``data`` is columnar, so the counts read two columns of it back; they are then a few rows.
-    ``order`` names the columns whose order defines the previewed first rows.
-    """
+def _report_folder(df: DataFrame, base: str) -> str:
     run = f"{base.rstrip('/')}/{datetime.now().strftime('%Y-%m-%d_%H-%M-%S')}"
     if path_exists(df.sparkSession, run):  # another report started in the same second
         run = f"{run}_{uuid.uuid4().hex[:8]}"
-    names = ["data", "summary", "traffic", "attack_distribution", "attack_share", "preview"]
-    paths = {name: f"{run}/{name}" for name in names}
-    prepared = report.prepare_report(df)
-    require_rows(prepared, "generate a report")
-    prepared.write.parquet(paths["data"])
-    data = df.sparkSession.read.schema(prepared.schema).parquet(paths["data"])
+    return run
+
 
-    counts = report.outcome_counts(data).persist()
+def _write_tables(counts: DataFrame, first: DataFrame, run: str) -> dict[str, str]:
+    names = ["summary", "traffic", "attack_distribution", "attack_share", "preview"]
+    paths = {name: f"{run}/{name}" for name in names}
+    counts = counts.persist()
     try:
         _write_summary(counts, paths["summary"])
         for name, table in {
@@ -69,11 +63,30 @@ def generate_report(df: DataFrame, base: str, order: Sequence[str] = ()) -> dict
             table.coalesce(1).write.parquet(paths[name])
     finally:
         counts.unpersist()
-    first = report.preview(data, [c for c in order or data.columns if c in data.columns])
     first.coalesce(1).write.parquet(paths["preview"])
     return {"output_dir": run, **paths}
 
 
+def report_of_counts(counts: DataFrame, first: DataFrame, base: str) -> dict[str, str]:
+    """The report tables from packets by flag and type and the previewed rows, both already known."""
+    return _write_tables(counts, first, _report_folder(counts, base))
+
+
+def generate_report(df: DataFrame, base: str, order: Sequence[str] = ()) -> dict[str, str]:
+    """Write the report tables under ``base``/YYYY-MM-DD_HH-MM-SS and return their paths.
+
+    ``data`` is columnar, so the counts read two columns of it back; they are then a few rows.
+    ``order`` names the columns whose order defines the previewed first rows.
+    """
+    run = _report_folder(df, base)
+    prepared = report.prepare_report(df)
+    require_rows(prepared, "generate a report")
+    prepared.write.parquet(f"{run}/data")
+    data = df.sparkSession.read.schema(prepared.schema).parquet(f"{run}/data")
+    first = report.preview(data, [c for c in order or data.columns if c in data.columns])
+    return _write_tables(report.outcome_counts(data), first, run) | {"data": f"{run}/data"}
+
+
 def read_summary(spark, path: str) -> dict:
     """The summary record of a report as a dictionary."""
     return json.loads(spark.read.text(path).first().value)

@@ -18,10 +18,10 @@ from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.classify import Classifier, load_classifier
 from ..operators.iforest import IsolationForestModel, load_isolation_forest
-from ..operators.report import event_lines
+from ..operators.report import event_lines, outcome_counts, prepare_report, preview
 from ..operators.rules import flag_large_frames
 from ..plans.analysis import analyze_packets
-from ..plans.reporting import generate_report
+from ..plans.reporting import report_of_counts
 from ..sources.packets import parse_packets, rejected_lines, stream_lines
 from .alerts import close_alerts, follow_alerts, stream_instants
 
@@ -67,17 +67,40 @@ def with_progress(results: DataFrame, name: str = "progress") -> DataFrame:
     return results.observe(name, F.count(F.lit(1)).alias("packets"))
 
 
-def append_counts(results: DataFrame, path: str, trigger: dict) -> StreamingQuery:
-    """Start a query that keeps a table ``(batch, packets)``; a batch that is run again replaces its row."""
+def append_outcomes(
+    results: DataFrame,
+    path: str,
+    trigger: dict,
+    order: Sequence[str] = ("event_us", "ip_src", "ip_dst"),
+    checkpoint: str | None = None,
+) -> StreamingQuery:
+    """Start a query that keeps, for each batch, its packets by flag and type and its first rows.
+
+    Both tables are small, however many packets came: ``path`` has ``(batch, is_anomaly, attack_type,
+    packets)``, ``path``_first the rows that may be among the first. A batch that is run again replaces its rows.
+    """
 
     def write(batch: DataFrame, number: int) -> None:
-        counted = batch.agg(F.count(F.lit(1)).alias("packets"))
-        counted.coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        prepared = prepare_report(batch)
+        outcome_counts(prepared).coalesce(1).write.mode("overwrite").parquet(f"{path}/batch={number}")
+        first = preview(prepared, [c for c in order if c in prepared.columns])
+        first.coalesce(1).write.mode("overwrite").parquet(f"{path}_first/batch={number}")
 
-    options = results.writeStream.option("checkpointLocation", f"{path}_checkpoint")
+    options = results.writeStream.option("checkpointLocation", checkpoint or f"{path}_checkpoint")
     return options.foreachBatch(write).trigger(**trigger).start()
 
 
+def running_outcomes(spark: SparkSession, path: str) -> DataFrame:
+    """Packets by flag and type of all batches so far: what the report's tables need, without a scan."""
+    parts = spark.read.parquet(path)
+    return parts.groupBy("is_anomaly", "attack_type").agg(F.sum("packets").alias("packets"))
+
+
+def batch_counts(spark: SparkSession, path: str) -> DataFrame:
+    """``(batch, packets)`` from the same table."""
+    return spark.read.parquet(path).groupBy("batch").agg(F.sum("packets").alias("packets"))
+
+
 def progress_marks(counts: DataFrame, every: int = PROGRESS_ROWS) -> DataFrame:
     """``(batch, mark)``: each multiple of ``every`` that the total of packets has reached, and when.
 
@@ -154,7 +177,10 @@ def run_realtime(
     )
     close_alerts(spark, paths, limits)
     if report_base:
-        paths |= generate_report(table, report_base, order=["event_us", "ip_src", "ip_dst"])
+        order = ["event_us", "ip_src", "ip_dst"]
+        first = preview(spark.read.parquet(f"{paths['progress']}_first").drop("batch"), order)
+        counts = running_outcomes(spark, paths["progress"])
+        paths |= report_of_counts(counts, first, report_base) | {"data": paths["results"]}
     return paths
 
 
@@ -180,7 +206,7 @@ def start_followers(
     points = stream_instants(results(), f"{delay_seconds} seconds", sensor, time)
     steps = [
         lambda: append_table(event_lines(results()), paths["event_lines"], trigger),
-        lambda: append_counts(results(), paths["progress"], trigger),
+        lambda: append_outcomes(results(), paths["progress"], trigger),
         lambda: follow_alerts(points, paths, trigger, limits),
     ]
     queries = []

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from checks.models import FlagClassifier, frozen_forest
 from packetlens.operators import alerts as A
+from packetlens.operators import report as R
 from packetlens.plans import analysis
 from packetlens.sources import packets as P
 from packetlens.sources.schemas import PACKET_FEATURES
@@ -202,12 +203,19 @@ def test_a_mark_for_each_fifty_packets(spark, sizes, marks):
     assert sorted(map(tuple, RT.progress_marks(counts).collect())) == marks
 
 
-def test_batch_counts_are_kept_and_replaced(spark, source, tmp_path):
+def test_outcomes_are_kept_by_batch_and_replaced(spark, source, tmp_path):
     out = str(tmp_path / "counts")
-    packets = RT.stream_packets(spark, source, max_files=1)
-    RT.append_counts(packets, out, NOW).awaitTermination()
-    RT.append_counts(packets, out, NOW).awaitTermination()
-    assert spark.read.parquet(out).agg({"packets": "sum"}).first()[0] == 1200
+    results = RT.realtime_results(
+        RT.stream_packets(spark, source, max_files=2), frozen_forest(), FlagClassifier()
+    )
+    for attempt in ("a", "b"):  # each goes through the same batches from the start
+        query = RT.append_outcomes(results, out, NOW, checkpoint=str(tmp_path / attempt))
+        query.awaitTermination()
+        assert RT.batch_counts(spark, out).agg({"packets": "sum"}).first()[0] == 1200
+    batch = RT.realtime_results(P.parse_packets(P.read_lines(spark, source)), frozen_forest(), FlagClassifier())
+    want = sorted(map(tuple, R.outcome_counts(R.prepare_report(batch)).collect()))
+    assert sorted(map(tuple, RT.running_outcomes(spark, out).collect())) == want
+    assert spark.read.parquet(f"{out}_first").count() == 20
 
 
 def _capture(folder, times, name):

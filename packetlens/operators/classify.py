@@ -22,7 +22,7 @@ from ..functions.labels import NORMAL
 from ..sources.schemas import model_columns, require_columns, require_inputs
 from ..sources.workspace import checkpoint_folder, materialize, new_folder
 from .forest import Forest
-from .iforest import read_meta, write_meta
+from .iforest import new_version, read_meta, write_meta
 
 TREES = 150
 SEED = 42
@@ -51,19 +51,20 @@ class Classifier(Protocol):
 
 @dataclass
 class AttackClassifier:
-    """A fitted random forest, saved under ``path``."""
+    """A fitted random forest: the version of the model at ``path`` whose files are in ``data``."""
 
     path: str
     features: list[str]
     labels: list[str]
     node_count: int
+    data: str
     _forest: Forest | None = field(default=None, repr=False)
 
     def forest(self, spark: SparkSession) -> Forest:
         if self._forest is None:
             node = F.col("nodeData")
             nodes = (
-                spark.read.parquet(f"{self.path}/forest/data")
+                spark.read.parquet(f"{self.path}/{self.data}/forest/data")
                 .select(
                     F.col("treeID").alias("tree"),
                     node["id"].alias("node"),
@@ -137,7 +138,7 @@ class AttackClassifier:
         from pyspark.ml.functions import vector_to_array
 
         spark = df.sparkSession
-        model = RandomForestClassificationModel.load(f"{self.path}/forest")
+        model = RandomForestClassificationModel.load(f"{self.path}/{self.data}/forest")
         if not df.isStreaming:
             df = materialize(df, "scored")
         flagged = df.filter("is_anomaly = 1")
@@ -160,25 +161,27 @@ class AttackClassifier:
         return predicted.unionByName(others)
 
     def save(self, spark: SparkSession, path: str) -> AttackClassifier:
-        model = RandomForestClassificationModel.load(f"{self.path}/forest")
+        model = RandomForestClassificationModel.load(f"{self.path}/{self.data}/forest")
         return _saved(spark, model, self.features, self.labels, path)
 
 
 def _saved(spark, model, features: list[str], labels: list[str], path: str) -> AttackClassifier:
-    model.write().overwrite().save(f"{path}/forest")
+    data = new_version()
+    model.write().save(f"{path}/{data}/forest")
     meta = {
+        "data": data,
         "kind": "attack_classifier",
         "features": features,
         "labels": labels,
         "nodes": model.totalNumNodes,
     }
     write_meta(spark, meta, path)
-    return AttackClassifier(path, features, labels, model.totalNumNodes)
+    return AttackClassifier(path, features, labels, model.totalNumNodes, data)
 
 
 def load_classifier(spark: SparkSession, path: str) -> AttackClassifier:
     meta = read_meta(spark, path, "attack_classifier")
-    return AttackClassifier(path, meta["features"], meta["labels"], meta["nodes"])
+    return AttackClassifier(path, meta["features"], meta["labels"], meta["nodes"], meta["data"])
 
 
 def fit_classifier(

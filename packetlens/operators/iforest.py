@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import json
 import math
+import time
+import uuid
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from typing import Any
@@ -104,8 +106,9 @@ class IsolationForestModel:
             "offset": self.offset,
         }
         nodes = spark.createDataFrame(_node_rows(self.nodes), NODE_SCHEMA)
-        nodes.coalesce(1).write.mode("overwrite").parquet(f"{path}/nodes")
-        write_meta(spark, meta, path)
+        data = new_version()
+        nodes.coalesce(1).write.parquet(f"{path}/{data}/nodes")
+        write_meta(spark, meta | {"data": data}, path)
         return path
 
 
@@ -119,17 +122,37 @@ def _node_rows(nodes: pd.DataFrame) -> list[tuple]:
     ]
 
 
+def new_version() -> str:
+    """A folder, below that of a model, for the data of one version of it."""
+    return f"versions/{uuid.uuid4().hex}"
+
+
 def write_meta(spark: SparkSession, meta: dict, path: str) -> None:
-    row = spark.createDataFrame([(json.dumps(meta),)], "value string")
-    row.coalesce(1).write.mode("overwrite").text(f"{path}/meta")
+    """Publish a version whose data has been written: the last step, and one file that appears at once.
+
+    Earlier versions stay as they are, so whoever reads meanwhile has the one before, whole.
+    """
+    known = _versions(spark, path)
+    number = max([time.time_ns(), *(m["version"] + 1 for m in known)])
+    row = spark.createDataFrame([(json.dumps(meta | {"version": number}),)], "value string")
+    row.coalesce(1).write.mode("append").text(f"{path}/meta")
+
+
+def _versions(spark: SparkSession, path: str) -> list[dict]:
+    """What has been published: a short line for each time that the model was saved."""
+    if not path_exists(spark, f"{path}/meta"):
+        return []
+    return [json.loads(r.value) for r in spark.read.text(f"{path}/meta").collect()]
 
 
 def read_meta(spark: SparkSession, path: str, kind: str) -> dict:
+    """The version published last."""
     if not path or not isinstance(path, str):
         raise ValueError("The model path must be a non-empty string.")
-    if not path_exists(spark, f"{path}/meta"):
+    published = _versions(spark, path)
+    if not published:
         raise FileNotFoundError(f"Model not found: {path}")
-    meta = json.loads(spark.read.text(f"{path}/meta").first().value)
+    meta = max(published, key=lambda m: m["version"])
     if meta.get("kind") != kind:
         raise ValueError(f"Model in {path} is {meta.get('kind')!r}, expected {kind!r}.")
     return meta
@@ -137,7 +160,7 @@ def read_meta(spark: SparkSession, path: str, kind: str) -> dict:
 
 def load_isolation_forest(spark: SparkSession, path: str) -> IsolationForestModel:
     meta = read_meta(spark, path, "isolation_forest")
-    nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/nodes").toPandas()
+    nodes = spark.read.schema(NODE_SCHEMA).parquet(f"{path}/{meta['data']}/nodes").toPandas()
     return IsolationForestModel(nodes, meta["features"], meta["sample_size"], meta["offset"])
 
 

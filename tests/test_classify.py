@@ -104,6 +104,17 @@ def test_save_and_load(spark, table, model, tmp_path):
     assert a.exceptAll(b).count() == 0
 
 
+def test_a_loaded_model_outlives_later_versions(spark, table, model, tmp_path):
+    path = model.save(spark, str(tmp_path / "m")).path
+    loaded = C.load_classifier(spark, path)
+    later = C.fit_classifier(table.withColumn("attack_type", F.lit("one")), model.features, path=path, trees=2)
+    assert C.load_classifier(spark, path).labels == later.labels == ["one"]
+    # Its forest is read only now.
+    a = C.predict_attack_types(flagged(table), model).select("id", "attack_type")
+    b = C.predict_attack_types(flagged(table), loaded).select("id", "attack_type")
+    assert a.exceptAll(b).count() == 0 and loaded.labels == model.labels
+
+
 def test_load_errors(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         C.load_classifier(spark, str(tmp_path / "nothing"))

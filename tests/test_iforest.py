@@ -114,7 +114,23 @@ def test_save_and_load(spark, cloud, fitted, tmp_path):
     )
     assert both.filter("x <> y").count() == 0
     assert loaded.offset == fitted.offset and loaded.features == fitted.features
-    fitted.save(spark, path)  # overwrites
+
+
+def test_a_reader_has_whole_versions(spark, fitted, tmp_path, monkeypatch):
+    path = fitted.save(spark, str(tmp_path / "m"))
+    newer = I.IsolationForestModel(fitted.nodes, fitted.features, fitted.sample_size, fitted.offset - 0.1)
+    seen = []
+
+    def reading(*args, publish=I.write_meta):  # between the data of a version and its publication
+        seen.append(I.load_isolation_forest(spark, path).offset)
+        publish(*args)
+
+    monkeypatch.setattr(I, "write_meta", reading)
+    newer.save(spark, path)
+    assert seen == [fitted.offset]
+    assert I.load_isolation_forest(spark, path).offset == newer.offset
+    fitted.save(spark, path)
+    assert I.load_isolation_forest(spark, path).offset == fitted.offset
 
 
 def test_load_errors(spark, tmp_path):

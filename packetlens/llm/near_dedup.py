@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from ..sources.workspace import materialize
 from .components import components
-from .frames import map_arrow, utf8
+from .frames import map_arrow, unused, utf8
 from .words import SPACED, hashed_words, mix, shingles, text_blocks
 
 SHINGLE = 5
@@ -267,20 +267,50 @@ def drop_near_duplicates(
 ) -> DataFrame:
     """One row of each component, that of the least id, with all its columns.
 
-    Rows without an id stay. Of rows that share the kept id any one stays.
+    Here a document is an id with a text: texts that share an id are documents of their own, which go
+    only if their own text has a near duplicate; of equal ids in a component the least md5 of the text
+    stays. Of rows equal in both, the one that is least as JSON stays. Rows without an id stay. A null
+    text counts as empty. Ids are numbers.
     """
-    found = near_duplicates(docs, id_column, text_column, **options)
-    found = materialize(found.select(F.col(f"`{id_column}`").alias("id"), "kept"), "kept")
+    key = unused(docs.columns, "_document")
+    identity, text = F.col(f"`{id_column}`").cast("bigint"), F.md5(utf8(text_column))
+    seen = docs.select(identity.alias("id"), text.alias("md5")).filter("id is not null")
+    several = seen.groupBy("id").agg(F.min("md5").alias("low"), F.max("md5").alias("high"))
+    several = materialize(several.filter("low <> high").select("id"), "shared-ids")
+    if several.isEmpty():
+        keyed, numbered = docs.withColumn(key, identity), None
+    else:
+        # Numbers below all ids, written before they are used, so that a recomputed task agrees.
+        lowest = seen.agg(F.least(F.min("id"), F.lit(0))).first()[0]
+        pairs = seen.join(several, "id", "left_semi").distinct()
+        number = (F.lit(lowest - 1) - F.monotonically_increasing_id()).alias("number")
+        numbered = materialize(pairs.select("id", "md5", number), "shared-id-texts")
+        rows = docs.select(*[F.col(f"`{c}`") for c in docs.columns], F.struct(identity.alias("id"), text.alias("md5")).alias(key))
+        own = (F.col(f"{key}.id") == numbered["id"]) & (F.col(f"{key}.md5") == numbered["md5"])
+        keyed = rows.join(numbered, own, "left").select(
+            *[rows[f"`{c}`"] for c in docs.columns],
+            F.coalesce(numbered["number"], rows[key]["id"]).alias(key),
+        )
+    found = near_duplicates(keyed, key, text_column, **options)
+    found = materialize(found.select(F.col(key).alias("id"), "component_id", "kept"), "kept")
     gone = found.filter("not kept").select("id").distinct()
-    again = found.filter("kept and id is not null").groupBy("id").count().filter("count > 1")
-    again = materialize(again.select("id"), "repeated")
-    identity = F.col(f"`{id_column}`")
-    rows = docs.join(gone, identity == gone["id"], "left_anti")
+    if numbered is not None:
+        real = found.filter("id is not null").join(
+            numbered.select(F.col("number").alias("id"), F.col("id").alias("real"), "md5"), "id", "left"
+        )
+        rank = F.struct(F.coalesce("real", "id"), F.coalesce("md5", F.lit("")), "id")
+        first = real.groupBy("component_id").agg(F.min_by("id", rank).alias("first"))
+        gone = real.join(first, "component_id").filter("id <> first").select("id").distinct()
+    again = found.filter("id is not null").groupBy("id").count().filter("count > 1")
+    again = materialize(again.join(gone, "id", "left_anti").select("id"), "repeated")
+    document = F.col(key)
+    rows = keyed.join(gone, document == gone["id"], "left_anti")
     if again.isEmpty():
-        return rows
-    once = rows.join(again, identity == again["id"], "left_anti")
-    many = rows.join(again, identity == again["id"], "left_semi")
-    one = many.groupBy(identity.alias("id")).agg(F.first(F.struct("*")).alias("row"))
+        return rows.drop(key)
+    once = rows.join(again, document == again["id"], "left_anti").drop(key)
+    many = rows.join(again, document == again["id"], "left_semi")
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns])
+    one = many.groupBy(document.alias("id")).agg(F.min_by(row, F.to_json(row)).alias("row"))
     return once.unionByName(one.select("row.*"))
 
 

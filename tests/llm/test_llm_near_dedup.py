@@ -1,3 +1,4 @@
+import hashlib
 import itertools
 import random
 import re
@@ -111,6 +112,36 @@ def test_repeated_rows_stay_once(docs):
     assert [r.doc_id for r in kept if not r.text] == [3]
 
 
+def survivors(rows):
+    """One (id, text) of each component of distinct texts, the least id, of equal ids the least md5."""
+    documents = sorted({(i, t or "") for i, t in rows if i is not None}, key=lambda d: (d[0], md5(d[1])))
+    found = brute([(n, t) for n, (_, t) in enumerate(documents)])
+    return [d for n, d in enumerate(documents) if found[n][2] == n]
+
+
+def md5(text):
+    return hashlib.md5(text.encode()).hexdigest()
+
+
+def test_texts_that_share_an_id_are_kept(docs):
+    rows = families(5, groups=4, copies=6, changes=5)
+    rows += [(7, "one text about boats and the sea"), (7, "another text about hills and sheep"), (7, rows[0][1])]
+    rows += [(rows[8][0], "a text of its own that shares an id"), (-5, rows[14][1]), (-5, None), (-5, "")]
+    rows += [(7, "one text about boats and the sea")]
+    table = docs(*rows, extra=", _document string, _DOCUMENT2 int", values=("d", 1))
+    kept = near_dedup.drop_near_duplicates(table)
+    assert kept.columns == table.columns
+    got = [(r.doc_id, r.text or "") for r in kept.collect()]
+    assert sorted(got) == sorted(survivors(rows))
+
+
+def test_equal_documents_leave_the_same_row_always(docs):
+    rows = docs((1, "a b c d e f")).selectExpr("* except (source)", "explode(array('z', 'b', 'm')) as source")
+    for parts in (1, 3):
+        (row,) = near_dedup.drop_near_duplicates(rows.repartition(parts)).collect()
+        assert row.source == "b"
+
+
 @pytest.mark.parametrize("shape", ["path", "star", "random"])
 def test_components(spark, shape):
     rng = random.Random(3)

@@ -1,10 +1,15 @@
 """Document fingerprints by winnowing, in DataFrame functions only.
 
-A text's units are runs of letters and digits in lower case, of at most eight characters, so that
-long runs without breaks have many. Every ``K`` consecutive units are hashed; of every ``W``
-consecutive hashes the least is selected, of equal ones the rightmost; each selection is kept once
-with its position. Two texts that share ``K + W - 1`` units in a row share a selected hash, and no
-match of fewer than ``K`` units is seen.
+A text's units are its words, runs of letters and digits in lower case. A run of more than ``LONG``
+characters, as in scripts without spaces or in encoded data, has each of its characters as a unit, so
+that it doesn't matter where it begins. Every ``K`` consecutive units have a rolling hash; of every
+``W`` consecutive hashes the least is selected, of equal ones the rightmost; each selection is kept once
+with its position, the number of its first unit. Two texts that share ``K + W - 1`` units in a row share
+a selected hash, and no match of fewer than ``K`` units is seen.
+
+The hash of units ``u`` is ``u[i] B**(K-1) + ... + u[i+K-1]`` modulo the prime ``P``, so the next one is
+``(hash - u[i] B**(K-1)) B + u[i+K]``. Functions on arrays hand nothing from one entry to the next, so
+the hashes of all places are made at once, those of ``2 n`` units from those of ``n``.
 
 An entry is one number, ``hash * 2**31 + (2**31 - 1 - position)``: the least entry of a window is the
 one of least hash and, among those, of largest position.
@@ -16,13 +21,18 @@ from math import ceil, log2
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .frames import unused
+from .frames import let, unused
 
 K, W = 3, 4
-UNIT = r"[\p{L}\p{M}\p{N}]{1,8}"
+LONG = 16
+_SIGN = r"[\p{L}\p{M}\p{N}]"
+UNIT = rf"(?<!{_SIGN}){_SIGN}{{1,{LONG}}}+(?!{_SIGN})|{_SIGN}"
+P, B = (1 << 31) - 1, 1_000_003
 ROWS_PER_BUCKET = 1000
 MAX_BUCKETS = 1 << 15
+SAMPLE = 20
 _LAST = (1 << 31) - 1
 
 
@@ -34,29 +44,52 @@ def gram_hash(entry: Column) -> Column:
     return F.shiftright(entry, 31)
 
 
+def _rolling(units: Column, k: int) -> Column:
+    """The hash of every run of ``k`` of the numbers ``units``, by doubling the runs' length."""
+    if k == 1:
+        return units
+    half = k // 2
+    factor = pow(B, half, P)
+    doubled = let(
+        _rolling(units, half),
+        lambda h: F.transform(
+            F.sequence(F.lit(0), F.size(h) - half - 1),
+            lambda i: (F.get(h, i) * factor + F.get(h, i + half)) % P,
+        ),
+    )
+    if k % 2 == 0:
+        return doubled
+    return let(
+        doubled,
+        lambda h: F.transform(
+            F.sequence(F.lit(0), F.size(h) - 2),
+            lambda i: (F.get(h, i) * B + F.get(units, i + k - 1)) % P,
+        ),
+    )
+
+
 def with_fingerprint(df: DataFrame, text: Column, to: str) -> DataFrame:
     """``df`` with the entries selected from ``text`` as the array ``to``, in order of position.
 
-    A text of fewer than ``K`` units has one entry, for all of them; one without units (null, empty,
-    only marks) has none. Each step is a column of its own, so that it is computed once for a row.
+    A text of fewer than ``K`` units has one entry, for all of them; one of other characters only has one
+    for the text as it is; a null or empty one has none. Each step is a column of its own, so that it is
+    computed once for a row.
     """
     units, entries = unused(df.columns, f"_{to}_units"), unused(df.columns, f"_{to}_entries")
     found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(UNIT), F.lit(0))
-    df = df.withColumn(units, F.transform(found, lambda u: F.xxhash64(u)))
+    df = df.withColumn(units, F.transform(found, lambda u: F.pmod(F.xxhash64(u), F.lit(P))))
     u, e = F.col(units), F.col(entries)
 
     def entry(hashed: Column, at: Column) -> Column:
-        return F.shiftleft(F.shiftrightunsigned(hashed, 32), 31) + (F.lit(_LAST) - at)
+        return F.shiftleft(hashed, 31) + (F.lit(_LAST) - at)
 
-    grams = F.transform(
-        F.sequence(F.lit(0), F.size(u) - K),
-        lambda i: entry(F.xxhash64(*[F.get(u, i + j) for j in range(K)]), i),
-    )
-    whole = F.array(entry(F.xxhash64(F.array_join(u.cast("array<string>"), " ")), F.lit(0)))
+    grams = let(_rolling(u, K), lambda hashed: F.transform(hashed, entry))
+    whole = F.array_join(u.cast("array<string>"), " ")
+    one = F.when(F.size(u) > 0, whole).otherwise(text)
     df = df.withColumn(
         entries,
         F.when(F.size(u) >= K, grams)
-        .when(F.size(u) > 0, whole)
+        .when(F.length(text) > 0, F.array(entry(F.pmod(F.xxhash64(one), F.lit(P)), F.lit(0))))
         .otherwise(F.array().cast("array<bigint>")),
     )
     minima = F.transform(
@@ -110,6 +143,23 @@ def _bucket(value: Column, bounds: list) -> Column:
     return F.when(value.isNull(), -1).otherwise(F.aggregate(steps, start, step, lambda s: s["low"]))
 
 
+def _bounds(ids: DataFrame, n: int) -> list:
+    """At most ``n - 1`` ids that part all of them in ``n`` about equal ranges, whatever their type.
+
+    Numbers by their quantiles, other types by those of the ``SAMPLE`` ids a range of least hash.
+    """
+    if n < 2:
+        return []
+    if isinstance(ids.schema["id"].dataType, T.NumericType):
+        marks = [k / n for k in range(1, n)]
+        found = ids.agg(F.percentile_approx("id", marks, F.lit(max(10_000, 20 * n)))).first()[0]
+        return sorted(set(found or []))
+    few = ids.filter("id is not null").orderBy(F.xxhash64("id"), "id").limit(SAMPLE * n)
+    ranges = few.withColumn("range", F.ntile(n).over(Window.orderBy("id")))
+    least = ranges.filter("range > 1").groupBy("range").agg(F.min("id").alias("id"))
+    return sorted({r.id for r in least.collect()})
+
+
 def with_next(docs: DataFrame, id_column: str, text_column: str, to: str) -> tuple[DataFrame, Window]:
     """``docs`` with the text of the next row in descending id added, after the last the first.
 
@@ -121,12 +171,7 @@ def with_next(docs: DataFrame, id_column: str, text_column: str, to: str) -> tup
     spark, identity = docs.sparkSession, F.col(f"`{id_column}`")
     rows = docs.select(identity.alias("id")).agg(F.count("*").alias("n")).first()["n"]
     n = min(max(rows // ROWS_PER_BUCKET, 1), MAX_BUCKETS)
-    marks = [k / n for k in range(1, n)]
-    bounds = []
-    if marks:
-        accuracy = F.lit(max(10_000, 20 * n))
-        found = docs.agg(F.percentile_approx(identity, marks, accuracy)).first()[0]
-        bounds = sorted(set(found or []))
+    bounds = _bounds(docs.select(identity.alias("id")), n)
     bucket = _bucket(identity, bounds)
     heads = docs.select(bucket.alias("bucket"), identity.alias("id")).groupBy("bucket").agg(F.max("id").alias("id"))
     order = sorted(heads.collect(), key=lambda r: -r.bucket)  # at most MAX_BUCKETS + 1 rows

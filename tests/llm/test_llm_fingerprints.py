@@ -8,32 +8,37 @@ from pyspark.sql import functions as F
 from packetlens.llm import fingerprints as fp
 
 
-def signed(x):
-    return x - (1 << 64) if x >> 63 else x
-
-
 def hash_text(text):
-    return xxhash.xxh64(text.encode(), seed=42).intdigest()
-
-
-def hash_longs(values):
-    seed = 42
-    for v in values:
-        seed = xxhash.xxh64((v & (1 << 64) - 1).to_bytes(8, "little"), seed=seed).intdigest()
-    return seed
+    hashed = xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return (hashed - (1 << 64) if hashed >> 63 else hashed) % fp.P
 
 
 def units(text):
     runs = re.findall(r"[^\W_]+", (text or "").lower())
-    return [r[i : i + 8] for r in runs for i in range(0, len(r), 8)]
+    return [u for r in runs for u in ([r] if len(r) <= fp.LONG else r)]
+
+
+def rolled(u):
+    """Hashes of all runs of K numbers, each from the one before it."""
+    value = 0
+    for x in u[: fp.K]:
+        value = (value * fp.B + x) % fp.P
+    found = [value]
+    for gone, new in zip(u, u[fp.K :]):
+        value = ((value - gone * pow(fp.B, fp.K - 1, fp.P)) * fp.B + new) % fp.P
+        found.append(value)
+    return found
 
 
 def winnow(text):
+    text = text or ""
     u = [hash_text(x) for x in units(text)]
     if len(u) >= fp.K:
-        grams = [(hash_longs(u[i : i + fp.K]) >> 32, i) for i in range(len(u) - fp.K + 1)]
+        grams = [(h, i) for i, h in enumerate(rolled(u))]
+    elif u:
+        grams = [(hash_text(" ".join(map(str, u))), 0)]
     else:
-        grams = [(hash_text(" ".join(str(signed(x)) for x in u)) >> 32, 0)] if u else []
+        grams = [(hash_text(text), 0)] if text else []
     chosen = []
     for i in range(max(len(grams) - fp.W + 1, min(len(grams), 1))):
         window = grams[i : i + fp.W]
@@ -98,6 +103,42 @@ def test_match_guarantee(docs):
     assert all(a & b for a in sets for b in sets)
 
 
+@pytest.mark.parametrize("k", [1, 2, 4, 5, 7, 8])
+def test_rolling_hash_of_any_length(spark, k, monkeypatch):
+    monkeypatch.setattr(fp, "K", k)
+    rng = random.Random(k)
+    u = [rng.randrange(fp.P) for _ in range(60)]
+    (row,) = spark.createDataFrame([(u,)], "u array<bigint>").select(fp._rolling(F.col("u"), k).alias("h")).collect()
+    assert row.h == rolled(u)
+
+
+@pytest.mark.parametrize("signs", ["".join(map(chr, range(0x4E00, 0x5000))), "abcXYZ0189KLMpqr"])
+def test_shifted_text_without_spaces(docs, signs):
+    rng = random.Random(11)
+    run = "".join(rng.choice(signs) for _ in range(4000))
+    for ahead in range(1, 8):
+        table = docs((2, run), (1, run[:ahead] + run))
+        near = {r.doc_id: r.near_next for r in fp.edited_fingerprints(table).collect()}
+        assert near[2] > 0.98
+
+
+def test_texts_of_marks_only(docs):
+    got = fp.edited_fingerprints(docs((4, "?!"), (3, "..."), (2, "..."), (1, ""))).collect()
+    assert {r.doc_id: r.near_next for r in got} == {4: 0.0, 3: 1.0, 2: 0.0, 1: 0.0}
+
+
+def test_ids_of_text(spark, monkeypatch):
+    monkeypatch.setattr(fp, "ROWS_PER_BUCKET", 5)
+    rows = [(f"d{i * 37 % 100:02d}", f"text number {i} of {i * i}") for i in range(100)] + [(None, "no id")]
+    got = fp.edited_fingerprints(spark.createDataFrame(rows, "doc_id string, text string")).collect()
+    order = sorted(rows[:-1], reverse=True) + rows[-1:]
+    after = {a: b[1] for (a, _), b in zip(order, order[1:] + order[:1])}
+    texts = dict(rows)
+    for r in got:
+        third = len(texts[r.doc_id]) // 3
+        assert r.edited == texts[r.doc_id][: len(texts[r.doc_id]) - third] + after[r.doc_id][:third]
+
+
 def test_empty_and_single(docs):
     assert fp.edited_fingerprints(docs()).collect() == []
     (row,) = fp.edited_fingerprints(docs((5, "abcdef"))).collect()

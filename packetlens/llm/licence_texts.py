@@ -1,6 +1,6 @@
-"""Opening paragraphs and short notices of widely used licences, by family."""
+"""Paragraphs, headers and short notices of widely used licences, by family."""
 
-# Public licence wordings. A paragraph of each licence that names or opens it.
+# Public licence wordings. Paragraphs and headers of each licence.
 TEMPLATES = {
     "mit": [
         "Released under the MIT License.",
@@ -14,6 +14,11 @@ TEMPLATES = {
         " Software is furnished to do so, subject to the following conditions:",
         "The above copyright notice and this permission notice shall be included in all copies or"
         " substantial portions of the Software.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING"
+        " BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND"
+        " NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,"
+        " DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,"
+        " OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     ],
     "apache": [
         "Licensed under the Apache License, Version 2.0.",
@@ -24,6 +29,8 @@ TEMPLATES = {
         "Unless required by applicable law or agreed to in writing, software distributed under the"
         " License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND,"
         " either express or implied.",
+        "See the License for the specific language governing permissions and limitations under the"
+        " License.",
     ],
     "gpl": [
         "This work is licensed under the GNU General Public License, version 3.",
@@ -34,6 +41,9 @@ TEMPLATES = {
         " the License, or (at your option) any later version.",
         "You should have received a copy of the GNU General Public License along with this program. If"
         " not, see https://www.gnu.org/licenses/.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"
+        " without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See"
+        " the GNU General Public License for more details.",
     ],
     "lgpl": [
         "Licensed under the GNU Lesser General Public License, version 2.1.",
@@ -41,10 +51,21 @@ TEMPLATES = {
         "This library is free software; you can redistribute it and/or modify it under the terms of the"
         " GNU Lesser General Public License as published by the Free Software Foundation; either"
         " version 2.1 of the License, or (at your option) any later version.",
+        "This library is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"
+        " without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See"
+        " the GNU Lesser General Public License for more details.",
+        "You should have received a copy of the GNU Lesser General Public License along with this"
+        " library; if not, write to the Free Software Foundation.",
     ],
     "agpl": [
         "Licensed under the GNU Affero General Public License, version 3.",
         "SPDX-License-Identifier: AGPL-3.0-only",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the"
+        " GNU Affero General Public License as published by the Free Software Foundation, either version"
+        " 3 of the License, or (at your option) any later version.",
+        "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY;"
+        " without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See"
+        " the GNU Affero General Public License for more details.",
         "You should have received a copy of the GNU Affero General Public License along with this"
         " program.",
     ],
@@ -56,6 +77,17 @@ TEMPLATES = {
         " provided that the following conditions are met:",
         "Redistributions of source code must retain the above copyright notice, this list of conditions"
         " and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions"
+        " and the following disclaimer in the documentation and/or other materials provided with the"
+        " distribution.",
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse"
+        " or promote products derived from this software without specific prior written permission.",
+        "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR"
+        " IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND"
+        " FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR"
+        " CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR"
+        " CONSEQUENTIAL DAMAGES HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, EVEN IF ADVISED OF THE"
+        " POSSIBILITY OF SUCH DAMAGE.",
     ],
     "mpl": [
         "Licensed under the Mozilla Public License, version 2.0.",
@@ -70,6 +102,8 @@ TEMPLATES = {
         "Permission to use, copy, modify, and/or distribute this software for any purpose with or"
         " without fee is hereby granted, provided that the above copyright notice and this permission"
         " notice appear in all copies.",
+        "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS"
+        " SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS.",
     ],
     "cc-by": [
         "Licensed under CC BY 4.0.",

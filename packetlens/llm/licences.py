@@ -1,13 +1,16 @@
 """Licence scan: a paragraph classifier over word n-grams, confirmed against licence templates.
 
-A sparse multinomial logistic regression over words and word pairs gives each paragraph (line) a
-licence family, "unknown" for licence-like text of no known family, or "none". Its terms are those of
+A sparse multinomial logistic regression over words and word pairs gives each paragraph a licence family, "unknown" for licence-like text of no known family, or "none". Its terms are those of
 the templates. It is fitted on the templates, varied by dropped words, and on paragraphs of a bounded number of
 documents that share no word triple with a template. Probabilities are calibrated on variants and
 paragraphs kept back: a temperature of least log loss, then the least probability at which families
 are right often enough. Below it a paragraph is unknown. A predicted family is confirmed if enough of
 the paragraph's word triples are the family's, or enough of one of its templates' are the paragraph's.
 
+A paragraph is a run of lines of which each but the last is wrapped: it has a word, ends no sentence and
+is followed by a line with a word. A wrapped notice is so judged as a whole, and a notice of one line
+between other lines for itself.
+
 Everything on the path from documents to results is DataFrame functions and Spark ML's transformers.
 """
 
@@ -32,6 +35,8 @@ PRECISION = 0.99
 CONFIRM = 0.5
 NONE, UNKNOWN = "none", "unknown"
 CLASSES = [NONE, UNKNOWN, *TEMPLATES]
+_HAS_WORD = r"[\p{L}\p{N}]"
+_SENTENCE_END = r"[.!?:][^\p{L}\p{N}]*$"
 _WORD = r"[\p{L}\p{N}]+(?:[.+-][\p{L}\p{N}]+)*"
 
 
@@ -91,12 +96,32 @@ def _variants(spark: SparkSession) -> DataFrame:
 
 
 def _paragraphs(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """``(id, paragraph, text, words)`` of every line that has a word."""
+    """``(id, paragraph, text, words)`` of every paragraph that has a word; its place is its first line's."""
     lines = docs.select(
-        F.col(f"`{id_column}`").alias("id"),
-        F.posexplode(F.split(F.col(f"`{text_column}`"), r"\n")).alias("paragraph", "text"),
+        F.col(f"`{id_column}`").alias("id"), F.split(F.col(f"`{text_column}`"), r"\n").alias("lines")
+    )
+
+    def line(i: Column) -> Column:
+        return F.get(F.col("lines"), i)
+
+    wrapped = F.transform("lines", lambda x: x.rlike(_HAS_WORD) & ~x.rlike(_SENTENCE_END))
+    starts = let(
+        wrapped,
+        lambda w: F.filter(
+            F.sequence(F.lit(0), F.size("lines") - 1),
+            lambda i: (i == 0) | ~F.get(w, i - 1) | ~line(i).rlike(_HAS_WORD),
+        ),
+    )
+    parted = lines.withColumn("starts", starts)
+    after = lambda k: F.coalesce(F.get(F.col("starts"), k + 1), F.size("lines"))
+    joined = F.transform(
+        "starts",
+        lambda s, k: F.struct(
+            s.alias("paragraph"), F.array_join(F.slice("lines", s + 1, after(k) - s), " ").alias("text")
+        ),
     )
-    return lines.withColumn("words", words_of(F.col("text"))).filter(F.size("words") > 0)
+    paragraphs = parted.select("id", F.inline(joined))
+    return paragraphs.withColumn("words", words_of(F.col("text"))).filter(F.size("words") > 0)
 
 
 def _negatives(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
@@ -181,7 +206,7 @@ def scan(
 ) -> DataFrame:
     """One row per paragraph that is not "none": id, paragraph, family, confidence, similarity, confirmed, words.
 
-    Paragraphs are lines, numbered from 0 over all lines of the text. ``family`` is "unknown" where no
+    ``paragraph`` is the number of a paragraph's first line, from 0 over all lines of the text. ``family`` is "unknown" where no
     family is likely enough. ``similarity`` is the larger of the share of the paragraph's word triples
     that the family's templates have, and the share of a template's that the paragraph has; of
     unknown paragraphs it is null, and they are not confirmed. Null and empty texts have no rows;

@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from packetlens.llm import licences
@@ -48,6 +50,72 @@ def test_notices_are_found_and_prose_is_not(docs, fitted):
     assert not got
 
 
+HEADER = """    This {0} is free software{1} you can redistribute it and/or modify
+    it under the terms of the GNU {2} as published by
+    the Free Software Foundation{3} either version {4} of the License, or
+    (at your option) any later version.
+
+    This {0} is distributed in the hope that it will be useful,
+    but WITHOUT ANY WARRANTY; without even the implied warranty of
+    MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE.  See the
+    GNU {2} for more details.
+"""
+WRAPPED = {
+    "gpl": HEADER.format("program", ":", "General Public License", ",", "3"),
+    "lgpl": HEADER.format("library", ";", "Lesser General Public License", ";", "2.1"),
+    "agpl": HEADER.format("program", ":", "Affero General Public License", ",", "3"),
+    "mit": """/*
+ * Permission is hereby granted, free of charge, to any person obtaining a copy
+ * of this software and associated documentation files (the "Software"), to deal
+ * in the Software without restriction, including without limitation the rights
+ * to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+ * copies of the Software, and to permit persons to whom the Software is
+ * furnished to do so, subject to the following conditions:
+ *
+ * THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+ * IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+ * FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+ * AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+ * LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+ * OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+ * SOFTWARE.
+ */""",
+}
+
+
+def test_wrapped_headers_and_disclaimers(docs, fitted):
+    families = list(WRAPPED)
+    rows = [(i, PROSE[0] + "\n\n" + WRAPPED[f] + "\n" + PROSE[1]) for i, f in enumerate(families)]
+    got = {}
+    for r in licences.scan(docs(*rows), fitted).collect():
+        got.setdefault(families[r.doc_id], []).append((r.paragraph, r.family, r.confirmed))
+    places = {f: (3, 10) if f == "mit" else (2, 7) for f in families}
+    assert {f: sorted(g) for f, g in got.items()} == {f: [(p, f, True) for p in places[f]] for f in families}
+
+
+def brute_paragraphs(text):
+    found, open_ = [], False
+    for i, line in enumerate((text or "").split("\n")):
+        has_word = any(c.isalnum() for c in line)
+        if open_ and has_word:
+            found[-1][1] += " " + line
+        else:
+            found.append([i, line])
+        signs = [c for c in line if c.isalnum() or c in ".!?:"]
+        open_ = has_word and signs[-1] not in ".!?:"
+    return [(i, t) for i, t in found if any(c.isalnum() for c in t)]
+
+
+def test_paragraphs_equal_brute_force(docs):
+    rng = random.Random(8)
+    parts = ["a", "bc", ".", ":", " ", "\n", "\n", "\n\n", "\r\n", '"', "é", "7", ";", "!)"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(40))) for _ in range(300)]
+    rows = [*enumerate(texts), (999, None), (1000, "\n"), (1001, "no end")]
+    got = licences._paragraphs(docs(*rows), "doc_id", "text").collect()
+    want = [(i, p, t) for i, text in rows for p, t in brute_paragraphs(text)]
+    assert sorted((r.id, r.paragraph, r.text) for r in got) == sorted(want)
+
+
 def test_probabilities_are_shares(spark, docs, fitted):
     assert 0 < fitted.temperature <= 4 and 0.4 <= fitted.least < 1
     assert licences.scan(docs(), fitted).collect() == []

@@ -1,24 +1,26 @@
 """Sliding-window rates and alerts that reset their counter when they fire.
 
 Packets are first summed per sensor and microsecond, with map-side partial sums. All later steps see
-one row per instant, so a burst, however large, is one row, and a block of time holds at most as many
-rows as it has microseconds.
+one row per instant, so a burst, however large, is one row. Blocks of time are the groups of the running
+sums, which Spark sorts and spills; for the steps below each block is cut into parts of ``PART`` instants
+at most, so that a group that pandas sees is bounded however dense its sensor is.
 
 An alert fires at the j-th event of its sensor when events j-K..j lie within the window and at least
 K+1 events came since the last alert. Whether the first condition holds is local to a window, but the
 second couples the whole session. It is resolved in three steps that never put a session's events into
 one task:
 
-1. per time block: where the next alert may start on leaving the block, for each of the K+1 possible
-   states on entering it (``_block_table``);
-2. tables of consecutive blocks are composed to those of longer spans, and the states on entry are
-   handed down from span to block, so that no group grows with the session (``_chain_blocks``);
-3. per time block: the alerts, now that the state on entry is known (``_block_alerts``).
+1. per part: where the next alert may start on leaving it, for each of the K+1 possible states on
+   entering it (``_part_table``);
+2. tables of consecutive parts are composed to those of blocks and longer spans, and the states on
+   entry are handed down from span to part, so that no group grows with the session (``_chain_parts``);
+3. per part: the alerts, now that the state on entry is known (``_part_alerts``).
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 from functools import reduce
 from typing import Any
 
@@ -54,6 +56,7 @@ _KEY = "kind string, sensor string"
 _SECOND = 1_000_000
 _BLOCK = 10 * _SECOND
 _CHUNK = 10_000
+PART = 100_000  # instants of a block that one group holds
 FAN, LEVELS = 256, 2  # blocks composed to one, and how often: 7.6 days at blocks of 10 seconds
 
 
@@ -132,11 +135,16 @@ def _is_tail(us: Column) -> Column:
     return _within(us) >= F.col("width") - F.col("window")
 
 
+def _parts(limits: dict[str, tuple[int, int]]) -> int:
+    """The most parts that a block of any kind can have: it has no more instants than microseconds."""
+    return max(-(-_width(window_us) // PART) for window_us, _ in limits.values())
+
+
 def _positions(points: DataFrame) -> DataFrame:
     """Per instant of ``_counted`` points: events up to and with it (``upto``) and before its window
-    starts (``before``).
+    starts (``before``), and its place among the block's instants (``place``, from 0).
 
-    Both count from one window before the block, whose rows are copied into the block as context. So
+    Events count from one window before the block, whose rows are copied into the block as context. So
     are ``old`` points, which have been through before. A running sum replaces a sliding frame, which would read every window anew.
     """
     us, n, window_us = F.col("event_us"), F.col("n"), F.col("window")
@@ -156,16 +164,19 @@ def _positions(points: DataFrame) -> DataFrame:
         *KEY, F.inline(F.when(_is_tail(us), F.array(*own, context)).otherwise(F.array(*own)))
     )
     order = Window.partitionBy(*KEY, "block").orderBy("at", "is_event")
-    running = F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, 0))
+    up_to_here = order.rowsBetween(Window.unboundedPreceding, 0)
     is_event = F.col("is_event") == 1
+    owned = F.col("event_us").isNotNull()
     return (
-        rows.withColumn("running", running)
-        .filter(F.col("event_us").isNotNull())
+        rows.withColumn("running", F.sum("n").over(up_to_here))
+        .withColumn("instants", F.count_if(is_event & owned).over(up_to_here))
+        .filter(owned)
         .groupBy(*KEY, "block", "event_us")
         .agg(
             F.max(F.when(is_event, F.col("n"))).alias("n"),
             F.max(F.when(is_event, F.col("running"))).alias("upto"),
             F.max(F.when(~is_event, F.col("running"))).alias("before"),
+            F.max(F.when(is_event, F.col("instants") - 1)).alias("place"),
         )
     )
 
@@ -208,16 +219,16 @@ def _table(lo: np.ndarray, hi: np.ndarray, k: int) -> np.ndarray:
 Thresholds = dict[str, int]
 
 
-def _block_table(ks: Thresholds):
+def _part_table(ks: Thresholds):
     def table(key: tuple[Any, ...], candidates: pd.DataFrame) -> pd.DataFrame:
-        kind, sensor, block = key
+        kind, sensor, node = key
         candidates = candidates.sort_values("lo")
         lo, hi = candidates["lo"].to_numpy(), candidates["hi"].to_numpy()
         out = _table(lo, hi, ks[kind])
         if (out == out[0]).all():
             out = out[:1]
         return pd.DataFrame(
-            {"kind": [kind], "sensor": [sensor], "block": [block], "first": [lo[0]], "out": [out]}
+            {"kind": [kind], "sensor": [sensor], "node": [node], "first": [lo[0]], "out": [out]}
         )
 
     return table
@@ -236,7 +247,7 @@ def _leave(state: np.ndarray, first: int, out: np.ndarray, k: int) -> np.ndarray
 
 
 def _composed(ks: Thresholds):
-    """The table of ``FAN`` nodes in a row, from theirs."""
+    """The table of some nodes in a row, from theirs."""
 
     def compose(key: tuple[Any, ...], nodes: pd.DataFrame) -> pd.DataFrame:
         kind, sensor, node = key
@@ -277,28 +288,27 @@ def _entered(ks: Thresholds):
     return enter
 
 
-def _chain_blocks(blocks: DataFrame, ks: Thresholds, before: DataFrame) -> DataFrame:
-    """``(*KEY, node, start, allowed)`` of blocks from ``(*KEY, node, total, first, out)``.
+def _chain_parts(parts: DataFrame, ks: Thresholds, before: DataFrame, fans: Sequence[int]) -> DataFrame:
+    """``(*KEY, node, start, allowed)`` of parts from ``(*KEY, node, total, first, out)``.
 
-    ``before`` has ``(*KEY, start, allowed)`` of sensors that had packets before these blocks.
+    ``before`` has ``(*KEY, start, allowed)`` of sensors that had packets before these parts.
 
-    Tables of consecutive blocks are composed ``LEVELS`` times, ``FAN`` to one, and then the entries
-    are handed down again, so no group has more rows than ``FAN`` but the topmost, which has a row
-    for every ``FAN ** LEVELS`` blocks of a sensor's session.
+    Tables of consecutive nodes are composed, as many to one as ``fans`` says for each level, and then
+    the entries are handed down again, so no group has more rows than that but the topmost.
     """
     kinds = f"{_KEY}, node bigint, total bigint, first bigint, out array<bigint>"
     entries = f"{_KEY}, node bigint, start bigint, allowed bigint"
-    levels = [blocks]
-    for _ in range(LEVELS):
-        above = levels[-1].groupBy(*KEY, F.floor(F.col("node") / FAN).alias("node"))
+    levels = [parts]
+    for fan in fans:
+        above = levels[-1].groupBy(*KEY, F.floor(F.col("node") / fan).alias("node"))
         levels.append(above.applyInPandas(_composed(ks), kinds))
     enter = _entered(ks)
     top = levels.pop().groupBy(*KEY).cogroup(before.groupBy(*KEY))
     entered = top.applyInPandas(lambda key, own, parent: enter(key, own, parent), entries)
-    for nodes in reversed(levels):
+    for nodes, fan in zip(reversed(levels), reversed(fans)):
         parents = entered.withColumnRenamed("node", "parent")
         entered = (
-            nodes.withColumn("parent", F.floor(F.col("node") / FAN))
+            nodes.withColumn("parent", F.floor(F.col("node") / fan))
             .groupBy(*KEY, "parent")
             .cogroup(parents.groupBy(*KEY, "parent"))
             .applyInPandas(lambda key, own, parent: enter(key, own, parent), entries)
@@ -306,7 +316,7 @@ def _chain_blocks(blocks: DataFrame, ks: Thresholds, before: DataFrame) -> DataF
     return entered
 
 
-def _block_alerts(ks: Thresholds):
+def _part_alerts(ks: Thresholds):
     def alerts(
         key: tuple[Any, ...], candidates: pd.DataFrame, start: pd.DataFrame
     ) -> pd.DataFrame:
@@ -354,59 +364,58 @@ def expand_alerts(fired: DataFrame, ks: Thresholds) -> DataFrame:
     )
 
 
-def _fired(points: DataFrame, ks: Thresholds, entered: DataFrame) -> DataFrame:
+def _fired(
+    points: DataFrame, limits: dict[str, tuple[int, int]], entered: DataFrame, levels: int = LEVELS
+) -> DataFrame:
     """``(*KEY, event_us, first_rn, fired)`` of ``_counted`` points.
 
     ``entered`` has ``(*KEY, start, allowed)``: events before the first point, and the least that may fire.
+    Blocks are composed ``levels`` times, after their parts.
     """
+    ks = {kind: k for kind, (_, k) in limits.items()}
     n, upto, before = F.col("n"), F.col("upto"), F.col("before")
     step = _of_kind({kind: k + 1 for kind, k in ks.items()})
-    candidates = (
-        _positions(points)
-        .select(
-            *KEY, "block", "event_us",
+    parts = _parts(limits)
+    # Written once: three steps read it, and the running sums are the costly one.
+    placed = materialize(
+        _positions(points).select(
+            *KEY,
+            (F.col("block") * parts + F.floor(F.col("place") / PART)).alias("node"),
+            "event_us", "n", "upto",
             F.greatest(upto - n + 1, before + step).alias("lo"), upto.alias("hi"),
-        )
-        .filter("lo <= hi")
+        ),
+        "alert-positions",
     )
-    tables = candidates.groupBy(*KEY, "block").applyInPandas(
-        _block_table(ks), f"{_KEY}, block bigint, first bigint, out array<bigint>"
-    )
-    us = F.col("event_us")
-    in_tail = F.when(_is_tail(us), n).otherwise(0)
-    totals = points.groupBy(*KEY, _block(us).alias("block")).agg(
-        F.sum("n").alias("total"), F.sum(in_tail).alias("tail")
-    )
-    # Blocks count from the rows of the block before that were copied into them.
-    copied = totals.select(*KEY, (F.col("block") + 1).alias("block"), F.col("tail").alias("copied"))
-    blocks = materialize(
-        totals.join(tables, [*KEY, "block"], "left")
-        .join(copied, [*KEY, "block"], "left")
-        .withColumn("copied", F.coalesce("copied", F.lit(0))),
-        "alert-blocks",
+    candidates = placed.filter("lo <= hi").select(*KEY, "node", "event_us", "lo", "hi")
+    tables = candidates.groupBy(*KEY, "node").applyInPandas(
+        _part_table(ks), f"{_KEY}, node bigint, first bigint, out array<bigint>"
     )
-    chained = _chain_blocks(
-        blocks.select(
+    # ``copied``: events before the part that its positions count, of its block and of context.
+    totals = placed.groupBy(*KEY, "node").agg(F.sum("n").alias("total"), F.min(upto - n).alias("copied"))
+    nodes = materialize(totals.join(tables, [*KEY, "node"], "left"), "alert-parts")
+    chained = _chain_parts(
+        nodes.select(
             *KEY,
-            F.col("block").alias("node"),
+            "node",
             "total",
             (F.col("first") - F.col("copied")).alias("first"),
             F.transform("out", lambda x: x - F.col("copied")).alias("out"),
         ),
         ks,
         entered,
+        [parts, *[FAN] * levels],
     )
     starts = (
-        blocks.filter("first is not null")
-        .select(*KEY, "block", "copied")
-        .join(chained.withColumnRenamed("node", "block"), [*KEY, "block"])
+        nodes.filter("first is not null")
+        .select(*KEY, "node", "copied")
+        .join(chained, [*KEY, "node"])
         .withColumn("base", F.col("start") - F.col("copied"))
-        .select(*KEY, "block", "base", (F.col("allowed") - F.col("base")).alias("allowed"))
+        .select(*KEY, "node", "base", (F.col("allowed") - F.col("base")).alias("allowed"))
     )
     return (
-        candidates.groupBy(*KEY, "block")
-        .cogroup(starts.groupBy(*KEY, "block"))
-        .applyInPandas(_block_alerts(ks), f"{_KEY}, event_us bigint, first_rn bigint, fired bigint")
+        candidates.groupBy(*KEY, "node")
+        .cogroup(starts.groupBy(*KEY, "node"))
+        .applyInPandas(_part_alerts(ks), f"{_KEY}, event_us bigint, first_rn bigint, fired bigint")
     )
 
 
@@ -416,7 +425,7 @@ def find_alerts(points: DataFrame, limits: dict[str, tuple[int, int]] | None = N
     limits = limits or alert_limits()
     ks = {kind: k for kind, (_, k) in limits.items()}
     nothing = points.sparkSession.createDataFrame([], f"{_KEY}, start bigint, allowed bigint")
-    return expand_alerts(_fired(_counted(points, limits).filter("n > 0"), ks, nothing), ks)
+    return expand_alerts(_fired(_counted(points, limits).filter("n > 0"), limits, nothing), ks)
 
 
 def advance_alerts(
@@ -437,9 +446,9 @@ def advance_alerts(
         sizes = {kind: w if column == "window" else _width(w) for kind, (w, _) in limits.items()}
         tail = tail.withColumn(column, _of_kind(sizes).cast("bigint"))
     both = own.unionByName(tail)
-    in_tail = F.aggregate("tail", F.lit(0).cast("bigint"), lambda total, one: total + one["n"])
-    entered = carried.select(*KEY, (F.col("seen") - in_tail).alias("start"), "allowed")
-    fired = materialize(_fired(both, ks, entered), "fired")
+    entered = carried.select(*KEY, F.col("seen").alias("start"), "allowed")
+    # A micro-batch has few blocks, and each level costs it two more steps.
+    fired = materialize(_fired(both, limits, entered, levels=LEVELS - 1), "fired")
 
     step = _of_kind({kind: k + 1 for kind, k in ks.items()})
     latest = F.row_number().over(Window.partitionBy(*KEY).orderBy(F.desc("event_us")))

@@ -100,6 +100,31 @@ def test_block_tables_compose_over_levels(spark, monkeypatch, fan):
     assert alerts_of(spark, rows, limits) == expected(rows, limits)
 
 
+def test_a_dense_block_is_cut_into_parts_of_equal_count(spark, monkeypatch):
+    groups = []
+    monkeypatch.setattr(A, "PART", 250)
+    table = A._part_table
+
+    def counting(ks):
+        groups.append(table(ks))
+
+        def run(key, candidates):
+            assert len(candidates) <= 250
+            return table(ks)(key, candidates)
+
+        return run
+
+    monkeypatch.setattr(A, "_part_table", counting)
+    rng = random.Random(9)
+    limits = {"anomaly": (4_000, 5), "traffic": (1_000_000, 40)}
+    # A burst of some thousand instants within one block of 10 s, and a quiet sensor beside it.
+    rows = [("burst", 1_700_000_000_000_000 + 977 * i, int(rng.random() < 0.8)) for i in range(6_000)]
+    rows += [("burst", 1_700_000_060_000_000 + 1_000_000 * i, 1) for i in range(20)]
+    rows += [("quiet", 1_700_000_000_000_000 + 400_000 * i, 1) for i in range(60)]
+    got = alerts_of(spark, rows, limits)
+    assert got == expected(rows, limits) and len(got["traffic"]) > 100 and groups
+
+
 def test_dense_session_over_many_blocks(spark):
     # Every event is a candidate, so the phase set at the start holds to the end.
     rows = [("s", 7_000 * i, 1) for i in range(30_000)]

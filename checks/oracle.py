@@ -285,5 +285,10 @@ from (select *, frame_len > 1200 and is_anomaly <> 1 as h from ({_ANALYZED}))"""
     "report_tables": f"""
 select attack_type, count(*) as packets, round(100.0 * count(*) / sum(count(*)) over (), 1) as percent
 from ({_REPORT}) group by 1""",
+    "results_by_day": f"""
+select event_id, cast(cast(make_timestamp(greatest(event_us, 0)) as date) as varchar) as capture_date, is_anomaly, attack_type from ({_REPORT})""",
+    "results_daily": f"""
+select cast(cast(make_timestamp(greatest(event_us, 0)) as date) as varchar) as capture_date, count(*) as packets,
+  count(*) filter (is_anomaly = 1) as anomalies from ({_REPORT}) group by 1""",
     "results_json": f"select event_id, ip_src, is_anomaly, attack_type from ({_REPORT})",
 }

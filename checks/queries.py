@@ -20,7 +20,7 @@ from packetlens.operators import (
     rules,
     sampling,
 )
-from packetlens.plans import analysis, reporting, training
+from packetlens.plans import analysis, reporting, results, training
 from packetlens.sources import flows as flow_source
 from packetlens.sources import packets as source
 from packetlens.plans.ledger import write_ledger
@@ -605,6 +605,33 @@ def report_tables(spark, sf):
     return spark.read.parquet(paths["attack_share"])
 
 
+def _result_table(spark: SparkSession, sf: str) -> str:
+    """The result table after a run on flagged packets, one on all, and one on those of the last day again."""
+    table, packets = new_folder(spark, "by-day"), _results(spark, sf)
+    day = results.capture_day()
+    last = packets.agg(F.max(day)).first()[0]
+    for part in (packets.filter("is_anomaly = 1"), packets, packets.filter(day == F.lit(last))):
+        reporting.generate_report(
+            part, new_folder(spark, "report"), order=["event_us", "event_id"], results=table
+        )
+    return table
+
+
+@query
+def results_by_day(spark, sf):
+    """Runs that replace days leave each packet once, under its day."""
+    packets = results.read_results(spark, _result_table(spark, sf))
+    day = F.col("capture_date").cast("string").alias("capture_date")
+    return packets.select("event_id", day, "is_anomaly", "attack_type")
+
+
+@query
+def results_daily(spark, sf):
+    """Packets and anomalies of each day, from the manifests of the runs."""
+    counts = results.daily_counts(spark, _result_table(spark, sf))
+    return counts.withColumn("capture_date", F.col("capture_date").cast("string"))
+
+
 @query
 def results_json(spark, sf):
     path = reporting.results_to_json(_results(spark, sf), new_folder(spark, "results"))

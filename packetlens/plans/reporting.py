@@ -12,7 +12,8 @@ from pyspark.sql import functions as F
 
 from ..operators import report
 from ..sources.schemas import path_exists, require_rows
-from ..sources.workspace import materialize
+from ..sources.workspace import job_workspace, materialize
+from .results import run_results, write_results
 
 # Capture names of columns that carry another name inside Spark.
 SINK_NAMES = {"ip_src": "ip.src", "ip_dst": "ip.dst"}
@@ -26,11 +27,12 @@ def sink_names(df: DataFrame) -> DataFrame:
 def results_to_json(df: DataFrame, path: str) -> str:
     """One JSON record per packet under ``path``/data and the totals under ``path``/summary."""
     prepared = report.prepare_report(df)
-    # Computed once into a columnar table, of which the counts read two columns.
-    table = materialize(prepared, "results")
-    require_rows(table, "write results")
-    sink_names(table).write.option("ignoreNullFields", False).json(f"{path}/data")
-    _write_summary(report.outcome_counts(table), f"{path}/summary")
+    with job_workspace(df.sparkSession):
+        # Computed once into a columnar table, of which the counts read two columns.
+        table = materialize(prepared, "results")
+        require_rows(table, "write results")
+        sink_names(table).write.option("ignoreNullFields", False).json(f"{path}/data")
+        _write_summary(report.outcome_counts(table), f"{path}/summary")
     return path
 
 
@@ -72,19 +74,28 @@ def report_of_counts(counts: DataFrame, first: DataFrame, base: str) -> dict[str
     return _write_tables(counts, first, _report_folder(counts, base))
 
 
-def generate_report(df: DataFrame, base: str, order: Sequence[str] = ()) -> dict[str, str]:
+def generate_report(
+    df: DataFrame, base: str, order: Sequence[str] = (), results: str | None = None
+) -> dict[str, str]:
     """Write the report tables under ``base``/YYYY-MM-DD_HH-MM-SS and return their paths.
 
     ``data`` is columnar, so the counts read two columns of it back; they are then a few rows.
-    ``order`` names the columns whose order defines the previewed first rows.
+    ``order`` names the columns whose order defines the previewed first rows. With ``results`` the
+    packets replace their days of the result table there instead (``write_results``), and the paths
+    have its ``results`` and the name of the ``run`` in place of ``data``.
     """
-    run = _report_folder(df, base)
+    spark, folder = df.sparkSession, _report_folder(df, base)
     prepared = report.prepare_report(df)
     require_rows(prepared, "generate a report")
-    prepared.write.parquet(f"{run}/data")
-    data = df.sparkSession.read.schema(prepared.schema).parquet(f"{run}/data")
+    if results:
+        run = write_results(prepared, results)
+        written, where = run_results(spark, results, run), {"results": results, "run": run}
+    else:
+        prepared.write.parquet(f"{folder}/data")
+        written, where = spark.read.schema(prepared.schema).parquet(f"{folder}/data"), {"data": f"{folder}/data"}
+    data = written.select(*[f"`{c}`" for c in prepared.columns])
     first = report.preview(data, [c for c in order or data.columns if c in data.columns])
-    return _write_tables(report.outcome_counts(data), first, run) | {"data": f"{run}/data"}
+    return _write_tables(report.outcome_counts(data), first, folder) | where
 
 
 def read_summary(spark, path: str) -> dict:

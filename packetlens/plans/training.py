@@ -16,7 +16,7 @@ from ..operators.sampling import (
 )
 from ..sources.flows import CSV_NAMES, read_flows
 from ..sources.schemas import write_feature_schema
-from ..sources.workspace import materialize
+from ..sources.workspace import job_workspace, materialize
 from .ledger import write_ledger
 
 ROW_ID = "_row"
@@ -50,7 +50,32 @@ def train(
     The table is written once with row numbers, so that the several passes below read columns of a
     fixed table and draw the same rows whatever happens to executors meanwhile. The detector learns
     from all normal rows, or ``max_normal`` of them, or from all rows with ``detector_rows="all"``.
+    Intermediate tables are deleted when the job ends, or fails.
     """
+    paths = {
+        "detector": f"{model_base}/isolation_forest",
+        "classifier": f"{model_base}/attack_classifier",
+        "schema": f"{model_base}/features",
+    }
+    with job_workspace(table.sparkSession):
+        _fit_both(
+            table, features, paths, max_normal, max_labelled, detector_rows, detector_trees,
+            classifier_trees, max_depth,
+        )
+    return paths
+
+
+def _fit_both(
+    table: DataFrame,
+    features: Sequence[str],
+    paths: dict[str, str],
+    max_normal: int | None,
+    max_labelled: int,
+    detector_rows: str,
+    detector_trees: int,
+    classifier_trees: int,
+    max_depth: int,
+) -> None:
     spark = table.sparkSession
     rows = materialize(
         table.select(*features, "attack_type").withColumn(ROW_ID, F.monotonically_increasing_id()),
@@ -68,11 +93,6 @@ def train(
     detector = iforest.fit_isolation_forest(
         base, features, [ROW_ID], trees=detector_trees, max_rows=most
     )
-    paths = {
-        "detector": f"{model_base}/isolation_forest",
-        "classifier": f"{model_base}/attack_classifier",
-        "schema": f"{model_base}/features",
-    }
     detector.save(spark, paths["detector"])
     classify.fit_classifier(
         labelled,
@@ -82,7 +102,6 @@ def train(
         max_depth=max_depth,
     )
     write_feature_schema(spark, features, paths["schema"])
-    return paths
 
 
 def train_from_flows(spark: SparkSession, folder: str, model_base: str, **options) -> dict[str, str]:

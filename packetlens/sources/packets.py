@@ -90,17 +90,22 @@ def first_occurrence(packets: DataFrame, columns: Sequence[str]) -> DataFrame:
     return packets.withColumns({c: F.split(F.col(c), ",", 2)[0] for c in columns})
 
 
-def web_traffic(packets: DataFrame, predicate: str | None = None) -> DataFrame:
-    """IPv4 packets with TCP port 80 or 443 at either end, or those of another SQL predicate."""
-    if predicate:
-        return packets.filter(predicate)
-    require_columns(packets, ["ip_src", "ip_proto", "tcp_srcport", "tcp_dstport"])
+def is_web_packet() -> Column:
+    """Whether a packet is IPv4 with TCP port 80 or 443 at either end; jobs take it as ``predicate``."""
     ports = [
         number_or_zero(F.col(c).cast("string")).isin([float(p) for p in WEB_PORTS])
         for c in ("tcp_srcport", "tcp_dstport")
     ]
     is_tcp = number_or_zero(F.col("ip_proto").cast("string")) == TCP
-    return packets.filter((F.col("ip_src") != "") & is_tcp & (ports[0] | ports[1]))
+    return (F.col("ip_src") != "") & is_tcp & (ports[0] | ports[1])
+
+
+def web_traffic(packets: DataFrame, predicate: str | None = None) -> DataFrame:
+    """Packets that ``is_web_packet``, or those of another SQL predicate."""
+    if predicate:
+        return packets.filter(predicate)
+    require_columns(packets, ["ip_src", "ip_proto", "tcp_srcport", "tcp_dstport"])
+    return packets.filter(is_web_packet())
 
 
 def capture_window(packets: DataFrame, seconds: float | None) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 from ..operators.alerts import ALERT_SCHEMA, CARRIED_SCHEMA, advance_alerts, alert_limits, sensor_name
-from ..sources.workspace import materialize, path_exists
+from ..sources.workspace import job_workspace, materialize, path_exists
 
 INSTANT_SCHEMA = "sensor string, event_us bigint, packets bigint, anomalies bigint, late boolean"
 MAX_AHEAD_SECONDS = 60
@@ -164,10 +164,11 @@ def follow_alerts(
         closed = session.read.schema(INSTANT_SCHEMA).parquet(here).filter("not late")
         if closed.isEmpty():
             return
-        found, state = advance_alerts(closed, _carried(session, paths["alert_state"], number), limits)
-        found.write.mode("overwrite").parquet(f"{paths['alerts']}/batch={number}")
-        # Last: with it the batch counts as done for the batches after it.
-        state.write.mode("overwrite").parquet(f"{paths['alert_state']}/batch={number}")
+        with job_workspace(session):
+            found, state = advance_alerts(closed, _carried(session, paths["alert_state"], number), limits)
+            found.write.mode("overwrite").parquet(f"{paths['alerts']}/batch={number}")
+            # Last: with it the batch counts as done for the batches after it.
+            state.write.mode("overwrite").parquet(f"{paths['alert_state']}/batch={number}")
 
     with _state_store(spark):
         writer = points.writeStream.option("checkpointLocation", f"{paths['instants']}_checkpoint")
@@ -192,8 +193,9 @@ def close_alerts(
     """Alerts in open blocks after a run, as batch -1 of the table, and the whole table."""
     limits = dict(limits or alert_limits())
     carried = _carried(spark, paths["alert_state"], 1 << 60)
-    found, _ = advance_alerts(open_instants(spark, paths), carried, limits)
-    found.write.mode("overwrite").parquet(f"{paths['alerts']}/batch={OPEN_BATCH}")
+    with job_workspace(spark):
+        found, _ = advance_alerts(open_instants(spark, paths), carried, limits)
+        found.write.mode("overwrite").parquet(f"{paths['alerts']}/batch={OPEN_BATCH}")
     return alerts_table(spark, paths)
 
 

@@ -22,6 +22,7 @@ from ..operators.report import event_lines, outcome_counts, prepare_report, prev
 from ..operators.rules import flag_large_frames
 from ..plans.analysis import analyze_packets
 from ..plans.reporting import report_of_counts
+from ..plans.results import DAY, capture_day
 from ..sources.packets import parse_packets, rejected_lines, stream_lines
 from .alerts import close_alerts, follow_alerts, stream_instants
 
@@ -34,11 +35,11 @@ def stream_packets(
     folder: str,
     fields: Sequence[str] | None = None,
     max_files: int | None = None,
-    predicate: str | None = None,
+    predicate: str | Column | None = None,
 ) -> DataFrame:
     """Packets of a folder that capture exports keep arriving in."""
     packets = parse_packets(stream_lines(spark, folder, max_files), fields)
-    return packets.filter(predicate) if predicate else packets
+    return packets if predicate is None else packets.filter(predicate)
 
 
 def stream_rejects(
@@ -117,11 +118,12 @@ def progress_marks(counts: DataFrame, every: int = PROGRESS_ROWS) -> DataFrame:
     return reached.select("batch", F.explode(marks).alias("mark"))
 
 
-def append_table(df: DataFrame, path: str, trigger: dict) -> StreamingQuery:
-    """Start an append-only parquet query with its checkpoint beside the table."""
+def append_table(df: DataFrame, path: str, trigger: dict, by: Sequence[str] = ()) -> StreamingQuery:
+    """Start an append-only parquet query with its checkpoint beside the table, in folders by ``by``."""
     return (
         df.writeStream.format("parquet")
         .outputMode("append")
+        .partitionBy(*by)
         .option("path", path)
         .option("checkpointLocation", f"{path}_checkpoint")
         .trigger(**trigger)
@@ -129,8 +131,17 @@ def append_table(df: DataFrame, path: str, trigger: dict) -> StreamingQuery:
     )
 
 
+def _append_results(results: DataFrame, path: str, trigger: dict, by_day: bool) -> StreamingQuery:
+    """The results table; with ``by_day`` in a folder for each day of capture, which is a further column."""
+    counted = with_progress(results)
+    if not by_day:
+        return append_table(counted, path, trigger)
+    return append_table(counted.withColumn(DAY, capture_day()), path, trigger, by=[DAY])
+
+
 def _stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
-    return spark.readStream.schema(schema).parquet(path)
+    """The rows that arrive in a table, by the columns of ``schema``."""
+    return spark.readStream.schema(schema).parquet(path).select(*[f"`{c}`" for c in schema.names])
 
 
 def run_realtime(
@@ -146,14 +157,16 @@ def run_realtime(
     sensor: Column | None = None,
     report_base: str | None = None,
     fields: Sequence[str] | None = None,
-    predicate: str | None = None,
+    predicate: str | Column | None = None,
     time: Column | None = None,
+    by_day: bool = False,
 ) -> dict[str, str]:
     """Process what has arrived in ``source`` to the end, and report when there are rows.
 
     Lines of another width than ``fields`` go to the table ``rejects``. Alerts take in all packets,
     those in blocks of time that are still open too. A later run on the same ``base`` goes on where
-    this one ended, with packets of the same blocks as well. ``start_realtime`` is the same chain
+    this one ended, with packets of the same blocks as well. ``predicate`` is SQL or a column such as
+    ``is_web_packet()``; ``by_day`` puts results in folders by day of capture. ``start_realtime`` is the same chain
     without an end.
     """
     if isinstance(detector, str):
@@ -165,7 +178,7 @@ def run_realtime(
 
     packets = stream_packets(spark, source, fields, max_files, predicate)
     results = realtime_results(packets, detector, classifier, schema)
-    append_table(with_progress(results), paths["results"], once).awaitTermination()
+    _append_results(results, paths["results"], once, by_day).awaitTermination()
     rejects = stream_rejects(spark, source, fields, max_files)
     append_table(rejects, paths["rejects"], once).awaitTermination()
 
@@ -229,15 +242,16 @@ def start_realtime(
     interval: str = "10 seconds",
     sensor: Column | None = None,
     fields: Sequence[str] | None = None,
-    predicate: str | None = None,
+    predicate: str | Column | None = None,
     time: Column | None = None,
+    by_day: bool = False,
 ) -> list[StreamingQuery]:
     """Start the whole chain with a processing-time trigger and return its queries."""
     trigger = {"processingTime": interval}
     paths = {name: f"{base}/{name}" for name in TABLES}
     packets = stream_packets(spark, source, fields, predicate=predicate)
     results = realtime_results(packets, detector, classifier, schema)
-    first = append_table(with_progress(results), paths["results"], trigger)
+    first = _append_results(results, paths["results"], trigger, by_day)
     rejects = append_table(stream_rejects(spark, source, fields), paths["rejects"], trigger)
     rest = start_followers(
         spark, results.schema, paths, trigger, limits, delay_seconds, sensor, time=time

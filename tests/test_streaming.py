@@ -10,7 +10,7 @@ from packetlens.operators import alerts as A
 from packetlens.operators import report as R
 from packetlens.plans import analysis
 from packetlens.sources import packets as P
-from packetlens.sources.schemas import PACKET_FEATURES
+from packetlens.sources.schemas import PACKET_FEATURES, PACKET_FIELDS
 from packetlens.streaming import alerts as SA
 from packetlens.streaming import realtime as RT
 
@@ -69,6 +69,24 @@ def test_realtime_job_equals_batch(spark, source, tmp_path):
     assert lines.filter("line not like '% | [ANOMALY] %'").count() == 0
 
 
+def test_realtime_job_takes_the_web_predicate_and_writes_by_day(spark, tmp_path):
+    folder, day = tmp_path / "in", 86_400
+    folder.mkdir()
+    rows = [(0, 6, 80, 5000), (day, 6, 6000, 443), (day + 1, 6, 22, 5000), (day + 2, 17, 443, 443), (day + 3, 6, 443, 1)]
+    text = [f"10.0.0.1\t10.1.0.1\t1400\t{1_700_006_400 + t}\t0x0002\t{p}\t{a}\t{b}" for t, p, a, b in rows]
+    (folder / "a.tsv").write_text("\n".join(text) + "\n")
+    paths = RT.run_realtime(
+        spark, str(folder), str(tmp_path / "rt"), frozen_forest(), FlagClassifier(), limits=LIMITS,
+        fields=[*PACKET_FIELDS, "tcp.srcport", "tcp.dstport"], predicate=P.is_web_packet(), by_day=True,
+        report_base=str(tmp_path / "reports"),
+    )
+    days = spark.read.parquet(paths["results"]).groupBy("capture_date").count()
+    assert sorted((str(r.capture_date), r["count"]) for r in days.collect()) == [("2023-11-15", 1), ("2023-11-16", 2)]
+    assert {n for n in os.listdir(paths["results"]) if "=" in n} == {"capture_date=2023-11-15", "capture_date=2023-11-16"}
+    assert "capture_date" not in spark.read.parquet(paths["preview"]).columns
+    assert spark.read.parquet(paths["traffic"]).first().total_packets == 3
+
+
 def test_empty_source_makes_no_report(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "x.tsv").write_text("\nbroken\n")

@@ -1,7 +1,7 @@
 """Shards of equal size in uniformly random order, by a hypergeometric communication matrix.
 
-1. Rows are numbered and written once, dealt to ``partitions`` source partitions by a hash of their
-   number, and counted.
+1. Rows are numbered and written once, dealt to source partitions by a hash of their number, and
+   counted. There are more partitions with more rows, so that none outgrows a task.
 2. A matrix says how many rows each partition sends to each shard. Its row sums are the partitions'
    counts, its column sums the shards' exact sizes, and it is drawn as a uniformly random
    permutation of all rows would make it: the counts of one half of the partitions are multivariate
@@ -26,8 +26,10 @@ from ..sources.workspace import materialize
 from .frames import let, unused
 
 SHARDS = 16
-PARTITIONS = 128
+PARTITIONS = 128  # at least
+ROWS_PER_PARTITION = 1_000_000
 ROWS_PER_BUCKET = 100_000
+BROADCAST_BYTES = 64 << 20  # a larger matrix is joined by shuffle
 
 _HALF_LOG_TAU = 0.9189385332046727
 
@@ -180,10 +182,15 @@ def communication_matrix(counts: DataFrame, shards: int, partitions: int, seed:
     return level.select((F.col("node") - partitions).cast("int").alias("part"), "needs")
 
 
+def source_partitions(rows: int) -> int:
+    """How many source partitions so many rows are dealt to: a power of two."""
+    return max(PARTITIONS, 1 << max(-(-rows // ROWS_PER_PARTITION) - 1, 0).bit_length())
+
+
 def shard(
     df: DataFrame,
     shards: int = SHARDS,
-    partitions: int = PARTITIONS,
+    partitions: int | None = None,
     seed: int = 0,
     shard_column: str = "shard",
     slot_column: str = "slot",
@@ -194,12 +201,14 @@ def shard(
     shard without gaps. Every assignment of rows to places is equally likely over seeds. Rows that
     are equal in all columns, nulls included, get places of their own. An empty table stays empty.
     If ``df`` already has a column of an added name, the added one gets underscores in front.
+    ``partitions`` is a power of two, by default ``source_partitions`` of the number of rows.
     """
     shard_column = unused(df.columns, shard_column)
     slot_column = unused(df.columns, slot_column)
     row = unused(df.columns, "_row")
     # Rows are numbered once and written, so that equal rows differ and every pass sees the same.
     rows = materialize(df.withColumn(row, F.monotonically_increasing_id()), "rows")
+    partitions = partitions or source_partitions(rows.count())
     places = _places(rows.select(F.col(row).alias("row")), shards, partitions, seed)
     places = places.toDF(row, shard_column, slot_column)
     return rows.join(places, row).select(*[f"`{c}`" for c in df.columns], shard_column, slot_column)
@@ -226,8 +235,10 @@ def _places(rows: DataFrame, shards: int, partitions: int, seed: int) -> DataFra
     )
     buckets = max(int(total // (shards * ROWS_PER_BUCKET)), 1) * 4
     mark = F.xxhash64(F.lit(seed), F.lit("slot"), "row")
+    if 8 * partitions * shards <= BROADCAST_BYTES:  # ``partitions`` rows of ``shards`` numbers
+        matrix = F.broadcast(matrix)
     sent = (
-        rows.join(F.broadcast(matrix), "part")  # ``partitions`` rows of ``shards`` numbers
+        rows.join(matrix, "part")
         .withColumn("order", F.row_number().over(local).cast("bigint"))
         .select(
             "row",

@@ -49,6 +49,24 @@ def placed(df, seed):
     return {(r.shard, r.slot): r.k for r in sharding.shard(df, 4, 8, seed).collect()}
 
 
+def test_partitions_grow_with_the_rows(spark, monkeypatch):
+    assert [sharding.source_partitions(n) for n in (0, 1, 128_000_000, 128_000_001, 10**11)] == [128, 128, 128, 256, 131072]
+    drawn, matrix = [], sharding.communication_matrix
+    monkeypatch.setattr(sharding, "PARTITIONS", 2)
+    monkeypatch.setattr(sharding, "ROWS_PER_PARTITION", 10)
+    monkeypatch.setattr(sharding, "BROADCAST_BYTES", 0)
+    monkeypatch.setattr(
+        sharding, "communication_matrix", lambda *args: drawn.append(args[2]) or matrix(*args)
+    )
+    for n, partitions in ((15, 2), (77, 8)):
+        df = spark.range(n).withColumnRenamed("id", "k")
+        rows = [(r.shard, r.slot, r.k) for r in sharding.shard(df, 4).collect()]
+        assert drawn.pop() == partitions and sorted(r[2] for r in rows) == list(range(n))
+        sizes = Counter(r[0] for r in rows)
+        assert max(sizes.values()) - min(sizes.values()) <= 1
+        assert sorted(r[:2] for r in rows) == sorted((s, i) for s in sizes for i in range(sizes[s]))
+
+
 def test_every_place_is_equally_likely(spark):
     df = spark.range(10).withColumnRenamed("id", "k")
     seen = defaultdict(Counter)

@@ -7,6 +7,7 @@ predict every row or need the input split in two, and so read and scored twice.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 from typing import Protocol
@@ -33,6 +34,8 @@ MAX_DEPTH = 30
 MAX_BINS = 64
 # Statistics of the nodes that one pass over the rows splits.
 PASS_MB = 1024
+# Rows of a training partition at most, on average: some 2 KB each with 150 trees, read on every pass.
+PARTITION_ROWS = 100_000
 # Levels of a tree between two checkpoints of the rows' nodes.
 CHECKPOINT_LEVELS = 10
 
@@ -198,7 +201,8 @@ def fit_classifier(
     """Fit on labelled rows and save under ``path``; classes are in alphabetical order.
 
     Each row keeps the node it has reached in every tree, so that deep trees are not sent with every
-    task; these are checkpointed, as a lost executor would else repeat all levels.
+    task; these are checkpointed, as a lost executor would else repeat all levels. A task holds these
+    of its partition, so partitions follow the number of rows.
     """
     spark, features = df.sparkSession, list(features)
     checkpoint_folder(spark)
@@ -209,7 +213,8 @@ def fit_classifier(
         *[F.col(f"`{c}`").cast("double").alias(n) for c, n in zip(features, names)],
     )
     # Training makes several passes: write its input once instead of computing it for each.
-    inputs = materialize(inputs.repartition(spark.sparkContext.defaultParallelism), "labelled")
+    inputs = materialize(inputs, "labelled")
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(inputs.count() / PARTITION_ROWS))
     indexer = StringIndexer(inputCol="_label", outputCol="label", stringOrderType="alphabetAsc")
     indexed = indexer.fit(inputs)
     vectors = VectorAssembler(inputCols=names, outputCol="features").transform(
@@ -225,7 +230,7 @@ def fit_classifier(
         cacheNodeIds=True,
         checkpointInterval=CHECKPOINT_LEVELS,
         maxMemoryInMB=pass_mb,
-    ).fit(vectors.select("label", "features"))
+    ).fit(vectors.select("label", "features").repartition(parts))
     return _saved(
         spark, model, features, list(indexed.labels), path or new_folder(spark, "classifier")
     )

@@ -136,3 +136,18 @@ def test_other_inputs_than_trained_on(table, model):
         for names in (["x", "y"], ["y", "x"])
     )
     assert a.exceptAll(b).count() == 0
+
+
+def test_training_partitions_follow_the_rows(table, tmp_path, monkeypatch):
+    seen = []
+
+    class Counting(C.RandomForestClassifier):
+        def fit(self, dataset):
+            seen.append([len(part) for part in dataset.rdd.glom().collect()])
+            return super().fit(dataset)
+
+    monkeypatch.setattr(C, "RandomForestClassifier", Counting)
+    monkeypatch.setattr(C, "PARTITION_ROWS", 50, raising=False)
+    fitted = C.fit_classifier(table, FEATURES, path=str(tmp_path / "m"), trees=3, max_depth=3)
+    assert fitted.labels == ["BruteForce", "DoS", "PortScan"]
+    assert len(seen[0]) == 30 and sum(seen[0]) == 1500 and max(seen[0]) <= 60

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
@@ -127,13 +127,15 @@ def _raw_flow_folder(spark: SparkSession, sf: str) -> str:
         cells = [F.coalesce(F.col(f"`{n}`").cast("string"), F.lit("")) for n in names]
         lines = rows.filter(F.col("odd") == odd).select(F.concat_ws(",", *cells).alias("value"))
 
-        def headed(batches, header=header):
-            first = pd.DataFrame({"value": [header]})
+        def with_header(batches, header=header):
+            headed = False
             for batch in batches:
-                yield batch if first is None else pd.concat([first, batch])
-                first = None
+                if not headed:
+                    yield pa.RecordBatch.from_arrays([pa.array([header], batch.schema[0].type)], schema=batch.schema)
+                yield batch
+                headed = True
 
-        lines.mapInPandas(headed, "value string").write.mode("append").text(folder)
+        lines.mapInArrow(with_header, "value string").write.mode("append").text(folder)
     return folder
 
 

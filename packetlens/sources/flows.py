@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import csv
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import to_number
@@ -36,6 +36,9 @@ def distinct_header(names: list[str]) -> list[str]:
     return result
 
 
+# Rows in which a column may show that it is text, before the pass over all rows.
+FIRST_ROWS = 1000
+
 # Files of a folder that are read as CSV.
 CSV_NAMES = "*.csv"
 
@@ -97,22 +100,27 @@ def read_flow_text(spark: SparkSession, folder: str, pattern: str = CSV_NAMES) -
     return union_by_name(frames)
 
 
+def _not_numbers(text: DataFrame, cells: dict[str, Column]) -> set[str]:
+    """Which of ``cells`` have a value in ``text`` that is not a number, by one aggregate pass."""
+    if not cells:
+        return set()
+    bad = [F.count_if(c.isNotNull() & to_number(c).isNull()) for c in cells.values()]
+    wrong = text.agg(*[n.alias(f"c{i}") for i, n in enumerate(bad)]).first()
+    return {name for name, count in zip(cells, wrong) if count}
+
+
 def type_flows(text: DataFrame) -> DataFrame:
     """Null texts to null; columns whose every value is a number to DOUBLE.
 
-    One aggregate pass over the text counts, per column, values that are not numbers.
+    One aggregate pass over the text counts, per column, values that are not numbers. Columns that
+    have one in the first rows are text whatever follows, so the pass does not read them.
     """
-    names = text.columns
-    cells = [F.when(~F.col(f"`{n}`").isin(NULL_TEXTS), F.col(f"`{n}`")) for n in names]
-    bad = [
-        F.count_if(c.isNotNull() & to_number(c).isNull()).alias(f"c{i}")
-        for i, c in enumerate(cells)
-    ]
-    wrong = text.agg(*bad).first()
-    typed = [
-        (to_number(c) if wrong[i] == 0 else c).alias(n) for i, (n, c) in enumerate(zip(names, cells))
-    ]
-    return text.select(*typed)
+    cells = {n: F.when(~F.col(f"`{n}`").isin(NULL_TEXTS), F.col(f"`{n}`")) for n in text.columns}
+    words = _not_numbers(text.limit(FIRST_ROWS), cells)
+    words |= _not_numbers(text, {n: c for n, c in cells.items() if n not in words})
+    # All are numbers now, which the cast alone reads but for odd ends of infinities.
+    numbers = {n: F.coalesce(c.try_cast("double"), to_number(c)) for n, c in cells.items()}
+    return text.select(*[(c if n in words else numbers[n]).alias(n) for n, c in cells.items()])
 
 
 def read_flows(spark: SparkSession, folder: str, pattern: str = CSV_NAMES) -> DataFrame:

@@ -104,6 +104,27 @@ def test_no_csv_and_bad_folder(spark, tmp_path):
         S.read_flows(spark, "")
 
 
+def test_typed_cells_are_read_once(spark, tmp_path):
+    write(tmp_path, "a.csv", "x,y,Label\n1, 2e1 ,A\n-Infinity,.5,B\n,1e999,C\ninf\u2028,-7.,D\n")
+    table = S.read_flows(spark, str(tmp_path))
+    got = {r.Label: (r.x, r.y) for r in table.collect()}
+    assert got == {"A": (1.0, 20.0), "B": (-math.inf, 0.5), "C": (None, math.inf), "D": (math.inf, -7.0)}
+    cleaned = O.clean_flows(O.normalize_columns(table))
+    assert [r.label for r in cleaned.collect()] == ["A"]
+    # Two patterns a column at most, in the filter and in the projection.
+    plan = cleaned._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") <= 2 * 2 * 2
+
+
+def test_a_column_known_as_text_is_not_read_again(spark, monkeypatch):
+    table = spark.createDataFrame([("a", "1", "1"), ("b", "2", "z")], "t string, n string, late string").coalesce(1)
+    asked, found = [], S._not_numbers
+    monkeypatch.setattr(S, "_not_numbers", lambda text, cells: (asked.append([*cells]), found(text, cells))[1])
+    monkeypatch.setattr(S, "FIRST_ROWS", 1)
+    assert dict(S.type_flows(table).dtypes) == {"t": "string", "n": "double", "late": "string"}
+    assert asked == [["t", "n", "late"], ["n", "late"]]
+
+
 def test_clean_counts_and_drops(spark):
     rows = [
         ("a", 1.0, "x"), ("b", math.inf, "x"), ("c", -math.inf, "x"), ("d", math.nan, "x"),

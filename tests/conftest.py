@@ -15,6 +15,8 @@ def spark():
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "4g")
         .config("spark.sql.session.timeZone", "UTC")
+        # Plans show whole paths, however long the temporary folder's is.
+        .config("spark.sql.maxMetadataStringLength", "1000")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -609,7 +609,8 @@ def report_tables(spark, sf):
 
 def _result_table(spark: SparkSession, sf: str) -> str:
     """The result table after a run on flagged packets, one on all, and one on those of the last day again."""
-    table, packets = new_folder(spark, "by-day"), _results(spark, sf)
+    # Analyzed once for the three runs, each of which reads its packets several times.
+    table, packets = new_folder(spark, "by-day"), materialize(_results(spark, sf), "analyzed")
     day = results.capture_day()
     last = packets.agg(F.max(day)).first()[0]
     for part in (packets.filter("is_anomaly = 1"), packets, packets.filter(day == F.lit(last))):

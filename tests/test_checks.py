@@ -63,3 +63,17 @@ def test_jobs_ask_for_full_forests(spark, monkeypatch, name):
     with pytest.raises(Asked) as found:
         QUERIES[name](spark, SF)
     assert found.value.args == (150, 30)
+
+
+def test_result_runs_read_packets_that_are_already_analyzed(spark, monkeypatch):
+    from checks import queries
+
+    plans = []
+
+    def seen(df, *args, **options):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+
+    monkeypatch.setattr(queries.reporting, "generate_report", seen)
+    queries._result_table(spark, SF)
+    # Neither the capture lines nor the models come again.
+    assert len(plans) == 3 and not any("RLIKE" in plan or "EvalPython" in plan for plan in plans)

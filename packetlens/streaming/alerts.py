@@ -30,9 +30,12 @@ MAX_AHEAD_SECONDS = 60
 # Length of a block of time, and the keys that its instants are dealt to.
 BLOCK_SECONDS = 30
 SHARES = 4
+# Instants of one entry of a key's state at most: what arrives at once is one entry, not one for each instant.
+ENTRY_INSTANTS = 10_000
 OPEN_BATCH = -1
 
-_SUMS = "event_us bigint, packets bigint, anomalies bigint"
+_SUMS = ("event_us", "packets", "anomalies")
+_ENTRY = ", ".join(f"{c} array<bigint>" for c in _SUMS)
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -55,6 +58,15 @@ def _summed(rows: pd.DataFrame) -> pd.DataFrame:
     return rows.groupby("event_us", as_index=False)[["packets", "anomalies"]].sum()
 
 
+def _entries(sums: pd.DataFrame) -> list[tuple[list[int], ...]]:
+    """Instants as entries of the state: their columns as arrays, cut to ``ENTRY_INSTANTS``."""
+    columns = [sums[c].astype("int64") for c in _SUMS]
+    return [
+        tuple(c.iloc[at : at + ENTRY_INSTANTS].tolist() for c in columns)
+        for at in range(0, len(sums), ENTRY_INSTANTS)
+    ]
+
+
 class BlockProcessor(StatefulProcessor):
     """Holds the instants of one block and sensor until the watermark reaches the block's end."""
 
@@ -63,7 +75,7 @@ class BlockProcessor(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.instants = handle.getListState("instants", _SUMS)
+        self.instants = handle.getListState("instants", _ENTRY)
 
     def _sent(self, sensor: str, sums: pd.DataFrame, late: bool) -> pd.DataFrame:
         sums = sums.astype("int64")
@@ -77,14 +89,14 @@ class BlockProcessor(StatefulProcessor):
         if timerValues.getCurrentWatermarkInMs() >= end_ms:
             yield self._sent(sensor, sums, True)
         else:
-            self.instants.appendList([tuple(map(int, row)) for row in sums.itertuples(index=False)])
+            self.instants.appendList(_entries(sums))
             self.handle.registerTimer(end_ms)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        held = pd.DataFrame(list(self.instants.get()), columns=["event_us", "packets", "anomalies"])
+        held = [pd.DataFrame(dict(zip(_SUMS, entry))) for entry in self.instants.get()]
         self.instants.clear()
-        if len(held):
-            yield self._sent(key[0], _summed(held), False)
+        if held:
+            yield self._sent(key[0], _summed(pd.concat(held)), False)
 
     def close(self) -> None:
         pass
@@ -180,7 +192,8 @@ def open_instants(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
     with _state_store(spark):
         state = spark.read.format("statestore").option("stateVarName", "instants")
         rows = state.load(f"{paths['instants']}_checkpoint")
-        held = rows.select(F.col("key.sensor").alias("sensor"), F.col("list_element.*"))
+        entry = F.arrays_zip(*[F.col(f"list_element.{c}").alias(c) for c in _SUMS])
+        held = rows.select(F.col("key.sensor").alias("sensor"), F.inline(entry))
         sums = held.groupBy("sensor", "event_us").agg(
             F.sum("packets").alias("packets"), F.sum("anomalies").alias("anomalies")
         )

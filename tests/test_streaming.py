@@ -2,6 +2,7 @@ import os
 import random
 import time
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -179,6 +180,28 @@ def test_one_sensor_and_block_are_many_keys(spark, tmp_path):
     assert len(keys) >= 2 * SA.SHARES and max(r["count"] for r in keys) < 2000 / SA.SHARES
 
 
+def test_what_arrives_at_once_is_one_entry_of_its_key(spark, tmp_path):
+    folder, paths = tmp_path / "in", alert_paths(tmp_path)
+    folder.mkdir()
+    capture(folder / "a.tsv", 1_700_000_000, 2000)
+    follow(spark, flagged(spark, str(folder), 10), paths, delay="1000 seconds")
+    state = spark.read.format("statestore").option("stateVarName", "instants")
+    with SA._state_store(spark):
+        keys = state.load(f"{paths['instants']}_checkpoint").groupBy("key").count().collect()
+    assert {r["count"] for r in keys} == {1}
+    columns = ["sensor", "event_us", "packets", "anomalies"]
+    want = A.instants(flagged(spark, str(folder))).select(*columns).collect()
+    assert sorted(SA.open_instants(spark, paths).select(*columns).collect()) == sorted(want)
+
+
+def test_entries_are_cut_to_size(monkeypatch):
+    monkeypatch.setattr(SA, "ENTRY_INSTANTS", 10)
+    sums = pd.DataFrame({"event_us": range(25), "packets": 1, "anomalies": range(25)})
+    entries = SA._entries(sums)
+    assert [len(us) for us, _, _ in entries] == [10, 10, 5]
+    assert entries[2] == ([*range(20, 25)], [1] * 5, [*range(20, 25)])
+
+
 def test_arrival_time_instead_of_capture_time(spark, source, tmp_path):
     paths = alert_paths(tmp_path)
     follow(spark, flagged(spark, source, 10), paths, time=F.current_timestamp())

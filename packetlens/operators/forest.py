@@ -24,14 +24,21 @@ class Forest:
             "value": np.asarray(value, dtype=np.float64),
             "depth": np.asarray(depth, dtype=np.int64),
         }
-        at = np.arange(len(feature))
-        leaf = self.parts["left"] < 0
+        # In the order of places the two children of a node are neighbours, right before left.
+        left, right = self.parts["left"], self.parts["right"]
         self.roots = self.parts["roots"]
-        self.feature = np.where(leaf, 0, self.parts["feature"])
-        self.threshold = np.where(leaf, np.inf, self.parts["threshold"])
-        children = [np.where(leaf, at, self.parts[side]) for side in ("right", "left")]
-        self.children = np.stack(children, axis=1).ravel()
-        self.value = self.parts["value"]
+        inner = np.flatnonzero(left >= 0)
+        place = np.full(len(left), -1)
+        place[self.roots] = np.arange(len(self.roots))
+        place[right[inner]] = len(self.roots) + 2 * np.arange(len(inner))
+        place[left[inner]] = place[right[inner]] + 1
+        order = np.argsort(place)
+        leaf = left[order] < 0
+        self.child = np.where(leaf, np.arange(len(order)), place[right[order]])
+        self.feature = np.where(leaf, 0, self.parts["feature"][order])
+        # Nothing is below NaN, so that a row stays in its leaf.
+        self.threshold = np.where(leaf, np.nan, self.parts["threshold"][order])
+        self.value = self.parts["value"][order]
         self.levels = np.maximum.reduceat(self.parts["depth"], self.roots)
 
     def total(self, rows: np.ndarray) -> np.ndarray:
@@ -40,12 +47,21 @@ class Forest:
             return np.zeros((0, self.value.shape[1]))
         rows, back = np.unique(rows + 0.0, axis=0, return_inverse=True)
         flat = np.ascontiguousarray(rows).ravel()
-        start = np.arange(len(rows)) * rows.shape[1]
-        result = np.zeros((len(rows), self.value.shape[1]))
-        for root, levels in zip(self.roots, self.levels):
-            node = np.full(len(rows), root)
+        n = len(rows)
+        start = np.arange(n) * rows.shape[1]
+        result = np.zeros((n, self.value.shape[1]))
+        # The same arrays for every level: a walk is a few passes over the batch, and new ones would cost more.
+        at, node, below = np.empty(n, np.intp), np.empty(n, np.intp), np.empty(n, bool)
+        x, bound = np.empty(n), np.empty(n)
+        for place, levels in enumerate(self.levels):
+            node.fill(place)
             for _ in range(levels):
-                x = flat.take(start + self.feature.take(node))
-                node = self.children.take(2 * node + (x <= self.threshold.take(node)))
+                self.feature.take(node, out=at, mode="clip")
+                at += start
+                flat.take(at, out=x, mode="clip")
+                self.threshold.take(node, out=bound, mode="clip")
+                np.less_equal(x, bound, out=below)
+                self.child.take(node, out=at, mode="clip")
+                np.add(at, below, out=node)
             result += self.value.take(node, axis=0)
         return result[back.reshape(-1)]

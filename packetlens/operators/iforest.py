@@ -233,10 +233,11 @@ def fit_isolation_forest(
     def row_hash(tree: Column) -> Column:
         return F.pmod(F.xxhash64(*key, tree, F.lit(seed)), F.lit(_HASH_RANGE))
 
-    numbers = F.sequence(F.lit(0), F.lit(trees - 1))
+    # A filter on exploded trees is compiled; one on an array of them would be interpreted for each row and tree.
+    tried = df.withColumn("tree", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))))
     if share < 1:
-        numbers = F.filter(numbers, lambda t: row_hash(t) < int(share * _HASH_RANGE))
-    drawn = df.withColumn("tree", F.explode(numbers)).select(
+        tried = tried.filter(row_hash(F.col("tree")) < int(share * _HASH_RANGE))
+    drawn = tried.select(
         *[F.col(f"`{c}`").cast("double").alias(c) for c in features],
         "tree",
         row_hash(F.col("tree")).alias("_hash"),

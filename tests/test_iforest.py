@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from checks.models import frozen_forest
 from packetlens.operators import iforest as I
+from packetlens.operators.forest import Forest
 from packetlens.sources.schemas import PACKET_FEATURES
 
 SCHEMA = ", ".join(f"{c} double" for c in PACKET_FEATURES)
@@ -156,6 +157,49 @@ def test_filter_needs_the_flag(spark):
         I.filter_anomalies(spark.range(1))
 
 
+def test_rows_of_trees_are_drawn_by_compiled_code(cloud, monkeypatch):
+    plans, group = [], type(cloud).groupBy
+
+    def seen(df, *columns):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return group(df, *columns)
+
+    monkeypatch.setattr(type(cloud), "groupBy", seen)
+    I.fit_isolation_forest(cloud, ["a", "b", "c"], ["id"], trees=3)
+    drawn = [plan for plan in plans if "explode" in plan]
+    assert drawn and not any("lambda" in plan for plan in drawn)
+
+
+def test_batches_reach_the_leaves_of_single_rows():
+    # Two trees of unequal depth, and a single leaf; children stand in either order.
+    parts = dict(
+        roots=[0, 5, 8], feature=[1, 0, 0, 0, 0, 0, 0, 0, 0],
+        threshold=[2.0, np.nan, -1.0, np.nan, np.nan, 0.5, np.nan, np.nan, np.nan],
+        left=[1, -1, 4, -1, -1, 7, -1, -1, -1], right=[2, -1, 3, -1, -1, 6, -1, -1, -1],
+        value=[[0.1 * i, 1.0 / (i + 1)] for i in range(9)], depth=[0, 1, 1, 2, 2, 0, 1, 1, 0],
+    )
+    numbers = [-np.inf, -1.0, -0.0, 0.0, 0.5, 2.0, 3.0, np.inf, np.nan]
+    rows = np.array([(a, b) for a in numbers for b in numbers] * 2)
+
+    def leaf(node, row):
+        while parts["left"][node] >= 0:
+            below = row[parts["feature"][node]] <= parts["threshold"][node]
+            node = parts["left" if below else "right"][node]
+        return np.array(parts["value"][node])
+
+    want = []
+    for row in rows:
+        total = np.zeros(2)
+        for root in parts["roots"]:
+            total += leaf(root, row)
+        want.append(total)
+    forest = Forest(**parts)
+    assert np.array_equal(forest.total(rows), want)
+    assert all(np.array_equal(forest.total(rows[i : i + 1])[0], want[i]) for i in range(0, len(rows), 7))
+    # Children are neighbours, so that a step is one look-up and a comparison.
+    assert sorted(forest.child[forest.child != np.arange(9)].tolist()) == [3, 5, 7]
+
+
 def test_infinite_input_goes_to_one_side(spark):
     rows = [packet(math.inf, 12, 1), packet(-math.inf, 12, 1), packet(math.nan, 12, 1)]
     scored = I.score_packets(spark.createDataFrame(rows, SCHEMA), frozen_forest())

@@ -9,11 +9,7 @@ from pyspark.sql import functions as F
 
 from ..operators import classify, iforest
 from ..operators.flows import clean_flows, feature_names, flow_features, normalize_columns
-from ..operators.sampling import (
-    MAX_LABELLED_ROWS,
-    normal_rows,
-    sample_stratified,
-)
+from ..operators.sampling import normal_rows, sample_stratified
 from ..sources.flows import CSV_NAMES, read_flows
 from ..sources.schemas import write_feature_schema
 from ..sources.workspace import job_workspace, materialize
@@ -39,7 +35,7 @@ def train(
     features: Sequence[str],
     model_base: str,
     max_normal: int | None = None,
-    max_labelled: int = MAX_LABELLED_ROWS,
+    max_labelled: int | None = None,
     detector_rows: str = "normal",
     detector_trees: int = iforest.TREES,
     classifier_trees: int = classify.TREES,
@@ -49,7 +45,8 @@ def train(
 
     The table is written once with row numbers, so that the several passes below read columns of a
     fixed table and draw the same rows whatever happens to executors meanwhile. The detector learns
-    from all normal rows, or ``max_normal`` of them, or from all rows with ``detector_rows="all"``.
+    from all normal rows, or ``max_normal`` of them, or from all rows with ``detector_rows="all"``; the
+    classifier learns from all rows, or from ``max_labelled`` of them in proportion to class size.
     Intermediate tables are deleted when the job ends, or fails.
     """
     paths = {
@@ -70,7 +67,7 @@ def _fit_both(
     features: Sequence[str],
     paths: dict[str, str],
     max_normal: int | None,
-    max_labelled: int,
+    max_labelled: int | None,
     detector_rows: str,
     detector_trees: int,
     classifier_trees: int,
@@ -86,7 +83,7 @@ def _fit_both(
     if n_base == 0:
         raise ValueError("No 'normal' rows to train the detector on.")
     labelled = rows
-    if total > max_labelled:
+    if max_labelled is not None and total > max_labelled:
         labelled = sample_stratified(rows, [ROW_ID], max_rows=max_labelled)
 
     most = max_normal if detector_rows == "normal" else None

@@ -2,6 +2,7 @@ import math
 
 import pytest
 from pyspark.sql import Observation
+from pyspark.sql import functions as F
 
 from packetlens.operators import flows as O
 from packetlens.plans import training
@@ -185,3 +186,13 @@ def test_training_without_normal_rows(spark, tmp_path):
     table = spark.createDataFrame([(1.0, "ddos")], "a double, attack_type string")
     with pytest.raises(ValueError, match="normal"):
         training.train(table, ["a"], str(tmp_path))
+
+
+def test_the_classifier_learns_from_all_rows(spark, tmp_path, monkeypatch):
+    seen = []
+    monkeypatch.setattr(training.classify, "fit_classifier", lambda df, *a, **o: seen.append(df.count()))
+    label = F.when(F.col("id") % 1000 == 0, "normal").otherwise("ddos")
+    table = spark.range(500_500).select((F.col("id") % 7).cast("double").alias("a"), label.alias("attack_type"))
+    training.train(table, ["a"], str(tmp_path / "all"), detector_trees=2)
+    training.train(table, ["a"], str(tmp_path / "some"), detector_trees=2, max_labelled=100_000)
+    assert seen[0] == 500_500 and 99_000 <= seen[1] <= 100_000

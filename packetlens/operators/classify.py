@@ -1,6 +1,7 @@
 """Attack labels for anomalous rows: Spark ML random forest, applied in the same pass as the scan.
 
-Training is Spark ML's. For scoring, the fitted nodes are read from the saved model and walked per
+Training is Spark ML's, or on large tables of few distinct binned rows that of ``cells``, which is saved
+as Spark ML's model. For scoring, the fitted nodes are read from the saved model and walked per
 Arrow batch for the flagged rows only. ``RandomForestClassificationModel.transform`` would either
 predict every row or need the input split in two, and so read and scored twice.
 """
@@ -22,6 +23,7 @@ from pyspark.sql import functions as F
 from ..functions.labels import NORMAL
 from ..sources.schemas import model_columns, require_columns, require_inputs
 from ..sources.workspace import checkpoint_folder, materialize, new_folder
+from .cells import count_cells, grow_forest
 from .forest import Forest
 from .iforest import new_version, read_meta, write_meta
 
@@ -36,6 +38,9 @@ MAX_BINS = 64
 PASS_MB = 1024
 # Rows of a training partition at most, on average: some 2 KB each with 150 trees, read on every pass.
 PARTITION_ROWS = 100_000
+# Tables of more rows are fitted on counts of equal binned rows, if these are few. Spark ML takes candidate
+# splits from a sample of so many rows.
+CELL_ROWS = 10_000
 # Levels of a tree between two checkpoints of the rows' nodes.
 CHECKPOINT_LEVELS = 10
 
@@ -168,18 +173,42 @@ class AttackClassifier:
         return _saved(spark, model, self.features, self.labels, path)
 
 
-def _saved(spark, model, features: list[str], labels: list[str], path: str) -> AttackClassifier:
+def _saved(
+    spark, model, features: list[str], labels: list[str], path: str, nodes: DataFrame | None = None
+) -> AttackClassifier:
+    """Save a version of ``model``, with the trees of ``nodes`` instead of its own if they are given."""
     data = new_version()
     model.write().save(f"{path}/{data}/forest")
+    count = model.totalNumNodes
+    if nodes is not None:
+        count = _write_nodes(spark, nodes, f"{path}/{data}/forest/data")
     meta = {
         "data": data,
         "kind": "attack_classifier",
         "features": features,
         "labels": labels,
-        "nodes": model.totalNumNodes,
+        "nodes": count,
     }
     write_meta(spark, meta, path)
-    return AttackClassifier(path, features, labels, model.totalNumNodes, data)
+    return AttackClassifier(path, features, labels, count, data)
+
+
+def _write_nodes(spark: SparkSession, nodes: DataFrame, path: str) -> int:
+    """Put ``nodes`` of ``cells`` in the place of those of a saved model, of as many trees."""
+    schema = spark.read.parquet(path).schema
+    split = F.struct(
+        F.col("feature").alias("featureIndex"),
+        F.col("threshold").alias("leftCategoriesOrThreshold"),
+        F.lit(-1).alias("numCategories"),
+    )
+    names = {
+        "id": "id", "prediction": "prediction", "impurity": "impurity", "impurityStats": "stats", "rawCount": "n",
+        "gain": "gain", "leftChild": "left", "rightChild": "right",
+    }
+    node = F.struct(*[F.col(c).alias(n) for n, c in names.items()], split.alias("split"))
+    columns = {"treeID": F.col("tree"), "nodeData": node}
+    nodes.select(*[columns[f.name].cast(f.dataType).alias(f.name) for f in schema]).write.mode("overwrite").parquet(path)
+    return spark.read.schema(schema).parquet(path).count()
 
 
 def load_classifier(spark: SparkSession, path: str) -> AttackClassifier:
@@ -203,6 +232,10 @@ def fit_classifier(
     Each row keeps the node it has reached in every tree, so that deep trees are not sent with every
     task; these are checkpointed, as a lost executor would else repeat all levels. A task holds these
     of its partition, so partitions follow the number of rows.
+
+    All this holds some 1.4 KB a row and walks every row through every tree. So tables of more than
+    ``CELL_ROWS`` rows are fitted on counts of rows that are equal once binned (``cells``), unless even
+    these are too many: then the same rows go the first way.
     """
     spark, features = df.sparkSession, list(features)
     checkpoint_folder(spark)
@@ -214,13 +247,14 @@ def fit_classifier(
     )
     # Training makes several passes: write its input once instead of computing it for each.
     inputs = materialize(inputs, "labelled")
-    parts = max(spark.sparkContext.defaultParallelism, math.ceil(inputs.count() / PARTITION_ROWS))
+    n = inputs.count()
+    parts = max(spark.sparkContext.defaultParallelism, math.ceil(n / PARTITION_ROWS))
     indexer = StringIndexer(inputCol="_label", outputCol="label", stringOrderType="alphabetAsc")
     indexed = indexer.fit(inputs)
-    vectors = VectorAssembler(inputCols=names, outputCol="features").transform(
-        indexed.transform(inputs)
-    )
-    model = RandomForestClassifier(
+    labels = list(indexed.labels)
+    path = path or new_folder(spark, "classifier")
+    assembler = VectorAssembler(inputCols=names, outputCol="features")
+    classifier = RandomForestClassifier(
         numTrees=trees,
         maxDepth=max_depth,
         maxBins=max_bins,
@@ -230,10 +264,18 @@ def fit_classifier(
         cacheNodeIds=True,
         checkpointInterval=CHECKPOINT_LEVELS,
         maxMemoryInMB=pass_mb,
-    ).fit(vectors.select("label", "features").repartition(parts))
-    return _saved(
-        spark, model, features, list(indexed.labels), path or new_folder(spark, "classifier")
     )
+    cells = None
+    if n > CELL_ROWS and max_bins <= 256 and len(labels) <= 1 << 16:
+        cells = count_cells(indexed.transform(inputs), names, "label", max_bins)
+    if cells is None:
+        vectors = assembler.transform(indexed.transform(inputs)).select("label", "features")
+        return _saved(spark, classifier.fit(vectors.repartition(parts)), features, labels, path)
+    # A model of the same settings and classes, without a split, holds the trees' place.
+    blank = spark.createDataFrame([(x,) for x in labels], "_label string").withColumns({c: F.lit(0.0) for c in names})
+    blank = assembler.transform(indexed.transform(blank)).select("label", "features")
+    nodes = grow_forest(spark, cells, len(labels), trees, max_depth, seed)
+    return _saved(spark, classifier.fit(blank), features, labels, path, nodes)
 
 
 def predict_attack_types(

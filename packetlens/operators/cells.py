@@ -121,13 +121,20 @@ def count_cells(df: DataFrame, names: Sequence[str], label: str, max_bins: int)
     if counted.count() * (width + 8) > CELL_BYTES:
         return None
     table = counted.toArrow()
-    key = np.frombuffer(b"".join(table["key"].to_pylist()), dtype=np.uint8).reshape(-1, width)
+    # The keys are of one length, so the bytes of a chunk are a table.
+    chunks = [c for c in table["key"].chunks if len(c)]
+    key = np.concatenate([_bytes(c, width) for c in chunks])
+    key = key.reshape(-1, width)
     order = np.lexsort(key.T[::-1])
     key = key[order]
     classes = key[:, -2].astype(np.int64) * 256 + key[:, -1]
     return Cells(np.ascontiguousarray(key[:, :-2]), classes, table["n"].to_numpy()[order], cuts)
 
 
+def _bytes(keys: pa.Array, width: int) -> np.ndarray:
+    return np.frombuffer(keys.buffers()[2], np.uint8, len(keys) * width, keys.offset * width)
+
+
 def grow_tree(
     bins: np.ndarray,
     label: np.ndarray,

@@ -1,6 +1,7 @@
 import collections
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,11 @@ def test_cells_count_all_rows(table):
     assert got == wanted and sum(got.values()) == 3000
 
 
+def test_bytes_of_keys_that_are_part_of_an_array():
+    keys = pa.array([b"ab", b"cd", b"ef", b"gh"])
+    assert bytes(K._bytes(keys, 2)) == b"abcdefgh" and bytes(K._bytes(keys[1:3], 2)) == b"cdef"
+
+
 def test_cuts_at_odd_values(spark):
     rows = [(float("-inf"), 1.0), (-0.0, 1.0), (0.0, 1.0), (1.0, 1.0), (float("inf"), 1.0)]
     few = K.cut_points(spark.createDataFrame(rows, "a double, b double"), ["a", "b"], 64)
